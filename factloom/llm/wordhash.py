@@ -77,6 +77,7 @@ class Words:
     """Word starts, ends and rows of one chunk."""
 
     def __init__(self, data, offsets, separators, lower=False):
+        data = LOWER[data] if lower else data  # before cutting: capitals may count as separators
         self.data, self.offsets = data, offsets
         sep = np.ones(len(data) + 2, bool)
         sep[1:-1] = separators[data]
@@ -91,10 +92,9 @@ class Words:
         self.row = np.searchsorted(offsets, starts, "right") - 1
         self.counts = np.bincount(self.row, minlength=len(offsets) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        self.lower = lower
 
     def hashes(self) -> np.ndarray:
-        data = LOWER[self.data] if self.lower else self.data
+        data = self.data
         up, down = _P1.get(len(data) + 1)
         total = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
