@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, warc, wordpiece
+from . import bpe, chat, decontaminate, langid, quality, warc, wordpiece
 from .shared import new_path
 
 
@@ -37,6 +37,16 @@ def op4_decontaminate(spark, sf_dir):
     )
 
 
+def op6_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op7_chat_format(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = r"\### Assistant: </turn> ok"
@@ -61,4 +71,11 @@ def op8_quality_rules(spark, sf_dir):
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_decontaminate, op7_chat_format, op8_quality_rules)}
+def op10_language_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = langid.fit(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_decontaminate, op6_bpe, op7_chat_format, op8_quality_rules, op10_language_id)}
