@@ -12,6 +12,18 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM m
 """
 
+OP2 = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, i, sha256(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+x AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM d),
+y AS (SELECT r, list(p) AS gone FROM x GROUP BY r),
+u AS (SELECT w.r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT u.r, string_agg(word, ' ' ORDER BY u.p) AS kept FROM u LEFT JOIN x ON x.r = u.r AND x.p = u.p WHERE x.p IS NULL GROUP BY u.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN y USING (r) LEFT JOIN k USING (r)
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4 = rf"""
@@ -84,4 +96,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM z LEFT JOIN b USING (doc_id)
 """
 
-SQL = {"op1_warc": OP1, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op8_quality_rules": OP8}
+SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op8_quality_rules": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality, warc, wordpiece
+from . import bpe, chat, decontaminate, langid, quality, substrings, warc, wordpiece
 from .shared import new_path
 
 
@@ -23,6 +23,12 @@ def op1_warc(spark, sf_dir):
     )
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -78,4 +84,4 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_token_counts, op4_decontaminate, op6_bpe, op7_chat_format, op8_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_bpe, op7_chat_format, op8_quality_rules, op10_language_id)}
