@@ -96,4 +96,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM z LEFT JOIN b USING (doc_id)
 """
 
-SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op8_quality_rules": OP8}
+OP9 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+c AS (SELECT doc_id AS a, doc_id AS c FROM w UNION SELECT l.b, c.c FROM c JOIN l ON l.a = c.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.c) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.a = w.doc_id GROUP BY w.doc_id
+"""
+
+SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op8_quality_rules": OP8, "op9_ngram_jaccard": OP9}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +67,15 @@ def pack(docs: DataFrame, doc_id: str, text: str, size: int = PACK_BYTES) -> Dat
 
 def owners(total_bytes: int) -> int:
     return max(MIN_OWNERS, -(-total_bytes // OWNER_BYTES))
+
+
+def deal(keys: np.ndarray, owners: int):
+    """Sorted distinct 64-bit keys by owner: yields (owner, places among the keys).
+
+    The owner comes from the upper half of a key, so the lower half is left to tell an owner's keys apart.
+    """
+    owner = ((keys >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    ids, begin = np.unique(owner[order], return_index=True)
+    for o, a, b in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
+        yield o, order[a:b]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, quality, substrings, warc, wordpiece
+from . import bpe, chat, decontaminate, jaccard, langid, quality, substrings, warc, wordpiece
 from .shared import new_path
 
 
@@ -77,6 +77,10 @@ def op8_quality_rules(spark, sf_dir):
     return quality.quality_filter(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -84,4 +88,4 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_bpe, op7_chat_format, op8_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id)}

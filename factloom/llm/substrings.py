@@ -54,18 +54,9 @@ class _Pack:
         return at[near[at]]
 
 
-def _deal(keys: np.ndarray, owners: int):
-    """Distinct keys by owner: yields (owner, places among the sorted distinct keys)."""
-    owner = ((keys >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    ids, begin = np.unique(owner[order], return_index=True)
-    for o, a, b in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
-        yield o, order[a:b]
-
-
 def _lists(name: bytes, keys: np.ndarray, flags: np.ndarray, owners: int, short: bool):
     rows = []
-    for o, own in _deal(keys, owners):
+    for o, own in packs.deal(keys, owners):
         k = keys[own].astype(np.uint32) if short else keys[own]
         rows.append((o, name, 0, k.tobytes(), flags[own].tobytes()))
     return rows
@@ -75,7 +66,7 @@ def _bits(answers: pa.Table, kind: int, keys: np.ndarray, owners: int) -> np.nda
     """The answered bit of each of the sorted distinct keys."""
     got = {o: b for o, k, b in zip(*(answers.column(c).to_pylist() for c in ("owner", "kind", "bits")), strict=True) if k == kind}
     out = np.zeros(len(keys), bool)
-    for o, own in _deal(keys, owners):
+    for o, own in packs.deal(keys, owners):
         out[own] = np.unpackbits(np.frombuffer(got[o], np.uint8), count=len(own)).astype(bool)
     return out
 
