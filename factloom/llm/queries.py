@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, quality, substrings, warc, wordpiece
+from . import bpe, chat, decontaminate, jaccard, langid, pii, quality, substrings, warc, wordpiece
 from .shared import new_path
 
 
@@ -43,6 +43,18 @@ def op4_decontaminate(spark, sf_dir):
     )
 
 
+def op5_pii(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    text = lambda xs: F.array_join(
+        F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op6_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -88,4 +100,4 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id)}
