@@ -1,6 +1,67 @@
-STAGES = []
+"""From raw documents to token ids in five stages."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from factloom.llm import bpe, decontaminate, jaccard, langid, pii
+from factloom.llm.shared import new_path, saved
+
+#: Documents whose best language has less of the positions' probability than this are rejected, as are those without any.
+MIN_SCORE = 0.3
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents without a language go; the network learns from the languages given with the documents."""
+    found = langid.predict(docs, langid.fit(docs), whole_row=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each component of similar documents the one with the smallest id stays."""
+    found = saved(jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # an id may be there twice only if rows were repeated
+    return kept.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").take(1) else kept
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents of which a twentieth or more is benchmark text go."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_contamination(docs, bench, whole_row=True).where(~decontaminate.contaminated()).select("row.*")
+
+
+def personal_data(spark, docs, sf_dir):
+    """Personal data is replaced by its kind."""
+    found = pii.find_pii(docs, pii.fit(docs), whole_row=True)
+    text = pii.masked(F.col("text"), F.col("spans"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in docs.columns])
+
+
+def byte_bpe(spark, docs, sf_dir):
+    """Token ids (little-endian unsigned 32-bit) of each text, and the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
+
+
+STAGES = [
+    ("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("personal_data", personal_data), ("byte_bpe", byte_bpe),
+]
+
+#: Language identification is a trained network, which SQL can't express; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over ``documents``, each written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fmindex import FMIndex
+from .shared import saved
 from .wordhash import NOT_ALNUM, Words, text_chunks
 
 WINDOW = 13
@@ -74,87 +76,71 @@ class Phrases:
         return phrase, back[index.locate(rows)]
 
 
-def _find(phrases: Phrases, with_text: bool):
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _find(phrases: Phrases):
     def run(batches):
         for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
+            column = batch.column(1)
             for a, b, data, offsets in text_chunks(column, SHARD_BYTES):
                 w = Words(data, offsets, NOT_ALNUM, lower=True)
                 phrase, at = phrases.search(w)
-                d = np.zeros(len(w.starts) + 1, np.int32)
-                np.add.at(d, at, 1)
-                np.add.at(d, at + phrases.lengths[phrase], -1)
-                hit = np.concatenate([[False], np.cumsum(d[:-1]) > 0, [False]])
-                edge = np.flatnonzero(hit[1:] != hit[:-1])
-                begin, end = edge[::2], edge[1::2]
-                # spans that touch over a row's end are cut there
-                owner = w.row[begin] if len(begin) else begin
-                last = w.row[end - 1] if len(end) else end
-                spans = [([], []) for _ in range(b - a)]
-                for x, y, r, q in zip(begin.tolist(), end.tolist(), owner.tolist(), last.tolist(), strict=True):
-                    while r < q:
-                        stop = int(w.first[r + 1])
-                        if stop > x:
-                            spans[r][0].append(x - int(w.first[r])), spans[r][1].append(stop - int(w.first[r]))
-                        x, r = stop, r + 1
-                    spans[r][0].append(x - int(w.first[r])), spans[r][1].append(y - int(w.first[r]))
-                found = [set() for _ in range(b - a)]
-                pairs = np.unique(np.stack([w.row[at], phrase]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                for r, p in pairs.T.tolist():
+                spans: list[list] = [[] for _ in range(b - a)]
+                found: list[set] = [set() for _ in range(b - a)]
+                own = w.row[at] if len(at) else at
+                first = at - w.first[own] if len(at) else at
+                for r, p, x in zip(own.tolist(), phrase.tolist(), first.tolist(), strict=True):
+                    spans[r].append((x, x + int(phrases.lengths[p])))
                     found[r].update(phrases.items[p])
-                cols = {
-                    "doc_id": ids.slice(a, b - a), "n_words": pa.array(w.counts, pa.int64()),
-                    "starts": pa.array([x for x, _ in spans], pa.list_(pa.int32())),
-                    "ends": pa.array([x for _, x in spans], pa.list_(pa.int32())),
+                cols = batch.slice(a, b - a)
+                if "starts" in cols.schema.names:  # what earlier blocks of the benchmark have found
+                    for k, (s, e, i) in enumerate(zip(*(cols.column(c).to_pylist() for c in ("starts", "ends", "items")), strict=True)):
+                        spans[k] += zip(s, e, strict=True)
+                        found[k].update(i)
+                merged = [_merged(x) for x in spans]
+                new = {
+                    "n_words": pa.array(w.counts, pa.int64()),
+                    "starts": pa.array([[x for x, _ in s] for s in merged], pa.list_(pa.int32())),
+                    "ends": pa.array([[x for _, x in s] for s in merged], pa.list_(pa.int32())),
                     "items": pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                 }
-                if with_text:
-                    cols["text"] = column.slice(a, b - a)
-                yield pa.RecordBatch.from_pydict(cols)
+                keep = [c for c in cols.schema.names if c not in new]
+                yield pa.record_batch([*[cols.column(c) for c in keep], *new.values()], [*keep, *new])
 
     return run
 
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text",
-    block_bytes: int = BLOCK_BYTES,
+    whole_row=False, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``doc_id``, ``n_words``, ``starts``/``ends`` (removal spans in words), ``items`` per document row.
+    """``doc_id``, ``n_words``, ``starts``/``ends`` (removal spans in words), ``items`` for every row.
 
-    Null or wordless texts have no spans.  An empty benchmark hits nothing.  A benchmark of more than
-    ``block_bytes`` is searched in blocks of items; then a document's blocks are merged by its id, so ids must be
-    unique in that case, while with one block repeated rows each keep a result.  Other columns are ignored.
+    With ``whole_row`` the input row comes along as struct ``row``.  Null or wordless texts have no spans.  An empty
+    benchmark hits nothing.  A benchmark of more than ``block_bytes`` is searched block by block, each pass adding to
+    what is found.  Repeated rows are searched one by one; an empty table gives no rows; other columns are ignored.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row)
+    found = T.StructType.fromDDL("n_words long, starts array<int>, ends array<int>, items array<string>")
+    schema = T.StructType([*rows.schema, *found])
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = bench.agg(F.sum(F.octet_length("t") + 64).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = None
     for k in range(blocks):
         own = bench if blocks == 1 else bench.where(F.expr(f"pmod(xxhash64(i), {blocks})") == k)
-        items = [(r.i, r.t) for r in own.collect()]
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-            _find(Phrases(items), False), f"doc_id {kind}, n_words long, starts array<int>, ends array<int>, items array<string>"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    if blocks > 1:
-        merged = out.groupBy("doc_id").agg(
-            F.first("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("s"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        joined = F.aggregate(
-            "s",
-            F.array().cast("array<struct<starts:int,ends:int>>"),
-            lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["ends"] < x["starts"]), F.concat(acc, F.array(x))).otherwise(
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))),
-                )
-            ),
-        )
-        out = merged.withColumn("s", joined).select("doc_id", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
-    return out.withColumnRenamed("doc_id", doc_id)
+        if k:
+            rows = saved(rows, "block")  # one block of phrases in memory at a time
+        rows = rows.mapInArrow(_find(Phrases([(r.i, r.t) for r in own.collect()])), schema)
+    return rows.drop("text").withColumnRenamed("doc_id", doc_id)
 
 
 def n_hit():

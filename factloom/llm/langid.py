@@ -8,6 +8,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from . import gru
 from .wordhash import WHITE, Words, text_chunks
@@ -64,22 +65,23 @@ def _predict(langs, weights):
                 best = score.argmax(1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
+                        *[c.slice(a, b - a) for c in (batch.column(0), *batch.columns[2:])],
                         pa.array([langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)], pa.string()),
                         pa.array(np.where(known, np.clip(score.max(1), 0, 1), 0.0), pa.float64()),
                     ],
-                    names=["doc_id", "lang_pred", "score"],
+                    names=["doc_id", *batch.schema.names[2:], "lang_pred", "score"],
                 )
 
     return run
 
 
-def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id="doc_id", text="text") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` for every row.
+def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id="doc_id", text="text", whole_row=False) -> DataFrame:
+    """``doc_id``, ``lang_pred``, ``score`` for every row, and with ``whole_row`` the input row as struct ``row``.
 
     Null text, text without a letter and an untrained model give ``und`` with score 0.  Repeated rows are
     labelled one by one; an empty table gives no rows; other columns are ignored.  The weights are a few kilobytes.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(*model), f"doc_id {kind}, lang_pred string, score double").withColumnRenamed("doc_id", doc_id)
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row)
+    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_predict(*model), schema).withColumnRenamed("doc_id", doc_id)

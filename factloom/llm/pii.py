@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lstmcrf
 
@@ -79,6 +80,11 @@ def _plausible(kind: int, s: str) -> bool:
     return 9 <= len(d) <= 15 and not re.search(r"[A-Za-z]", s)
 
 
+def _inside_a_word(t: str, x: int, z: int) -> bool:
+    """Does an end of the span cut a run of letters or digits?"""
+    return x > 0 and (t[x - 1] + t[x]).isalnum() or z < len(t) and (t[z - 1] + t[z]).isalnum()
+
+
 def _windows(n: int, anchors: list[int]) -> list[int]:
     """Starts of the overlapping windows that hold an anchor."""
     starts = set()
@@ -125,7 +131,7 @@ def add_spans(texts: list[str], base: list[list], weights: dict) -> list[list]:
                 x += 1
             while z > x and t[z - 1] in " \n.,;:":
                 z -= 1
-            if x < z and _plausible(kind, t[x:z]) and all(z <= b or x >= e for b, e in taken):
+            if x < z and not _inside_a_word(t, x, z) and _plausible(kind, t[x:z]) and all(z <= b or x >= e for b, e in taken):
                 taken.append((x, z))
                 kept.append((kind, x, z))
         out.append(kept)
@@ -200,21 +206,21 @@ def _find(weights):
                 own = [(*s, True) for s in base.get(k, ())] + [(*s, False) for s in added.get(k, ())]
                 spans.append([{"kind": KINDS[s[0]], "start": s[1], "end": s[2], "base": s[3]} for s in sorted(own)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-            yield pa.record_batch([*batch.columns, pa.array(spans, kind)], ["doc_id", "text", "spans"])
+            yield pa.record_batch([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
 
     return run
 
 
-def find_pii(docs: DataFrame, weights: dict, doc_id="doc_id", text="text") -> DataFrame:
+def find_pii(docs: DataFrame, weights: dict, doc_id="doc_id", text="text", whole_row=False) -> DataFrame:
     """``doc_id``, ``text``, ``spans`` (kind, start, end in code points, base) for every row, ordered by kind and start.
 
-    Null and empty texts have no spans.  Repeated rows are read one by one; an empty table gives no rows; other columns
-    are ignored.  Every text is searched whole.
+    With ``whole_row`` the input row comes along as struct ``row``.  Null and empty texts have no spans.  Repeated rows are
+    read one by one; an empty table gives no rows; other columns are ignored.  Every text is searched whole.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_find(weights), f"doc_id {kind}, text string, spans {SPANS}")
-    return out.withColumnsRenamed({"doc_id": doc_id, "text": text})
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_row else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row)
+    schema = T.StructType([*rows.schema, *T.StructType.fromDDL(f"spans {SPANS}")])
+    return rows.mapInArrow(_find(weights), schema).withColumnsRenamed({"doc_id": doc_id, "text": text})
 
 
 def masked(text: Column, spans: Column) -> Column:
