@@ -48,7 +48,7 @@ class _PackWords:
         owner = np.array([zlib.crc32(w) for w in self.words], np.int64) % owners
         self.order = np.argsort(owner, kind="stable")
         self.owner_ids, self.begin = np.unique(owner[self.order], return_index=True)
-        self.end = [*self.begin[1:].tolist(), len(self.words)]
+        self.end = [*self.begin[1:].tolist(), len(self.words)] if self.words else []
 
     def lists(self):
         for o, a, b in zip(self.owner_ids.tolist(), self.begin.tolist(), self.end, strict=True):

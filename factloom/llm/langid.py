@@ -58,7 +58,7 @@ def _predict(langs, weights):
                 words = [raw[s:e] for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
                 total, count = gru.word_scores(weights, words)
                 n = np.bincount(w.row, count[inverse], b - a)
-                score = np.stack([np.bincount(w.row, total[inverse, k], b - a) for k in range(max(1, len(langs)))], 1)
+                score = np.stack([np.bincount(w.row, total[inverse, k], b - a).astype(float) for k in range(max(1, len(langs)))], 1)
                 score /= np.maximum(n, 1)[:, None]
                 texts = column.slice(a, b - a).to_pylist()
                 known = np.array([bool(langs) and t is not None and bool(_LETTER.search(t)) for t in texts], bool) & (n > 0)

@@ -77,5 +77,6 @@ def deal(keys: np.ndarray, owners: int):
     owner = ((keys >> np.uint64(32)) % np.uint64(owners)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     ids, begin = np.unique(owner[order], return_index=True)
-    for o, a, b in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True):
+    ends = [*begin[1:].tolist(), len(keys)] if len(keys) else []
+    for o, a, b in zip(ids.tolist(), begin.tolist(), ends, strict=True):
         yield o, order[a:b]

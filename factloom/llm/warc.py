@@ -25,7 +25,7 @@ FILE_RECORDS = 10_000
 #: Payloads of at least so many bytes may be replaced by a revisit record.
 REVISIT_BYTES = 1000
 
-_START = re.compile(rb"(?:(?<=\n)|(?<=^))WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def classify(pages: DataFrame, page_id: str, payload: str) -> DataFrame:
