@@ -39,12 +39,13 @@ def sequence_identity(digests: Column) -> Column:
     return h(joined(digests))
 
 
-NULL_IDENTITY = F.unhex(F.lit("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"))
+def null_identity() -> Column:
+    return F.unhex(F.sha2(F.lit(""), 256))
 
 
 def either(a: Column, b: Column) -> Column:
     """Identity of two halves, of which one may be missing."""
-    return h(F.concat(F.coalesce(a, NULL_IDENTITY), F.coalesce(b, NULL_IDENTITY)))
+    return h(F.concat(F.coalesce(a, null_identity()), F.coalesce(b, null_identity())))
 
 
 def low(x) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identity import NULL_IDENTITY, either, h, object_identity, pair_identity, sequence_identity, triple_identity
+from ..functions.identity import either, h, null_identity, object_identity, pair_identity, sequence_identity, triple_identity
 from ..functions.shared import cut
 
 
@@ -53,7 +53,7 @@ def bnode_records(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = rows.where("o_blank is null").withColumn("pair", pair_identity(object_identity())).select("s_blank", "pair")
     subjects = rows.select(F.col("s_blank").alias("node")).distinct()
     dangling = triples.where("o_blank is not null").select(F.col("o_blank").alias("node")).distinct().join(subjects, "node", "left_anti")
-    done = cut(dangling.withColumn("condensed", NULL_IDENTITY))
+    done = cut(dangling.withColumn("condensed", null_identity()))
     left = cut(subjects)
     while not left.isEmpty():
         known = links.join(done.select(F.col("node").alias("o_blank"), "condensed"), "o_blank", "left")
