@@ -1,13 +1,24 @@
 """Lineage cuts that survive lost executors."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into ``spark.checkpoint.dir``; only where it is unset (tests) a temporary folder is used."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and read it back.
+
+    Only where that setting is missing (tests) a temporary folder is used.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get() if own.isDefined() else None
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="factloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
