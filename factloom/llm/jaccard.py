@@ -105,10 +105,10 @@ def _sum_cells(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "cells": pa.array([level.tobytes()], pa.binary())})
 
 
-def frequency_levels(reps: DataFrame) -> np.ndarray:
+def frequency_levels(counted: DataFrame) -> np.ndarray:
     """One byte for each cell of the sketch, counted over all representatives; a fixed 4 MB on the driver."""
     levels = np.zeros(CELLS, np.uint8)
-    rows = reps.mapInArrow(_count_cells, "chunk int, cells binary").groupBy("chunk").applyInArrow(_sum_cells, "chunk int, cells binary")
+    rows = counted.groupBy("chunk").applyInArrow(_sum_cells, "chunk int, cells binary")
     for r in rows.toLocalIterator():
         levels[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.cells, np.uint8)
     return levels
@@ -219,23 +219,32 @@ class _Join:
         self.rows = saved(self.docs.mapInArrow(_describe, f"doc_id {self.kind}, class binary, n long, keys array<long>"), "sets")
         one = self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"))
         self.classes = saved(one, "classes")
+        self.unique = self.rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """(class, text) of each wanted class once.  The digest is taken again, as an id may have several texts."""
+    def texts(self, wanted: DataFrame, then=None, schema: str = "class binary, text string") -> DataFrame:
+        """(class, text) of each wanted class, or what ``then`` makes of those batches in the same task.
+
+        Where ids are not unique the digest is taken again, as one id may have several texts, and copies go.
+        """
         own = saved(wanted.join(self.classes.select("class", "doc_id"), "class").select("class", F.col("doc_id").alias("_id")), "wanted")
-        rows = self.docs.join(small_or_plain(own, 64), F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+        side = small_or_plain(own, 64)
+        rows = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+        if not self.unique:
 
-        def same(batches):
-            for batch in batches:
-                on = [_digest(s) == c for s, c in zip(shingle_sets(batch.column(1)), batch.column(0).to_pylist(), strict=True)]
-                yield batch.filter(pa.array(on, pa.bool_()))
+            def same(batches):
+                for batch in batches:
+                    on = [_digest(s) == c for s, c in zip(shingle_sets(batch.column(1)), batch.column(0).to_pylist(), strict=True)]
+                    yield batch.filter(pa.array(on, pa.bool_()))
 
-        return rows.mapInArrow(same, "class binary, text string")
+            rows = rows.mapInArrow(same, "class binary, text string").dropDuplicates(["class"])
+        if then and (side is own or not self.unique):
+            rows = saved(rows, "texts")  # a shuffle may deal rows anew each time it runs; packs want one order
+        return rows.mapInArrow(then, schema) if then else rows
 
     def two_texts(self, wanted: DataFrame) -> list[DataFrame]:
         """The texts saved once and read twice: two different tables to the analyzer."""
         path = new_path(self.spark, "texts")
-        self.texts(wanted).dropDuplicates(["class"]).write.parquet(path)
+        self.texts(wanted).write.parquet(path)
         return [self.spark.read.schema("class binary, text string").parquet(path) for _ in range(2)]
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -271,12 +280,13 @@ class _Join:
 
     def matrix_links(self, labels: DataFrame | None) -> DataFrame:
         """Links across components, found through the token-group matrix."""
-        reps = self.texts(self.classes.select("class"))
-        levels = self.spark.sparkContext.broadcast(frequency_levels(reps))
+        every = self.classes.select("class")
+        levels = self.spark.sparkContext.broadcast(frequency_levels(self.texts(every, _count_cells, "chunk int, cells binary")))
         owners = packs.owners(self.bytes)
-        packed = packs.pack(reps, "class", "text")
-        asked = packed.mapInArrow(_ask_tokens(levels, owners), "owner int, pack binary, keys binary, twice binary")
+        ask, pack = _ask_tokens(levels, owners), packs.packer()
+        asked = self.texts(every, lambda batches: ask(pack(batches)), "owner int, pack binary, keys binary, twice binary")
         known = asked.groupBy("owner").applyInArrow(_answer_tokens, "owner int, pack binary, bits binary")
+        packed = self.texts(every, pack, "pack binary, blob binary")
         tokens = packed.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(_shared_tokens(levels, owners), TOKENS)
         sizes = self.with_comp(self.classes.select("class"), labels)
         blocks = F.ceil(F.col("members") / BLOCK)

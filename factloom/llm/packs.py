@@ -33,7 +33,9 @@ def load(blob: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-def _pack(size):
+def packer(size: int = PACK_BYTES):
+    """Batches of (id, text) to batches of packs."""
+
     def emit(held):
         table = pa.Table.from_batches(held).combine_chunks()
         blob = dump(table.to_batches()[0])
@@ -62,7 +64,7 @@ def _pack(size):
 def pack(docs: DataFrame, doc_id: str, text: str, size: int = PACK_BYTES) -> DataFrame:
     """Rows (pack, blob); a blob holds the columns doc_id and text of whole documents."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_pack(size), "pack binary, blob binary")
+    return rows.mapInArrow(packer(size), "pack binary, blob binary")
 
 
 def owners(total_bytes: int) -> int:
