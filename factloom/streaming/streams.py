@@ -58,7 +58,7 @@ def quorum_stream(votes: DataFrame, needed: int) -> DataFrame:
 
 def token_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events of each kind by hour of event time; rows later than ``late`` behind the newest are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def audit_stream(changes: DataFrame, path: str, checkpoint: str):
