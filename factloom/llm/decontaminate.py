@@ -20,7 +20,7 @@ from .wordhash import NOT_ALNUM, Words, text_chunks
 WINDOW = 13
 #: Bytes of benchmark text that one pass over the documents may carry; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Phrases:

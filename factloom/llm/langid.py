@@ -16,7 +16,7 @@ from .wordhash import WHITE, Words, text_chunks
 #: Training sample: documents of each language at most, and characters of each, from a place that its hash picks.
 DOCS_PER_LANGUAGE = 400
 CHARS_PER_DOC = 1200
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _LETTER = regex.compile(r"\p{L}")
 

@@ -59,11 +59,11 @@ def text_chunks(column: pa.Array, size: int = 1 << 20):
     """Yield (first, last, bytes, offsets) over runs of rows of about ``size`` bytes; a null row has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-        column = column.cast(pa.large_binary())
-    column = column.fill_null(b"")
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
