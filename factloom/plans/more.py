@@ -250,17 +250,57 @@ def c13_untyped_predicates(spark, d):
 @query("SELECT perspective, count(*) AS heads FROM (SELECT *, row_number() OVER (PARTITION BY perspective, subject ORDER BY ts DESC, head DESC) AS r FROM log) WHERE r = 1 GROUP BY perspective", "log")
 def t2_heads_stream(spark, d):
     """The log read as a stream of files to its end: each subject's newest head, counted by perspective."""
-    from ..functions.shared import cut  # noqa: F401  makes sure of a shared folder
-    from ..streaming.streams import heads_stream
+    from ..streaming.streams import heads_stream, run_to_end
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    log = events.select(
+    log = event_stream(spark, d).select(
         (F.col("user_id") % 25).alias("perspective"), F.concat(F.lit("http://ex.org/part/"), (F.col("event_id") % 200).cast("string")).alias("subject"),
         F.when(F.col("event_type") == "error", "").otherwise(F.sha2((F.col("event_id") % 97).cast("string"), 256)).alias("head"), "ts")
-    import uuid
+    return run_to_end(heads_stream(log), "complete").groupBy("perspective").agg(F.count(F.lit(1)).alias("heads"))
+
+
+def event_stream(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY user_id, event_type")
+def t1_incremental_ingest(spark, d):
+    """Events ingested as a stream, then once more: what is there already is not added again."""
+    from ..functions.shared import new_path
+    from ..streaming.streams import ingest_stream
+
+    schema, sink = "event_id long, user_id long, event_type string", new_path(spark, "sink")
+    for _ in range(2):
+        ingest_stream(spark, f"{d}/events.parquet*", schema, sink, ["event_id"], new_path(spark, "state")).awaitTermination()
+    return spark.read.schema(schema).parquet(sink).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT review, count(DISTINCT reviewer) AS present FROM votes WHERE vote <> 'absent' GROUP BY review", "votes")
+def t3_quorum_stream(spark, d):
+    """Distinct voters of each review, kept as state while votes stream in."""
+    from ..streaming.streams import quorum_stream, run_to_end
+
+    kind = triplify.mapped({"purchase": "approve", "click": "approve", "error": "deny", "signup": "absent"}, F.col("event_type"))
+    votes = event_stream(spark, d).select((F.col("event_id") % 60).alias("review"), (F.col("user_id") % 15).alias("reviewer"), F.coalesce(kind, F.lit("present")).alias("vote"))
+    return run_to_end(quorum_stream(votes, 5), "update").groupBy("review").agg(F.max("present").alias("present"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def t4_event_windows_stream(spark, d):
+    """Hourly counts of each kind of event over event time, as a stream."""
+    from ..streaming.streams import run_to_end, token_windows
+
+    return run_to_end(token_windows(event_stream(spark, d), "0 seconds"), "complete").select("event_type", F.col("window.start").alias("start"), "n")
+
+
+@query("SELECT 'g' || k AS graph, count(*) AS n FROM (SELECT n_regionkey AS k FROM nation) GROUP BY k")
+def s17_load_resource_list(spark, d):
+    """One file of lines for each graph of a list, all read in one job; the file names the graph."""
+    from ..functions.shared import new_path
 
-    name = f"heads_{uuid.uuid4().hex}"
-    q = heads_stream(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("perspective").agg(F.count(F.lit(1)).alias("heads"))
+    t = triples(spark, d, "nation").where("p = 'ex:partOf'")
+    graph = F.concat(F.lit("g"), F.substring_index("o", "/", -1))
+    path = new_path(spark, "resources")
+    ntriples.dump_ntriples(t.withColumn("graph", graph)).select(F.concat(F.lit("g"), F.regexp_extract("line", "region/([0-9]+)>", 1)).alias("graph"), F.col("line").alias("value")).write.partitionBy("graph").text(path)
+    got = ntriples.read_ntriples(spark, path)
+    return got.select(F.regexp_extract("graph", "graph=([^/]+)/", 1).alias("graph")).groupBy("graph").agg(F.count(F.lit(1)).alias("n"))

@@ -32,7 +32,7 @@ def unescaped(x: Column) -> Column:
     return F.array_join(F.transform(F.split(x, r"\\\\", -1), piece), "\\")
 
 
-def parse_lines(lines: DataFrame, strict: bool = True, value: str = "value") -> DataFrame:
+def parse_lines(lines: DataFrame, strict: bool = True, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Triples of N-Triples lines.  Empty lines and comments give none; a bad line raises, or goes if not ``strict``."""
     v = F.col(value)
     rows = lines.where(~v.rlike(r"^\s*(#.*)?$"))
@@ -45,15 +45,14 @@ def parse_lines(lines: DataFrame, strict: bool = True, value: str = "value") ->
         rows = rows.where(good)
     return rows.select(
         unescaped(part(1)).alias("s"), part(2).alias("s_blank"), unescaped(part(3)).alias("p"), unescaped(part(4)).alias("o"),
-        part(5).alias("o_blank"), lit.alias("o_lit"), part(7).alias("datatype"), part(8).alias("language"),
+        part(5).alias("o_blank"), lit.alias("o_lit"), part(7).alias("datatype"), part(8).alias("language"), *keep,
     )
 
 
 def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Triples of all files under a path, with the file each came from as ``graph``."""
-    lines = spark.read.text(path).withColumn("graph", F.input_file_name())
-    parsed = parse_lines(lines, strict)
-    return parsed
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("graph"))
+    return parse_lines(lines, strict, keep=("graph",))
 
 
 def nt_line(hex_len: int = 19) -> Column:

@@ -33,6 +33,23 @@ def ingest_stream(spark: SparkSession, source: str, schema, sink: str, keys: lis
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
+    """All that is there now goes through the stream into the shared folder; the rows of its batches (the last one if complete)."""
+    from ..functions.shared import new_path
+
+    spark = stream.sparkSession
+    path, last = new_path(spark, "stream"), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{path}/batch={last[-1]}") if mode == "complete" else rows.parquet(*[f"{path}/batch={k}" for k in sorted(set(last))])
+
+
 def heads_stream(log: DataFrame) -> DataFrame:
     """Newest head of each (perspective, subject) as a streaming aggregate; the later of equal times by digest."""
     return log.groupBy("perspective", "subject").agg(F.max(F.struct("ts", "head")).alias("m")).select("perspective", "subject", "m.ts", "m.head")
