@@ -55,22 +55,25 @@ class _PackWords:
             yield o, self.order[a:b]
 
 
-def _ask(pattern, owners):
+def _ask(pattern, owners, size):
     find = regex.compile(pattern).findall
 
     def run(batches):
-        for batch in batches:
-            for name, blob in zip(batch.column(0), batch.column(1), strict=True):
-                got = packs.load(blob.as_py())
-                w = _PackWords(got.column(1).to_pylist(), find, owners)
-                rows = [(o, name.as_py(), packs.dump(pa.record_batch([pa.array([w.words[i] for i in own.tolist()], pa.binary())], ["w"]))) for o, own in w.lists()]
-                if rows:
-                    o, p, b = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array(o, pa.int32()), pa.array(p, pa.binary()), pa.array(b, pa.binary())], ["owner", "pack", "words"])
+        for name, got in packs.groups(batches, size):
+            w = _PackWords(got.column(1).to_pylist(), find, owners)
+            rows = [(o, name, packs.dump(pa.record_batch([pa.array([w.words[i] for i in own.tolist()], pa.binary())], ["w"]))) for o, own in w.lists()]
+            if rows:
+                o, p, b = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(o, pa.int32()), pa.array(p, pa.binary()), pa.array(b, pa.binary())], ["owner", "pack", "words"])
 
     return run
 
 
+def _narrow(values: list[int]) -> np.ndarray:
+    a = np.array(values, np.uint32)
+    return a.astype(np.min_scalar_type(a.max(initial=0)))
+
+
 def _answer(ranks, pattern):
     def run(table: pa.Table) -> pa.Table:
         encode = _encoder(ranks, pattern)._encode_single_piece
@@ -84,9 +87,8 @@ def _answer(ranks, pattern):
                     got = known[w] = encode(w)
                 ids += got
                 lengths.append(len(got))
-            flat, n = np.array(ids, np.uint32), np.array(lengths, np.uint32)
-            # ids of the words of one list, then a list of their lengths
-            out.append(packs.dump(pa.record_batch([pa.array([flat.tobytes(), n.tobytes()], pa.binary())], ["x"])))
+            # all ids of a list's words, then each word's number of ids, in as few bytes as they need
+            out.append(packs.dump(pa.record_batch([pa.array([_narrow(ids)]), pa.array([_narrow(lengths)])], ["ids", "n"])))
         return pa.table({"owner": table.column("owner"), "pack": table.column("pack"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -104,12 +106,12 @@ def _assemble(pattern, owners, kind):
             length, start = np.zeros(len(w.words), np.int64), np.zeros(len(w.words), np.int64)
             flat, at = [], 0
             for o, own in w.lists():
-                ids, n = (np.frombuffer(x, np.uint32) for x in packs.load(answers[o]).column(0).to_pylist())
+                ids, n = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in packs.load(answers[o]).columns)
                 length[own] = n
                 start[own] = at + np.cumsum(n, dtype=np.int64) - n
                 flat.append(ids)
                 at += len(ids)
-            flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+            flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
             n = length[w.where]
             stop = np.cumsum(n)
             ids = flat[np.arange(int(n.sum())) + np.repeat(start[w.where] - stop + n, n)].astype("<u4")
@@ -135,11 +137,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id="doc_id", text
         ranks = f.read()
     n = packs.owners(text_bytes(docs, text))
     kind = docs.schema[doc_id].dataType.simpleString()
-    packed = packs.pack(docs, doc_id, text)
-    asked = packed.mapInArrow(_ask(pattern, n), "owner int, pack binary, words binary")
+    rows = packs.rows(docs, doc_id, text)
+    asked = rows.mapInArrow(_ask(pattern, n, packs.PACK_BYTES), "owner int, pack binary, words binary")
     answered = asked.groupBy("owner").applyInArrow(_answer(ranks, pattern), "owner int, pack binary, ids binary")
     arrow = pa.int64() if kind == "bigint" else pa.string()
-    out = packed.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(
+    out = packs.pack(rows).groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(
         _assemble(pattern, n, arrow), f"doc_id {kind}, n_tokens bigint, ids binary"
     )
     return out.withColumnRenamed("doc_id", doc_id)

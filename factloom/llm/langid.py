@@ -27,7 +27,7 @@ def training_sample(labelled: DataFrame, text="text", lang="lang", docs=DOCS_PER
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
     )
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    thin = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(4 * docs) * (1 << 20))
+    thin = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(4 * docs) * (1 << 20))
     ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs)
     start = F.pmod("h", F.greatest(F.char_length("text") - chars + 1, F.lit(1))).cast("int") + 1
     return ranked.select("lang", "h", F.substring(F.col("text"), start, F.lit(chars)).alias("text"))

@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,15 @@ OWNER_BYTES = 8 << 20
 MIN_OWNERS = 32
 
 
-def dump(batch: pa.RecordBatch) -> bytes:
+#: Compression levels of packs, which travel whole, and of lists.
+PACK_LEVEL, LIST_LEVEL = 6, 3
+
+
+def dump(batch: pa.RecordBatch, level: int = LIST_LEVEL) -> bytes:
+    """A batch as bytes, compressed unless the level is 0."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    codec = pa.Codec("zstd", compression_level=level) if level else None
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -33,38 +40,45 @@ def load(blob: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-def packer(size: int = PACK_BYTES):
-    """Batches of (id, text) to batches of packs."""
+def groups(batches, size: int):
+    """Yield (name, batch) of whole packs from batches of (id, text); the name is a digest of the content."""
+
+    def named(held):
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return hashlib.sha1(dump(batch, 0)).digest()[:12], batch
+
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        for i, x in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            n += x + 16
+            if n >= size:
+                held.append(batch.slice(at, i + 1 - at))
+                yield named(held)
+                held, n, at = [], 0, i + 1
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield named(held)
 
-    def emit(held):
-        table = pa.Table.from_batches(held).combine_chunks()
-        blob = dump(table.to_batches()[0])
-        return pa.RecordBatch.from_pydict({"pack": [hashlib.sha1(blob).digest()[:12]], "blob": [blob]}, schema=pa.schema([("pack", pa.binary()), ("blob", pa.binary())]))
+
+def packer(size: int):
+    """Batches of (id, text) to batches of (pack, blob)."""
 
     def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            at = 0
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
-            for i, x in enumerate(sizes):
-                n += x + 16
-                if n >= size:
-                    held.append(batch.slice(at, i + 1 - at))
-                    yield emit(held)
-                    held, n, at = [], 0, i + 1
-            if at < batch.num_rows:
-                # a copy, so that the slice doesn't keep the whole batch
-                held.append(batch.slice(at))
-        if held:
-            yield emit(held)
+        for name, batch in groups(batches, size):
+            yield pa.record_batch([pa.array([name], pa.binary()), pa.array([dump(batch, PACK_LEVEL)], pa.binary())], ["pack", "blob"])
 
     return run
 
 
-def pack(docs: DataFrame, doc_id: str, text: str, size: int = PACK_BYTES) -> DataFrame:
-    """Rows (pack, blob); a blob holds the columns doc_id and text of whole documents."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(packer(size), "pack binary, blob binary")
+def rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
+def pack(rows_: DataFrame) -> DataFrame:
+    """Rows (pack, blob); a blob holds whole documents."""
+    return rows_.mapInArrow(packer(PACK_BYTES), "pack binary, blob binary")
 
 
 def owners(total_bytes: int) -> int:

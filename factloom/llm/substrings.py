@@ -83,14 +83,13 @@ def _anchor_keys(p: _Pack):
     return at, keys, inverse, is_block.astype(np.uint8) + 2 * (n > 1).astype(np.uint8)
 
 
-def _ask_anchors(owners):
+def _ask_anchors(owners, size):
     def run(batches):
-        for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, keys, _, flags = _anchor_keys(_Pack(packs.load(blob.as_py()).column(1)))
-                # half a hash and the owner's share of the rest: enough to thin out, the full windows decide
-                if rows := _lists(name, keys, flags, owners, short=True):
-                    yield _batch(rows, _ASK)
+        for name, got in packs.groups(batches, size):
+            _, keys, _, flags = _anchor_keys(_Pack(got.column(1)))
+            # half a hash and the owner's share of the rest: enough to thin out, the full windows decide
+            if rows := _lists(name, keys, flags, owners, short=True):
+                yield _batch(rows, _ASK)
 
     return run
 
@@ -183,8 +182,9 @@ def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """
     n = packs.owners(text_bytes(docs, text))
     kind = docs.schema[doc_id].dataType.simpleString()
-    packed = packs.pack(docs, doc_id, text)
-    live = packed.mapInArrow(_ask_anchors(n), ASK).groupBy("owner").applyInArrow(_answer(0), ANSWER)
+    rows = packs.rows(docs, doc_id, text)
+    packed = packs.pack(rows)
+    live = rows.mapInArrow(_ask_anchors(n, packs.PACK_BYTES), ASK).groupBy("owner").applyInArrow(_answer(0), ANSWER)
     asked = packed.groupBy("pack").cogroup(live.groupBy("pack")).applyInArrow(_ask_windows(n), ASK)
     found = asked.groupBy("owner").applyInArrow(_answer(1), ANSWER)
     out = packed.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(

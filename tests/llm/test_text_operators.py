@@ -99,7 +99,7 @@ def brute_repeats(rows, k=35):
 
 @pytest.mark.parametrize("pack_bytes", [400, packs.PACK_BYTES])
 def test_substrings_equal_brute_force(spark, monkeypatch, pack_bytes):
-    monkeypatch.setattr(packs.pack, "__defaults__", (pack_bytes,))
+    monkeypatch.setattr(packs, "PACK_BYTES", pack_bytes)
     rows = corpus()
     got = substrings.remove_repeats(frame(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in got), key=str) == brute_repeats(rows)
@@ -263,7 +263,7 @@ def test_bpe_equals_library_and_round_trips(spark, monkeypatch):
 
     import tiktoken
 
-    monkeypatch.setattr(packs.pack, "__defaults__", (600,))
+    monkeypatch.setattr(packs, "PACK_BYTES", 600)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
