@@ -4,7 +4,7 @@
 2. Similar classes are put into groups: classes that share a min-hash key are compared with the most central
    classes of that key, and linked ones form groups (connected components, cut into blocks).
 3. The token-group matrix holds, for each token in the rare part of a member's set, the blocks whose members
-   have it.  A class meets only blocks of other components with which it shares such a token, and only if the tokens
+   have it.  A class meets only blocks of larger components with which it shares such a token, and only if the tokens
    that may still follow can reach the needed overlap.
 4. A block that qualifies is opened: the union of its members' tokens bounds the overlap once more, then
    members are compared until one links.
@@ -31,7 +31,7 @@ KEYS = 8
 #: Classes of a min-hash key that the others are compared with, in each of the rounds.
 PIVOTS = (1, 4)
 #: Members of a block of the matrix, and queries that meet it in one task.
-BLOCK = 64
+BLOCK = 256
 QUERIES = 256
 #: Cells of the frequency sketch: four bytes each while counting, one when it is sent out.
 CELLS = 1 << 22
@@ -134,17 +134,15 @@ def _pack_tokens(column, levels):
     return cat(parts, np.uint64), cat(row, np.int64), cat(place, np.int64), cat(size, np.int64)
 
 
-def _ask_tokens(levels, owners):
+def _ask_tokens(levels, owners, size):
     def run(batches):
-        for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = _pack_tokens(packs.load(blob.as_py()).column(1), levels.value)[0]
-                keys, n = np.unique(t, return_counts=True)
-                o, p, k, f = [], [], [], []
-                for owner, own in packs.deal(keys, owners):
-                    o.append(owner), p.append(name), k.append(keys[own].astype(np.uint32).tobytes()), f.append((n[own] > 1).tobytes())
-                if o:
-                    yield pa.record_batch([pa.array(o, pa.int32()), pa.array(p, pa.binary()), pa.array(k, pa.binary()), pa.array(f, pa.binary())], ["owner", "pack", "keys", "twice"])
+        for name, got in packs.groups(batches, size):
+            t = _pack_tokens(got.column(1), levels.value)[0]
+            keys, n = np.unique(t, return_counts=True)
+            rows = [(o, name, keys[own].astype(np.uint32).tobytes(), (n[own] > 1).tobytes()) for o, own in packs.deal(keys, owners)]
+            if rows:
+                o, p, k, f = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(o, pa.int32()), pa.array(p, pa.binary()), pa.array(k, pa.binary()), pa.array(f, pa.binary())], ["owner", "pack", "keys", "twice"])
 
     return run
 
@@ -283,25 +281,26 @@ class _Join:
         every = self.classes.select("class")
         levels = self.spark.sparkContext.broadcast(frequency_levels(self.texts(every, _count_cells, "chunk int, cells binary")))
         owners = packs.owners(self.bytes)
-        ask, pack = _ask_tokens(levels, owners), packs.packer()
-        asked = self.texts(every, lambda batches: ask(pack(batches)), "owner int, pack binary, keys binary, twice binary")
+        asked = self.texts(every, _ask_tokens(levels, owners, packs.PACK_BYTES), "owner int, pack binary, keys binary, twice binary")
         known = asked.groupBy("owner").applyInArrow(_answer_tokens, "owner int, pack binary, bits binary")
-        packed = self.texts(every, pack, "pack binary, blob binary")
+        packed = self.texts(every, packs.packer(packs.PACK_BYTES), "pack binary, blob binary")
         tokens = packed.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(_shared_tokens(levels, owners), TOKENS)
         sizes = self.with_comp(self.classes.select("class"), labels)
         blocks = F.ceil(F.col("members") / BLOCK)
         group = sizes.join(sizes.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(
-            "class", "comp", F.struct("comp", F.pmod(F.xxhash64("class"), blocks).alias("part")).alias("block")
+            "class", F.struct("members", "comp").alias("group"), F.struct("members", "comp", F.pmod(F.xxhash64("class"), blocks).alias("part")).alias("block")
         )
-        tokens = saved(tokens.dropDuplicates(["token", "class"]).join(group, "class"), "tokens")
+        tokens = saved(tokens.join(group, "class"), "tokens")
         left = F.col("n") - F.col("place")
-        matrix = tokens.where(F.col("place") <= F.col("n") - F.ceil(8 * F.col("n") / 9)).groupBy("token", "block").agg(
+        matrix = tokens.groupBy("token", F.col("block").alias("m_block")).agg(
             F.max(left).alias("m_left"), F.min("n").alias("m_min"), F.max("n").alias("m_max")
         )
         least_n = F.greatest(F.col("m_min"), F.ceil(4 * F.col("n") / 5))
+        # of two components the smaller one asks, so a large one is met as a few blocks and not member by member
+        smaller = F.col("group") < F.struct("m_block.members", "m_block.comp")
         found = saved(
-            tokens.join(matrix.withColumnRenamed("block", "m_block"), "token")
-            .where("comp <> m_block.comp and m_min <= n and 5 * m_max >= 4 * n")
+            tokens.join(matrix, "token")
+            .where(smaller & (4 * F.col("m_min") <= 5 * F.col("n")) & (5 * F.col("m_max") >= 4 * F.col("n")))
             .where(9 * F.least(left, F.col("m_left")) >= 4 * (F.col("n") + least_n))
             .select("class", F.col("m_block").alias("block")).distinct(),
             "found",
