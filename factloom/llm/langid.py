@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from . import gru
+from .shared import saved, small_or_plain
 from .wordhash import WHITE, Words, text_chunks
 
 #: Training sample: documents of each language at most, and characters of each, from a place that its hash picks.
@@ -26,8 +27,8 @@ def training_sample(labelled: DataFrame, text="text", lang="lang", docs=DOCS_PER
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    thin = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(4 * docs) * (1 << 20))
+    counts = saved(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    thin = rows.join(small_or_plain(counts, 64), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(4 * docs) * (1 << 20))
     ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs)
     start = F.pmod("h", F.greatest(F.char_length("text") - chars + 1, F.lit(1))).cast("int") + 1
     return ranked.select("lang", "h", F.substring(F.col("text"), start, F.lit(chars)).alias("text"))
