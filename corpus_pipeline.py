@@ -36,7 +36,7 @@ def decontamination(spark, docs, sf_dir):
 def personal_data(spark, docs, sf_dir):
     """Personal data is replaced by its kind."""
     found = pii.find_pii(docs, pii.fit(docs), whole_row=True)
-    text = pii.masked(F.col("text"), F.col("spans"))
+    text = pii.masked(F.col("row.text"), F.col("spans"))
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in docs.columns])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fmindex import FMIndex
-from .shared import saved
+from .shared import saved, text_column, text_rows
 from .wordhash import NOT_ALNUM, Words, text_chunks
 
 WINDOW = 13
@@ -86,10 +86,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _find(phrases: Phrases):
+def _find(phrases: Phrases, place: int | None):
     def run(batches):
         for batch in batches:
-            column = batch.column(1)
+            column = text_column(batch, place)
             for a, b, data, offsets in text_chunks(column, SHARD_BYTES):
                 w = Words(data, offsets, NOT_ALNUM, lower=True)
                 phrase, at = phrases.search(w)
@@ -128,8 +128,7 @@ def find_contamination(
     benchmark hits nothing.  A benchmark of more than ``block_bytes`` is searched block by block, each pass adding to
     what is found.  Repeated rows are searched one by one; an empty table gives no rows; other columns are ignored.
     """
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_row else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row)
+    rows, place = text_rows(docs, doc_id, text, whole_row)
     found = T.StructType.fromDDL("n_words long, starts array<int>, ends array<int>, items array<string>")
     schema = T.StructType([*rows.schema, *found])
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
@@ -139,7 +138,7 @@ def find_contamination(
         own = bench if blocks == 1 else bench.where(F.expr(f"pmod(xxhash64(i), {blocks})") == k)
         if k:
             rows = saved(rows, "block")  # one block of phrases in memory at a time
-        rows = rows.mapInArrow(_find(Phrases([(r.i, r.t) for r in own.collect()])), schema)
+        rows = rows.mapInArrow(_find(Phrases([(r.i, r.t) for r in own.collect()]), place), schema)
     return rows.drop("text").withColumnRenamed("doc_id", doc_id)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from . import packs
 from .components import components
-from .shared import new_path, saved, small_or_plain, text_bytes
+from .shared import new_path, saved, small_or_plain, text_bytes, text_rows
 from .wordhash import WHITE, Words, mix, starts_inside, text_chunks, windows
 
 SHINGLE = 5
@@ -211,7 +211,7 @@ class _Join:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        self.docs, _ = text_rows(docs, doc_id, text)
         self.kind = docs.schema[doc_id].dataType.simpleString()
         self.bytes = text_bytes(docs, text)
         self.rows = saved(self.docs.mapInArrow(_describe, f"doc_id {self.kind}, class binary, n long, keys array<long>"), "sets")

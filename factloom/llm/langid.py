@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from . import gru
-from .shared import saved, small_or_plain
+from .shared import saved, small_or_plain, text_column, text_rows
 from .wordhash import WHITE, Words, text_chunks
 
 #: Training sample: documents of each language at most, and characters of each, from a place that its hash picks.
@@ -48,10 +48,11 @@ def fit(labelled: DataFrame, text="text", lang="lang") -> tuple[list[str], dict]
     return langs, gru.train(words, np.array(labels, np.int64), max(1, len(langs)))
 
 
-def _predict(langs, weights):
+def _predict(langs, weights, place):
     def run(batches):
         for batch in batches:
-            column = batch.column(1)
+            column = text_column(batch, place)
+            rest = {k: c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "text"}
             for a, b, data, offsets in text_chunks(column, CHUNK):
                 w = Words(data, offsets, WHITE)
                 _, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
@@ -66,11 +67,11 @@ def _predict(langs, weights):
                 best = score.argmax(1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[c.slice(a, b - a) for c in (batch.column(0), *batch.columns[2:])],
+                        *[c.slice(a, b - a) for c in rest.values()],
                         pa.array([langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)], pa.string()),
                         pa.array(np.where(known, np.clip(score.max(1), 0, 1), 0.0), pa.float64()),
                     ],
-                    names=["doc_id", *batch.schema.names[2:], "lang_pred", "score"],
+                    names=[*rest, "lang_pred", "score"],
                 )
 
     return run
@@ -82,7 +83,6 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id="doc_id", tex
     Null text, text without a letter and an untrained model give ``und`` with score 0.  Repeated rows are
     labelled one by one; an empty table gives no rows; other columns are ignored.  The weights are a few kilobytes.
     """
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_row else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row)
+    rows, place = text_rows(docs, doc_id, text, whole_row)
     schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predict(*model), schema).withColumnRenamed("doc_id", doc_id)
+    return rows.mapInArrow(_predict(*model, place), schema).withColumnRenamed("doc_id", doc_id)

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .shared import text_rows
 
 #: Bytes of text in a pack, at least one document.
 PACK_BYTES = 4 << 20
@@ -73,7 +74,7 @@ def packer(size: int):
 
 
 def rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return text_rows(docs, doc_id, text)[0]
 
 
 def pack(rows_: DataFrame) -> DataFrame:

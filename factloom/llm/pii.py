@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lstmcrf
+from .shared import text_column, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -194,10 +195,10 @@ def fit(docs: DataFrame, text="text") -> dict:
     return lstmcrf.train(*training_windows(rows), 1 + 2 * len(KINDS))
 
 
-def _find(weights):
+def _find(weights, place):
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in text_column(batch, place).to_pylist()]
             some = [k for k, t in enumerate(texts) if _ANCHOR.search(t)]
             base = {k: base_spans(texts[k]) for k in some}
             added = dict(zip(some, add_spans([texts[k] for k in some], [base[k] for k in some], weights), strict=True))
@@ -214,13 +215,12 @@ def _find(weights):
 def find_pii(docs: DataFrame, weights: dict, doc_id="doc_id", text="text", whole_row=False) -> DataFrame:
     """``doc_id``, ``text``, ``spans`` (kind, start, end in code points, base) for every row, ordered by kind and start.
 
-    With ``whole_row`` the input row comes along as struct ``row``.  Null and empty texts have no spans.  Repeated rows are
+    With ``whole_row`` the input row comes as struct ``row`` instead of ``text``.  Null and empty texts have no spans.  Repeated rows are
     read one by one; an empty table gives no rows; other columns are ignored.  Every text is searched whole.
     """
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole_row else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row)
+    rows, place = text_rows(docs, doc_id, text, whole_row)
     schema = T.StructType([*rows.schema, *T.StructType.fromDDL(f"spans {SPANS}")])
-    return rows.mapInArrow(_find(weights), schema).withColumnsRenamed({"doc_id": doc_id, "text": text})
+    return rows.mapInArrow(_find(weights, place), schema).withColumnsRenamed({"doc_id": doc_id, "text": text})
 
 
 def masked(text: Column, spans: Column) -> Column:

@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor and the driver see: ``spark.checkpoint.dir``.
@@ -36,6 +41,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_rows(docs: DataFrame, doc_id: str, text: str, whole_row: bool = False) -> tuple[DataFrame, int | None]:
+    """Columns (doc_id, text), or (doc_id, row) and the text's place in the row, so that a text travels once.
+
+    Batches to Python are bounded by bytes from here on, as rows may be long.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    own = F.col(doc_id).alias("doc_id")
+    if whole_row:
+        return docs.select(own, F.struct(*[docs[c] for c in docs.columns]).alias("row")), docs.columns.index(text)
+    return docs.select(own, F.col(text).alias("text")), None
+
+
+def text_column(batch: pa.RecordBatch, place: int | None) -> pa.Array:
+    """The texts of a batch of such rows."""
+    return batch.column(1) if place is None else pc.struct_field(batch.column(1), [place])
+
+
 def text_bytes(df: DataFrame, col: str) -> int:
     """Total UTF-8 bytes of a column; one small aggregate over one column."""
     return df.agg(F.sum(F.octet_length(F.col(col))).alias("b")).first()["b"] or 0
