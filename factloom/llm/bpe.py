@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packs
-from .shared import text_bytes
+from .shared import frugal, release, text_bytes
 
 
 @lru_cache(2)
@@ -89,6 +89,8 @@ def _answer(ranks, pattern):
                 lengths.append(len(got))
             # all ids of a list's words, then each word's number of ids, in as few bytes as they need
             out.append(packs.dump(pa.record_batch([pa.array([_narrow(ids)]), pa.array([_narrow(lengths)])], ["ids", "n"])))
+        known.clear()
+        release()
         return pa.table({"owner": table.column("owner"), "pack": table.column("pack"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -122,6 +124,7 @@ def _assemble(pattern, owners, kind):
                 "n_tokens": pa.array(np.diff(cut), pa.int64()),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
             }))
+        release()
         return pa.concat_tables(done) if done else pa.table({"doc_id": pa.array([], kind), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
     return run
@@ -138,7 +141,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id="doc_id", text
     n = packs.owners(text_bytes(docs, text))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = packs.rows(docs, doc_id, text)
-    asked = rows.mapInArrow(_ask(pattern, n, packs.PACK_BYTES), "owner int, pack binary, words binary")
+    asked = rows.mapInArrow(frugal(_ask(pattern, n, packs.PACK_BYTES)), "owner int, pack binary, words binary")
     answered = asked.groupBy("owner").applyInArrow(_answer(ranks, pattern), "owner int, pack binary, ids binary")
     arrow = pa.int64() if kind == "bigint" else pa.string()
     out = packs.pack(rows).groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(
@@ -160,4 +163,4 @@ def decode(encoded: DataFrame, ranks_path: str, doc_id="doc_id", ids="ids") -> D
 
     kind = encoded.schema[doc_id].dataType.simpleString()
     rows = encoded.select(F.col(doc_id).alias("doc_id"), "n_tokens", F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("doc_id", doc_id)
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("doc_id", doc_id)

@@ -11,13 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from . import gru
-from .shared import saved, small_or_plain, text_column, text_rows
+from .shared import frugal, saved, small_or_plain, text_column, text_rows
 from .wordhash import WHITE, Words, text_chunks
 
 #: Training sample: documents of each language at most, and characters of each, from a place that its hash picks.
 DOCS_PER_LANGUAGE = 400
 CHARS_PER_DOC = 1200
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Distinct words whose labels a task keeps from one chunk to the next.
+KNOWN_WORDS = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -48,17 +50,43 @@ def fit(labelled: DataFrame, text="text", lang="lang") -> tuple[list[str], dict]
     return langs, gru.train(words, np.array(labels, np.int64), max(1, len(langs)))
 
 
+class _Known:
+    """Label sums of the words that a task has met; begun anew when they are too many."""
+
+    def __init__(self, weights):
+        self.weights = weights
+        self.forget()
+
+    def forget(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.total, self.count = np.zeros((0, len(self.weights["bias"]))), np.zeros(0, np.int64)
+
+    def scores(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted distinct hashes; ``word`` gives the bytes of the k-th."""
+        if len(self.hashes) > KNOWN_WORDS:
+            self.forget()
+        new = np.flatnonzero(~np.isin(hashes, self.hashes, assume_unique=True))
+        total, count = gru.word_scores(self.weights, [word(k) for k in new.tolist()])
+        every = np.concatenate([self.hashes, hashes[new]])
+        order = np.argsort(every)
+        self.hashes = every[order]
+        self.total, self.count = np.concatenate([self.total, total])[order], np.concatenate([self.count, count])[order]
+        at = np.searchsorted(self.hashes, hashes)
+        return self.total[at], self.count[at]
+
+
 def _predict(langs, weights, place):
     def run(batches):
+        known_words = _Known(weights)
         for batch in batches:
             column = text_column(batch, place)
             rest = {k: c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "text"}
             for a, b, data, offsets in text_chunks(column, CHUNK):
                 w = Words(data, offsets, WHITE)
-                _, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+                hashes, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
                 raw = data.tobytes()
-                words = [raw[s:e] for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
-                total, count = gru.word_scores(weights, words)
+                starts, ends = w.starts[first], w.ends[first]
+                total, count = known_words.scores(hashes, lambda k, raw=raw, s=starts, e=ends: raw[s[k] : e[k]])
                 n = np.bincount(w.row, count[inverse], b - a)
                 score = np.stack([np.bincount(w.row, total[inverse, k], b - a).astype(float) for k in range(max(1, len(langs)))], 1)
                 score /= np.maximum(n, 1)[:, None]
@@ -85,4 +113,4 @@ def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id="doc_id", tex
     """
     rows, place = text_rows(docs, doc_id, text, whole_row)
     schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predict(*model, place), schema).withColumnRenamed("doc_id", doc_id)
+    return rows.mapInArrow(frugal(_predict(*model, place)), schema).withColumnRenamed("doc_id", doc_id)

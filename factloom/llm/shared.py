@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -41,6 +42,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def frugal(run):
+    """``run`` for ``mapInArrow``, giving memory back after each batch that it makes."""
+
+    def whole(batches):
+        for batch in run(batches):
+            yield batch
+            del batch
+            release()
+        release()
+
+    return whole
+
+
 def text_rows(docs: DataFrame, doc_id: str, text: str, whole_row: bool = False) -> tuple[DataFrame, int | None]:
     """Columns (doc_id, text), or (doc_id, row) and the text's place in the row, so that a text travels once.
 

@@ -26,20 +26,29 @@ def _inverse(m: int) -> int:
     return pow(int(m), -1, 2**64)
 
 
+KEPT = 1 << 16
+
+
 class _Powers:
-    """Powers of an odd multiplier and of its inverse, kept as far as they were needed."""
+    """Powers of an odd multiplier and of its inverse; only the first ones are kept."""
 
     def __init__(self, m):
         self.m, self.inv, self.n = m, U(_inverse(m)), 0
 
     def get(self, n):
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            for name, base in (("up", self.m), ("down", self.inv)):
-                p = np.full(self.n, base, U)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
+        if not self.n:
+            self.up, self.down = self._make(KEPT)
+            self.n = KEPT
+        up, down = (self.up, self.down) if n <= KEPT else self._make(n)
+        return up[:n], down[:n]
+
+    def _make(self, n):
+        out = []
+        for base in (self.m, self.inv):
+            p = np.full(n, base, U)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p, out=p))
+        return out
 
 
 _P1, _P2 = _Powers(_M1), _Powers(_M2)
@@ -97,7 +106,9 @@ class Words:
         data = self.data
         up, down = _P1.get(len(data) + 1)
         total = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+        own = _BYTE[data]
+        own *= up[:-1]
+        np.cumsum(own, out=total[1:])
         h = (total[self.ends] - total[self.starts]) * down[self.starts]
         return mix(h + (self.ends - self.starts).astype(U) * U(0x2545F4914F6CDD1D))
 
