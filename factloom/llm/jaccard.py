@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from . import packs
 from .components import components
-from .shared import new_path, saved, small_or_plain, text_bytes, text_rows
+from .shared import frugal, new_path, release, saved, small_or_plain, text_bytes, text_rows
 from .wordhash import WHITE, Words, mix, starts_inside, text_chunks, windows
 
 SHINGLE = 5
@@ -174,6 +174,7 @@ def _shared_tokens(levels, owners):
             on = live[inverse]
             for c, v in zip(cols, (pa.array(t[on].view(np.int64)), got.column(0).take(pa.array(row[on])), pa.array(size[on], pa.int32()), pa.array(place[on], pa.int32())), strict=True):
                 c.append(v)
+        release()
         kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
         return pa.table([pa.chunked_array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["token", "class", "n", "place"])
 
@@ -203,6 +204,7 @@ def _open_blocks(members: pa.Table, queries: pa.Table) -> pa.Table:
                 if similar(s, m):
                     a.append(q), b.append(name)
                     break
+        release()
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -214,7 +216,7 @@ class _Join:
         self.docs, _ = text_rows(docs, doc_id, text)
         self.kind = docs.schema[doc_id].dataType.simpleString()
         self.bytes = text_bytes(docs, text)
-        self.rows = saved(self.docs.mapInArrow(_describe, f"doc_id {self.kind}, class binary, n long, keys array<long>"), "sets")
+        self.rows = saved(self.docs.mapInArrow(frugal(_describe), f"doc_id {self.kind}, class binary, n long, keys array<long>"), "sets")
         one = self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"))
         self.classes = saved(one, "classes")
         self.unique = self.rows.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -237,7 +239,7 @@ class _Join:
             rows = rows.mapInArrow(same, "class binary, text string").dropDuplicates(["class"])
         if then and (side is own or not self.unique):
             rows = saved(rows, "texts")  # a shuffle may deal rows anew each time it runs; packs want one order
-        return rows.mapInArrow(then, schema) if then else rows
+        return rows.mapInArrow(frugal(then), schema) if then else rows
 
     def two_texts(self, wanted: DataFrame) -> list[DataFrame]:
         """The texts saved once and read twice: two different tables to the analyzer."""
@@ -250,7 +252,7 @@ class _Join:
         pairs = saved(pairs.select("a", "b").distinct(), "pairs")
         x, y = self.two_texts(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
         x, y = x.toDF("a", "x"), y.toDF("b", "y")
-        return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify_pairs, "a binary, b binary"), "linked")
+        return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(frugal(_verify_pairs), "a binary, b binary"), "linked")
 
     def keyed(self) -> DataFrame:
         """(key, class, central): min-hash keys that several classes share; central counts all of a class's partners."""
