@@ -123,9 +123,10 @@ def curie_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def tokens(triples: DataFrame) -> DataFrame:
-    """(s, p, token, position) of all literals: an inverted index."""
+    """(s, p, literal, token, position) of all literals: an inverted index.  ``literal`` is a digest, so that rows stay short."""
     words = F.filter(F.split(F.lower(F.regexp_replace("o_lit", r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
-    return triples.where("o_lit is not null").select("s", "p", "o_lit", F.posexplode(words).alias("position", "token"))
+    rows = triples.where("o_lit is not null").select("s", "p", F.sha2("o_lit", 256).alias("literal"), words.alias("words"))
+    return rows.select("s", "p", "literal", F.posexplode("words").alias("position", "token"))
 
 
 #: Weight of a hit by predicate: fixed values.
@@ -139,7 +140,7 @@ def search(index: DataFrame, queries: DataFrame, tie: float = 0.3) -> DataFrame:
     """
     words = F.filter(F.split(F.lower(F.regexp_replace("query", r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
     q = queries.select("query", F.posexplode(words).alias("k", "token"), F.size(words).alias("n"))
-    hit = index.join(q, "token").groupBy("query", "n", "s", "p", "o_lit", (F.col("position") - F.col("k")).alias("at")).agg(F.count_distinct("k").alias("c"))
+    hit = index.join(q, "token").groupBy("query", "n", "s", "p", "literal", (F.col("position") - F.col("k")).alias("at")).agg(F.count_distinct("k").alias("c"))
     boost = F.coalesce(F.create_map(*[F.lit(v) for kv in BOOSTS.items() for v in kv])[F.col("p")], F.lit(1.0))
     field = hit.where("c = n").select("query", "s", "p", boost.alias("b")).distinct()
     return field.groupBy("query", "s").agg((F.max("b") + tie * (F.sum("b") - F.max("b"))).alias("score"))

@@ -204,7 +204,7 @@ def p12_head(spark, d):
  SELECT query, s, CAST(max(b) + 0.3 * (sum(b) - max(b)) AS DOUBLE) AS score FROM h GROUP BY query, s""".replace("\\\\", "\\"), "triples")
 def p13_full_text(spark, d):
     q = spark.createDataFrame([("united kingdom",), ("Supplier#000000001",), ("china",)], "query string")
-    return L.search(L.tokens(triples(spark, d)), q)
+    return L.search(L.tokens(triplify.triplify_testdata(spark, d, texts=True)), F.broadcast(q))  # three rows
 
 
 @query("SELECT k AS position, found FROM (SELECT p_partkey AS k, p_partkey % 2 = 0 AS found FROM part)")

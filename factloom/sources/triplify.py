@@ -27,8 +27,11 @@ def union(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def triplify_testdata(spark: SparkSession, sf_dir: str, tables=("region", "nation", "customer", "supplier", "part", "documents")) -> DataFrame:
-    """Types, labels, literals and the partOf chain of the given tables."""
+def triplify_testdata(spark: SparkSession, sf_dir: str, tables=("region", "nation", "customer", "supplier", "part", "documents"), texts: bool = False) -> DataFrame:
+    """Types, labels, literals and the partOf chain of the given tables.
+
+    With ``texts`` a document's title is its whole first line and its whole text is a literal, ``ex:text``.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     out = []
     for table, key, label, above in (
@@ -53,7 +56,10 @@ def triplify_testdata(spark: SparkSession, sf_dir: str, tables=("region", "natio
     if "documents" in tables:
         docs = read("documents")
         out.append(rule(docs, iri("document", "doc_id"), TYPE, o=F.lit(EX + "Document")))
-        out.append(rule(docs, iri("document", "doc_id"), "ex:title", o_lit=F.substring(F.split("text", "\n")[0], 1, 40), language=F.col("lang")))
+        first = F.split("text", "\n")[0]
+        out.append(rule(docs, iri("document", "doc_id"), "ex:title", o_lit=first if texts else F.substring(first, 1, 40), language=F.col("lang")))
+        if texts:
+            out.append(rule(docs, iri("document", "doc_id"), "ex:text", o_lit=F.col("text"), language=F.col("lang")))
         out.append(rule(docs, iri("document", "doc_id"), "ex:source", o=iri("source", "source")))
     return union(*out)
 

@@ -17,3 +17,21 @@ def test_iri_repair_takes_whole_texts_of_all_rows(spark, tmp_path):
     fixed = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", "%20", t).replace("[", "%5B").replace("]", "%5D").replace(";", "%3B")
     got = {r.doc_id: r.fixed for r in entry.queries()["f10_iri_repair"](spark, d).collect()}
     assert got == {k: None if t is None else fixed(t) for k, t in enumerate(texts)}
+
+
+TABLES = {
+    "region": ([(1, "CHINA")], "r_regionkey long, r_name string"), "nation": ([(1, "UNITED KINGDOM", 1)], "n_nationkey long, n_name string, n_regionkey long"),
+    "customer": ([(k, f"Customer {k}", 1, "AUTO") for k in range(1, 121)], "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"),
+    "supplier": ([(k, f"Supplier#{k:09}", 1) for k in range(1, 41)], "s_suppkey long, s_name string, s_nationkey long"),
+    "part": ([(k, f"name {k % 7}", "B", k, "TYPE") for k in range(1, 101)], "p_partkey long, p_name string, p_brand string, p_size long, p_type string"),
+}
+
+
+def test_full_text_finds_phrases_anywhere(spark, tmp_path):
+    texts = ["x " * 30 + "united  kingdom", "first line\nsecond: made in China", "united\nkingdom", "united states, kingdom", "chinaware", None]
+    d = write(spark, tmp_path, **TABLES, documents=([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
+    got = {(r.query, r.s.removeprefix("http://ex.org/")): round(r.score, 6) for r in entry.queries()["p13_full_text"](spark, d).collect()}
+    assert got == {
+        ("united kingdom", "nation/1"): 4, ("united kingdom", "document/0"): 1.5, ("united kingdom", "document/2"): 1,
+        ("china", "region/1"): 4, ("china", "document/1"): 1, ("Supplier#000000001", "supplier/1"): 4,
+    }
