@@ -1,6 +1,8 @@
 """Queries take every row and all of its text: comparison with brute force on small tables."""
 
+import random
 import re
+from datetime import datetime
 
 import __spark_entry__ as entry
 
@@ -35,3 +37,21 @@ def test_full_text_finds_phrases_anywhere(spark, tmp_path):
         ("united kingdom", "nation/1"): 4, ("united kingdom", "document/0"): 1.5, ("united kingdom", "document/2"): 1,
         ("china", "region/1"): 4, ("china", "document/1"): 1, ("Supplier#000000001", "supplier/1"): 4,
     }
+
+
+def test_no_subject_is_left_out(spark, tmp_path):
+    rng = random.Random(4)
+    orders = [(k, rng.randrange(1, 121), datetime(2020, 1, 1 + rng.randrange(28))) for k in range(1, 301)]
+    d = write(spark, tmp_path, **TABLES, orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp"))
+    run = lambda name: [tuple(r) for r in entry.queries()[name](spark, d).collect()]
+    assert sorted(run("g7_subject_subgraphs")) == sorted((f"http://ex.org/customer/{k}", 1, 2) for k in range(1, 121))
+    assert sorted(run("g11_superclass_ladder")) == sorted((str(k), str(k // 2)) for k in range(2, 101))
+    of_supplier = lambda k: [(f"http://ex.org/supplier/{k}", "rdfs:label", f"Supplier#{k:09}"), (f"http://ex.org/supplier/{k}", "rdfs:subClassOf", None), (None, "rdf:type", "owl:Restriction"), (None, "owl:onProperty", "ex:partOf"), (None, "owl:someValuesFrom", "http://ex.org/nation/1")]
+    assert sorted(run("j11_graph_from_subjects"), key=str) == sorted((r for k in range(1, 41) for r in of_supplier(k)), key=str)
+    assert sorted(run("p2_definitions")) == [(f"http://uri.ex.org/base/tx_{k:07}", "TYPE") for k in range(1, 101) if k % 4]
+    assert sorted(run("p8_entity_conflicts")) == sorted((k, f"http://ex.org/part/{k % 7 or 7}", 1) for k in range(1, 101))
+    chains = {}
+    for k, c, at in sorted(orders, key=lambda o: (o[2], o[0])):
+        chains.setdefault(c, []).append(k)
+    pairs = [(str(b), str(a)) for x in chains.values() for a, b in zip(x, x[1 : x.index(max(x)) + 1])]
+    assert sorted(run("v7_history_chain")) == sorted(pairs)
