@@ -17,8 +17,9 @@ from .shared import saved
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 50
-#: metric: least distance from the median at which a document may be rejected, and whether low values are rejected too.
-METRICS = {"word_length": (30, True), "symbols": (200, False), "dup_lines": (500, False), "repeats": (250, False)}
+#: metric: least distance from the median at which a document may be rejected, and whether low values are rejected too.  The
+#: distances are well below the base rule and only keep single odd words or lines from rejecting a document where all quartiles are equal.
+METRICS = {"word_length": (30, True), "symbols": (30, False), "dup_lines": (50, False), "repeats": (50, False)}
 
 
 def features(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -> DataFrame:

@@ -55,3 +55,22 @@ def test_no_subject_is_left_out(spark, tmp_path):
         chains.setdefault(c, []).append(k)
     pairs = [(str(b), str(a)) for x in chains.values() for a, b in zip(x, x[1 : x.index(max(x)) + 1])]
     assert sorted(run("v7_history_chain")) == sorted(pairs)
+
+
+def test_every_quality_metric_rejects_outliers_of_its_group(spark):
+    from factloom.llm import quality
+
+    rng = random.Random(2)
+    words = lambda n: [f"{rng.choice(['alpha', 'beta', 'gamma', 'delta'])}{rng.randrange(9999)}" for _ in range(n)]
+    clean = ["\n".join(" ".join(words(6)) for _ in range(10)) for _ in range(80)]
+    lines = [" ".join(words(6)) for _ in range(20)]
+    once = words(6)
+    odd = {
+        "45 per cent copied lines": "\n".join(f"{' '.join(words(60))}" for _ in range(11)) + "\nsame" * 10,
+        "19 per cent repeated words": " ".join(words(27) + once + words(27) + once),
+        "symbols": " ".join(lines) + " #" * 20,
+    }
+    rows = [(k, t, "en", "s") for k, t in enumerate([*clean, *odd.values()])]
+    got = {r.doc_id: r for r in quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept for k in range(80))
+    assert [(name, got[80 + k].base_failed, got[80 + k].kept) for k, name in enumerate(odd)] == [(name, False, False) for name in odd]
