@@ -107,3 +107,19 @@ def read_chat(formatted: DataFrame, conv: str = "conv_id", column: str = "format
         )
     )
     return formatted.select(F.col(conv), turns.alias("turns"))
+
+
+def loss_text(formatted: str = "formatted", loss_mask: str = "loss_mask") -> Column:
+    """What lies under the mask: its runs with loss are cut out of the formatted string by running offsets, unescaped and joined."""
+    none = F.array().cast("array<struct<at:int,chars:int>>")
+    runs = F.aggregate(
+        loss_mask,
+        F.struct(F.lit(0).alias("at"), none.alias("runs")),
+        lambda a, m: F.struct(
+            (a["at"] + m["chars"]).alias("at"),
+            F.when(m["loss"], F.concat(a["runs"], F.array(F.struct(a["at"].alias("at"), m["chars"].alias("chars")))))
+            .otherwise(a["runs"]).alias("runs"),
+        ),
+        lambda a: a["runs"],
+    )
+    return F.array_join(F.transform(runs, lambda r: unescape(F.substr(F.col(formatted), r["at"] + 1, r["chars"]))), "")

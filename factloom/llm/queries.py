@@ -72,16 +72,14 @@ def op7_chat_format(spark, sf_dir):
         spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     )
     out = chat.format_chat(rows)
-    # The parser reads the formatted string alone; the mask only proves that it covers the string.
-    back = chat.read_chat(out.select("conv_id", "formatted", F.char_length("formatted").cast("long").alias("formatted_chars")).select(
-        F.struct("conv_id", "formatted_chars").alias("key"), "formatted"), "key")
-    said = F.array_join(
-        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""
-    )
+    # The parser reads the formatted string alone; the text of the loss is read through the mask.
+    back = chat.read_chat(out.select(
+        "conv_id", "formatted", F.char_length("formatted").cast("long").alias("formatted_chars"), chat.loss_text().alias("said")
+    ).select(F.struct("conv_id", "formatted_chars", "said").alias("key"), "formatted"), "key")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "key.conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),
-        F.char_length(said).cast("long").alias("loss_chars"), F.sha2(said, 256).alias("loss_sha256"), "key.formatted_chars",
+        F.char_length("key.said").cast("long").alias("loss_chars"), F.sha2("key.said", 256).alias("loss_sha256"), "key.formatted_chars",
     )
 
 
