@@ -94,3 +94,13 @@ def test_loss_is_read_through_the_mask(spark, tmp_path, monkeypatch):
     whole, mask = chat.format_chat, "transform(loss_mask, m -> struct(m.chars as chars, false as loss))"
     monkeypatch.setattr(chat, "format_chat", lambda rows: whole(rows).withColumn("loss_mask", F.expr(mask)))
     assert {r.loss_chars for r in run().values()} == {0}
+
+
+def test_reingest_check_takes_the_whole_graph(spark, tmp_path, monkeypatch):
+    from factloom.operators import rebuild
+    from factloom.sources import triplify
+
+    d, seen, check = write(spark, tmp_path, **TABLES), [], rebuild.reingest_check
+    monkeypatch.setattr(rebuild, "reingest_check", lambda g: seen.append(g.count()) or check(g))
+    assert entry.queries()["s19_reingest_check"](spark, d).first().equal
+    assert seen == [triplify.with_blanks(spark, d).count()] == [5 * 40 + 4 * 120]
