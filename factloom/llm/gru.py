@@ -1,16 +1,17 @@
-"""Bidirectional gated recurrent network over the bytes of words, in numpy.
+"""Bidirectional gated recurrent network over the bytes of documents, in numpy.
 
-A sequence is a word between two blanks (longer words go in pieces), so a word gives the same labels
-wherever it stands and each distinct word of a chunk is run once.  Every byte position gets a label distribution.
+A sequence is a stretch of one document: ``CORE`` bytes of its own with ``EDGE`` bytes of the document on either side as
+context (blanks beyond its ends), so neighbouring stretches overlap and every byte of a text is labelled once, in its order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 16
-#: Bytes of a word in one sequence at most.
-PIECE = 30
+HIDDEN = 12
+CORE, EDGE = 224, 16
+#: Stretches that run together; more rows don't run faster.
+GROUP = 512
 
 
 def _sigmoid(x):
@@ -29,53 +30,35 @@ def init(classes: int, seed: int = 1) -> dict:
     return p
 
 
-def sequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Padded byte matrix with a blank at both ends, and lengths with the blanks."""
-    n = np.array([len(w) for w in words], np.int64) + 2
-    m = np.full((len(words), int(n.max(initial=2))), 32, np.uint8)
-    if len(words):
-        inner = np.arange(m.shape[1])[None, :]
-        m[(inner >= 1) & (inner < n[:, None] - 1)] = np.frombuffer(b"".join(words), np.uint8)
-    return m, n
-
-
-def _run(p, d, m, keep):
-    """States of one direction, time first: (T, B, H)."""
-    steps, b = m.shape[1], m.shape[0]
+def _run(p, d, m):
+    """States of one direction, time first (T, B, H), and what the way back needs."""
     x, u, c = p["x" + d], p["h" + d], p["c" + d]
-    h = np.zeros((b, HIDDEN), np.float32)
-    out, kept = np.empty((steps, b, HIDDEN), np.float32), []
-    for t in range(steps):
+    h = np.zeros((len(m), HIDDEN), x.dtype)
+    out, kept = np.empty((m.shape[1], len(m), HIDDEN), x.dtype), []
+    for t in range(m.shape[1]):
         a, g = x[m[:, t]], h @ u + c
         zr = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        gn = g[:, 2 * HIDDEN :]
+        z, r, gn = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
         n = np.tanh(a[:, 2 * HIDDEN :] + r * gn)
-        if keep:
-            kept.append((h, z, r, n, gn))
+        kept.append((h, z, r, n, gn))
         h = n + z * (h - n)
         out[t] = h
     return out, kept
 
 
-def _flip(m, n):
-    """Each row's first n entries backwards; the rest is padding."""
-    at = n[:, None] - 1 - np.arange(m.shape[1])[None, :]
-    return np.where(at >= 0, at, np.arange(m.shape[1])[None, :])
+def _softmax(logit, axis=-1):
+    logit -= logit.max(axis, keepdims=True)
+    np.exp(logit, out=logit)
+    logit /= logit.sum(axis, keepdims=True)
+    return logit
 
 
-def forward(p, m, n, keep=False):
-    """Label probabilities (T, B, C) of every position."""
-    back = _flip(m, n)
-    f, kf = _run(p, "f", m, keep)
-    b, kb = _run(p, "b", np.take_along_axis(m, back, 1), keep)
-    b = np.take_along_axis(b, back.T[:, :, None], 0)
-    s = np.concatenate([f, b], 2)
-    logit = s @ p["out"] + p["bias"]
-    logit -= logit.max(2, keepdims=True)
-    np.exp(logit, out=logit)
-    logit /= logit.sum(2, keepdims=True)
-    return logit, (s, back, kf, kb) if keep else None
+def forward(p, m):
+    """Label probabilities (T, B, C) of every position of byte rows (B, T), and the states."""
+    f, kf = _run(p, "f", m)
+    b, kb = _run(p, "b", m[:, ::-1])
+    s = np.concatenate([f, b[::-1]], 2)
+    return _softmax(s @ p["out"] + p["bias"]), (s, kf, kb)
 
 
 def _through_time(p, d, m, kept, dout, grad):
@@ -97,35 +80,37 @@ def _through_time(p, d, m, kept, dout, grad):
     grad["x" + d], grad["h" + d], grad["c" + d] = dx, du, dc
 
 
-def gradients(p, m, n, label):
-    """Mean cross-entropy over all positions and its gradients, by backpropagation through time."""
-    prob, (s, back, kf, kb) = forward(p, m, n, keep=True)
-    on = (np.arange(m.shape[1])[:, None] < n[None, :]).astype(np.float32)
-    total = on.sum()
-    own = np.take_along_axis(prob, np.broadcast_to(label[None, :, None], (*prob.shape[:2], 1)), 2)[:, :, 0]
-    loss = -(np.log(own + 1e-9) * on).sum() / total
+def gradients(p, m, on, label):
+    """Mean cross-entropy over the positions that count (``on``, B x T) and its gradients, by backpropagation through time."""
+    prob, (s, kf, kb) = forward(p, m)
+    weight = on.T.astype(prob.dtype)
+    total = max(1, weight.sum())
+    rows = np.arange(len(m))
+    own = prob[:, rows, label]
+    loss = -(np.log(own + 1e-9) * weight).sum() / total
     d = prob.copy()
-    np.put_along_axis(d, np.broadcast_to(label[None, :, None], (*prob.shape[:2], 1)), own[:, :, None] - 1, 2)
-    d *= on[:, :, None] / total
+    d[:, rows, label] -= 1
+    d *= weight[:, :, None] / total
     grad = {"out": np.tensordot(s, d, ((0, 1), (0, 1))), "bias": d.sum((0, 1))}
     ds = d @ p["out"].T
     _through_time(p, "f", m, kf, ds[:, :, :HIDDEN], grad)
-    db = np.take_along_axis(ds[:, :, HIDDEN:], back.T[:, :, None], 0)
-    _through_time(p, "b", np.take_along_axis(m, back, 1), kb, db, grad)
+    _through_time(p, "b", m[:, ::-1], kb, ds[::-1, :, HIDDEN:], grad)
     return loss, grad
 
 
-def train(words: list[bytes], labels: np.ndarray, classes: int, steps: int = 300, batch: int = 512, rate: float = 0.01, seed: int = 1) -> dict:
-    """Fit by Adam on mini-batches of words; the same input gives the same weights."""
+def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = 180, batch: int = 160, width: int = 64, rate: float = 0.012, seed: int = 1) -> dict:
+    """Fit by Adam on mini-batches of stretches from anywhere in the texts; the same input gives the same weights."""
     p = init(classes, seed)
-    if not words or classes < 2:
+    if not texts or classes < 2:
         return p
+    padded = [np.frombuffer(b" " * EDGE + t + b" " * max(EDGE, width - len(t)), np.uint8) for t in texts]
     rng = np.random.default_rng(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(words), batch)
-        m, n = sequences([words[i] for i in pick])
-        _, g = gradients(p, m, n, labels[pick])
+        pick = rng.integers(0, len(padded), batch)
+        at = (rng.random(batch) * [len(padded[i]) - width + 1 for i in pick]).astype(int)
+        m = np.stack([padded[i][a : a + width] for i, a in zip(pick.tolist(), at.tolist(), strict=True)])
+        _, g = gradients(p, m, is_letter(m), labels[pick])
         lr = rate * min(1, 3 * (1 - step / (steps + 1)))
         for k in p:
             m1[k] += 0.1 * (g[k] - m1[k])
@@ -139,23 +124,66 @@ def is_letter(data: np.ndarray) -> np.ndarray:
     return (data >= 128) | ((low >= 97) & (low <= 122))
 
 
-def word_scores(p, words: list[bytes], group: int = 2048):
-    """For each word: label probabilities summed over its letter bytes, and the number of those."""
+def _scores(p, d, m):
+    """Each position's share of the label scores from one direction (T, C, B); only one step's states are held."""
+    H, b = HIDDEN, m.shape[1]
+    # every gate in arrays of its own, so that all of them are contiguous; sigmoid(x) = (tanh(x / 2) + 1) / 2
+    (xz, xr, xn), (uz, ur, un), (cz, cr, cn) = (
+        [np.ascontiguousarray(p[k + d][..., i * H : (i + 1) * H] * np.float32(0.5 if i < 2 else 1)) for i in range(3)] for k in "xhc"
+    )
+    xz, xr = xz + cz, xr + cr
+    w = np.ascontiguousarray((p["out"][:H] if d == "f" else p["out"][H:]).T)
+    out = np.empty((len(m), len(w), b), np.float32)
+    h, z, r, n, g, gn = (np.zeros((b, H), np.float32) for _ in range(6))
+    for t in range(len(m)) if d == "f" else range(len(m) - 1, -1, -1):
+        for x, u, gate in ((xz, uz, z), (xr, ur, r)):
+            np.take(x, m[t], 0, out=gate, mode="clip")
+            np.matmul(h, u, out=g)
+            gate += g
+            np.tanh(gate, out=gate)
+            gate += 1
+            gate *= 0.5
+        np.take(xn, m[t], 0, out=n, mode="clip")
+        np.matmul(h, un, out=gn)
+        gn += cn
+        gn *= r
+        n += gn
+        np.tanh(n, out=n)
+        h -= n
+        h *= z
+        h += n
+        np.matmul(w, h.T, out=out[t])
+    return out
+
+
+def document_scores(p, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of bytes: label probabilities summed over its letter bytes, and the number of those."""
+    size = np.diff(offsets)
     classes = len(p["bias"])
-    total, count = np.zeros((len(words), classes)), np.zeros(len(words), np.int64)
-    pieces, owner = [], []
-    for k, w in enumerate(words):
-        for i in range(0, len(w), PIECE):
-            pieces.append(w[i : i + PIECE])
-            owner.append(k)
-    owner = np.array(owner, np.int64)
-    order = np.argsort(np.array([len(x) for x in pieces], np.int64), kind="stable")
-    for at in range(0, len(order), group):
-        own = order[at : at + group]
-        m, n = sequences([pieces[i] for i in own])
-        prob, _ = forward(p, m, n)
-        t = np.arange(m.shape[1])[:, None]
-        on = (t >= 1) & (t < n[None, :] - 1) & is_letter(m).T
-        np.add.at(total, owner[own], (prob * on[:, :, None]).sum(0))
-        np.add.at(count, owner[own], on.sum(0))
+    total, count = np.zeros((len(size), classes)), np.zeros(len(size), np.int64)
+    n = -(-size // CORE)
+    row = np.repeat(np.arange(len(size)), n)
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * CORE
+    core = np.minimum(size[row] - start, CORE)
+    width = -(-core // 32) * 32  # few widths, so that stretches of like length run together
+    order = np.argsort(width, kind="stable")
+    edges = np.flatnonzero(np.diff(width[order])) + 1
+    for own in np.split(order, edges):
+        for at in range(0, len(own), GROUP):
+            k = own[at : at + GROUP]
+            place = start[k, None] + np.arange(-EDGE, int(width[k[0]]) + EDGE)[None, :] if len(k) else np.zeros((0, 0), np.int64)
+            if not place.size:
+                continue
+            inside = (place >= 0) & (place < size[row[k], None])
+            m = np.where(inside, data[np.clip(place + offsets[row[k], None], 0, max(len(data) - 1, 0))], 32).astype(np.uint8)
+            steps = np.ascontiguousarray(m.T).astype(np.intp)
+            logit = _scores(p, "f", steps)
+            logit += _scores(p, "b", steps)
+            logit += p["bias"][:, None]
+            mine = np.arange(m.shape[1])[None, :] - EDGE
+            on = is_letter(m) & (mine >= 0) & (mine < core[k, None])
+            prob = _softmax(logit, 1)
+            prob *= on.T[:, None, :]
+            np.add.at(total, row[k], prob.sum(0).T)
+            np.add.at(count, row[k], on.sum(1))
     return total, count

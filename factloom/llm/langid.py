@@ -12,25 +12,24 @@ from pyspark.sql import types as T
 
 from . import gru
 from .shared import frugal, saved, small_or_plain, text_column, text_rows
-from .wordhash import WHITE, Words, text_chunks
+from .wordhash import text_chunks
 
 #: Training sample: documents of each language at most, and characters of each, from a place that its hash picks.
 DOCS_PER_LANGUAGE = 400
 CHARS_PER_DOC = 1200
-CHUNK = 1 << 20
-#: Distinct words whose labels a task keeps from one chunk to the next.
-KNOWN_WORDS = 1 << 18
+CHUNK = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
 
 
 def training_sample(labelled: DataFrame, text="text", lang="lang", docs=DOCS_PER_LANGUAGE, chars=CHARS_PER_DOC) -> DataFrame:
-    """Bounded sample (lang, text): rows whose text hashes lowest, thinned before they are ranked."""
+    """Bounded sample (lang, text): distinct texts that hash lowest, thinned before they are ranked."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
     )
     counts = saved(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     thin = rows.join(small_or_plain(counts, 64), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(4 * docs) * (1 << 20))
+    thin = thin.groupBy("lang", "h").agg(F.first("text").alias("text"))  # copies of a text are one
     ranked = thin.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= docs)
     start = F.pmod("h", F.greatest(F.char_length("text") - chars + 1, F.lit(1))).cast("int") + 1
     return ranked.select("lang", "h", F.substring(F.col("text"), start, F.lit(chars)).alias("text"))
@@ -40,58 +39,19 @@ def fit(labelled: DataFrame, text="text", lang="lang") -> tuple[list[str], dict]
     """Languages and network weights from labelled rows; no more than the sample reaches the driver."""
     rows = sorted((r.lang, r.h, r.text) for r in training_sample(labelled, text, lang).collect())
     langs = sorted({r[0] for r in rows})
-    words, labels = [], []
-    for name, _, t in rows:
-        for w in t.split():
-            b = w.encode()[: gru.PIECE]
-            if gru.is_letter(np.frombuffer(b, np.uint8)).any():
-                words.append(b)
-                labels.append(langs.index(name))
-    return langs, gru.train(words, np.array(labels, np.int64), max(1, len(langs)))
-
-
-class _Known:
-    """Label sums of the words that a task has met; begun anew when they are too many."""
-
-    def __init__(self, weights):
-        self.weights = weights
-        self.forget()
-
-    def forget(self):
-        self.hashes = np.zeros(0, np.uint64)
-        self.total, self.count = np.zeros((0, len(self.weights["bias"]))), np.zeros(0, np.int64)
-
-    def scores(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """Of sorted distinct hashes; ``word`` gives the bytes of the k-th."""
-        if len(self.hashes) > KNOWN_WORDS:
-            self.forget()
-        new = np.flatnonzero(~np.isin(hashes, self.hashes, assume_unique=True))
-        total, count = gru.word_scores(self.weights, [word(k) for k in new.tolist()])
-        every = np.concatenate([self.hashes, hashes[new]])
-        order = np.argsort(every)
-        self.hashes = every[order]
-        self.total, self.count = np.concatenate([self.total, total])[order], np.concatenate([self.count, count])[order]
-        at = np.searchsorted(self.hashes, hashes)
-        return self.total[at], self.count[at]
+    rows = [(name, t.encode()) for name, _, t in rows if _LETTER.search(t)]
+    return langs, gru.train([t for _, t in rows], np.array([langs.index(name) for name, _ in rows], np.int64), max(1, len(langs)))
 
 
 def _predict(langs, weights, place):
     def run(batches):
-        known_words = _Known(weights)
         for batch in batches:
             column = text_column(batch, place)
             rest = {k: c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "text"}
             for a, b, data, offsets in text_chunks(column, CHUNK):
-                w = Words(data, offsets, WHITE)
-                hashes, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                raw = data.tobytes()
-                starts, ends = w.starts[first], w.ends[first]
-                total, count = known_words.scores(hashes, lambda k, raw=raw, s=starts, e=ends: raw[s[k] : e[k]])
-                n = np.bincount(w.row, count[inverse], b - a)
-                score = np.stack([np.bincount(w.row, total[inverse, k], b - a).astype(float) for k in range(max(1, len(langs)))], 1)
-                score /= np.maximum(n, 1)[:, None]
-                texts = column.slice(a, b - a).to_pylist()
-                known = np.array([bool(langs) and t is not None and bool(_LETTER.search(t)) for t in texts], bool) & (n > 0)
+                total, n = gru.document_scores(weights, data, offsets)
+                score = total / np.maximum(n, 1)[:, None]
+                known = np.array([bool(langs) and t is not None and bool(_LETTER.search(t)) for t in column.slice(a, b - a).to_pylist()], bool) & (n > 0)
                 best = score.argmax(1)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -108,7 +68,8 @@ def _predict(langs, weights, place):
 def predict(docs: DataFrame, model: tuple[list[str], dict], doc_id="doc_id", text="text", whole_row=False) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` for every row, and with ``whole_row`` the input row as struct ``row``.
 
-    Null text, text without a letter and an untrained model give ``und`` with score 0.  Repeated rows are
+    Every byte of a text is labelled by the network in the stretch of its document that it lies in, and the probabilities of its
+    letters are pooled.  Null text, text without a letter and an untrained model give ``und`` with score 0.  Repeated rows are
     labelled one by one; an empty table gives no rows; other columns are ignored.  The weights are a few kilobytes.
     """
     rows, place = text_rows(docs, doc_id, text, whole_row)

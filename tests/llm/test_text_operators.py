@@ -258,15 +258,36 @@ def test_pii_keeps_base_and_adds_loose_forms(spark, tagger):
 
 # --- byte-level BPE -------------------------------------------------------------------------------------------------
 
-def test_bpe_equals_library_and_round_trips(spark, monkeypatch):
-    import base64
-
+def plain_merges(word, ranks):
+    """Rank merges as they are defined: the lowest pair, the leftmost of equals, again and again."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:])) if a + b in ranks]
+        if not found:
+            break
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_merges_equal_plain_rank_merges():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("theandqué \n漢") for _ in range(rng.randrange(1, 40))).encode() for _ in range(800)]
+    words += [b"a" * 300, b" " * 200, bytes(range(256)), b"x", "".join(rng.choice("abc") for _ in range(400)).encode()]
+    for w in words:
+        assert bpe.merged(w, ranks) == bpe._merged_long(w, ranks) == plain_merges(w, ranks), w
+    assert len(bpe.merged(b"ab" * 200_000, ranks)) > 1  # long words take n log n
+
+
+@pytest.mark.parametrize("size", [600, 1 << 20])
+def test_bpe_equals_library_and_round_trips(spark, monkeypatch, size):
     import tiktoken
 
-    monkeypatch.setattr(packs, "PACK_BYTES", 600)
+    monkeypatch.setattr(packs, "PACK_BYTES", size)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", size)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rows = corpus() + [(900, "a\x00b  \n\n c'est 12³ <|endoftext|>"), (900, "a\x00b  \n\n c'est 12³ <|endoftext|>"), (901, "漢字\u3000\U0001f600")]
     got = bpe.decode(bpe.encode(frame(spark, rows), path, public_tokenizers.PATTERN), path).collect()
     assert len(got) == len(rows)
@@ -275,8 +296,9 @@ def test_bpe_equals_library_and_round_trips(spark, monkeypatch):
         ids = lib.encode_ordinary(text[r.doc_id] or "")
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert bytes(r.decoded) == (text[r.doc_id] or "").encode()
-    assert bpe.encode(frame(spark, []), path, public_tokenizers.PATTERN).count() == 0
-    assert [r.n_tokens for r in bpe.encode(frame(spark, [(1, None), (2, "")]), path, public_tokenizers.PATTERN).collect()] == [0, 0]
+    assert bpe.decode(bpe.encode(frame(spark, []), path, public_tokenizers.PATTERN), path).count() == 0
+    none = bpe.decode(bpe.encode(frame(spark, [(1, None), (2, ""), (None, "x")]), path, public_tokenizers.PATTERN), path).collect()
+    assert sorted(((r.doc_id, r.n_tokens, bytes(r.decoded)) for r in none), key=str) == [(1, 0, b""), (2, 0, b""), (None, 1, b"x")]
 
 
 # --- chat -----------------------------------------------------------------------------------------------------------
@@ -378,14 +400,54 @@ def test_long_chains_settle(spark):
 
 def test_gru_gradients():
     p = {k: v.astype(np.float64) for k, v in gru.init(3).items()}
-    m, n = gru.sequences([b"abc", b"hello", b"x"])
-    y = np.array([0, 2, 1])
-    _, g = gru.gradients(p, m, n, y)
-    for k, at in (("out", (3, 1)), ("hf", (2, 20)), ("hb", (5, 40)), ("xf", (ord("l"), 33)), ("xb", (32, 4)), ("cb", (7,))):
+    m = np.frombuffer(b"abc de hello!  x y z ", np.uint8).reshape(3, 7)
+    y, on = np.array([0, 2, 1]), gru.is_letter(m)
+    _, g = gru.gradients(p, m, on, y)
+    for k, at in (("out", (3, 1)), ("hf", (2, 20)), ("hb", (5, 30)), ("xf", (ord("l"), 33)), ("xb", (32, 4)), ("cb", (7,))):
         a, b = ({**p, k: p[k].copy()} for _ in range(2))
         a[k][at] += 0.01
         b[k][at] -= 0.01
-        assert abs((gru.gradients(a, m, n, y)[0] - gru.gradients(b, m, n, y)[0]) / 0.02 - g[k][at]) < 1e-3
+        assert abs((gru.gradients(a, m, on, y)[0] - gru.gradients(b, m, on, y)[0]) / 0.02 - g[k][at]) < 1e-3
+
+
+def plain_network(p, data):
+    """Mean label probabilities of a document's letters, one stretch and one byte at a time."""
+    H, total, n = gru.HIDDEN, np.zeros(len(p["bias"])), 0
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for at in range(0, len(data), gru.CORE):
+        core = min(gru.CORE, len(data) - at)
+        width = -(-core // 32) * 32
+        seq = [data[i] if 0 <= i < len(data) else 32 for i in range(at - gru.EDGE, at + width + gru.EDGE)]
+        states = {}
+        for d in "fb":
+            h, out = np.zeros(H), []
+            for x in seq if d == "f" else seq[::-1]:
+                a, g = p["x" + d][x].astype(float), h @ p["h" + d].astype(float) + p["c" + d]
+                z, r = sigmoid(a[:H] + g[:H]), sigmoid(a[H : 2 * H] + g[H : 2 * H])
+                new = np.tanh(a[2 * H :] + r * g[2 * H :])
+                h = (1 - z) * new + z * h
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        for i in range(core):
+            b = data[at + i]
+            if b >= 128 or chr(b).isalpha():
+                s = np.concatenate([states["f"][gru.EDGE + i], states["b"][gru.EDGE + i]]) @ p["out"] + p["bias"]
+                total += np.exp(s) / np.exp(s).sum()
+                n += 1
+    return total / max(n, 1), n
+
+
+def test_prediction_equals_the_plain_network(spark):
+    from types import SimpleNamespace
+
+    weights = gru.init(3, seed=9)
+    weights["out"] *= 20
+    texts = ["one é two", "x", "", "long text, with 12 words; " * 60, "ß" * 300, "a" * gru.CORE, "b" * (gru.CORE + 1), "1 2 3", None]
+    got = {r.doc_id: r for r in langid.predict(frame(spark, list(enumerate(texts))), (["aa", "bb", "cc"], weights)).collect()}
+    for k, t in enumerate(texts):
+        score, n = plain_network(weights, (t or "").encode())
+        best = SimpleNamespace(lang="und", score=0.0) if not n else SimpleNamespace(lang=["aa", "bb", "cc"][int(score.argmax())], score=score.max())
+        assert got[k].lang_pred == best.lang and abs(got[k].score - best.score) < 1e-4
 
 
 def test_language_accuracy_on_held_out_documents(spark):
