@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 24
+HIDDEN = 8
 SYMBOLS = 99
 
 
@@ -131,18 +131,81 @@ def train(m, y, labels, steps=160, batch=64, rate=0.015, seed=7):
     return p
 
 
-def decode(p, m):
-    """Best label rows (B, T) under the CRF."""
-    e, _ = emissions(p, m)
-    steps, b, n = e.shape
-    back = np.zeros((steps, b, n), np.int8)
-    score = e[0] + p["begin"]
+def _scores(p, d, m):
+    """Each position's share of the label scores from one direction (T, L, B) of symbol columns (T, B); one step's states are held.
+
+    Units come first, so every gate is one stretch of memory.  sigmoid(x) = (tanh(x / 2) + 1) / 2; its halves are in the weights.
+    """
+    H, b = HIDDEN, m.shape[1]
+    half = np.concatenate([np.full(3 * H, 0.5, np.float32), np.ones(H, np.float32)])
+    x = np.ascontiguousarray(((p["x" + d] + p["c" + d]) * half).T)
+    u = np.ascontiguousarray((p["h" + d] * half).T)
+    w = np.ascontiguousarray((p["out"][:H] if d == "f" else p["out"][H:]).T)
+    out = np.empty((len(m), len(w), b), np.float32)
+    h, c = np.zeros((H, b), np.float32), np.zeros((H, b), np.float32)
+    a, g = np.empty((4 * H, b), np.float32), np.empty((4 * H, b), np.float32)
+    gates, f, i, o, n = a[: 3 * H], a[:H], a[H : 2 * H], a[2 * H : 3 * H], a[3 * H :]
+    for t in range(len(m)) if d == "f" else range(len(m) - 1, -1, -1):
+        np.take(x, m[t], 1, out=a, mode="clip")
+        np.matmul(u, h, out=g)
+        a += g
+        np.tanh(a, out=a)
+        gates += 1
+        gates *= 0.5
+        c *= f
+        n *= i
+        c += n
+        np.tanh(c, out=h)
+        h *= o
+        np.matmul(w, h, out=out[t])
+    return out
+
+
+def best(p, e):
+    """Best label columns (T, B) of scores (T, L, B)."""
+    steps, n, b = e.shape
+    back = np.zeros((steps, n, b), np.int8)
+    score = e[0] + p["begin"][:, None]
+    most, some, better = np.empty_like(score), np.empty_like(score), np.empty((n, b), bool)
     for t in range(1, steps):
-        every = score[:, :, None] + p["trans"][None]
-        back[t] = every.argmax(1)
-        score = np.take_along_axis(every, back[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
-    y = np.empty((b, steps), np.int64)
-    y[:, -1] = score.argmax(1)
+        np.add(score[0], p["trans"][0][:, None], out=most)
+        for j in range(1, n):
+            np.add(score[j], p["trans"][j][:, None], out=some)
+            np.greater(some, most, out=better)
+            np.copyto(most, some, where=better)
+            np.copyto(back[t], j, where=better)
+        np.add(most, e[t], out=score)
+    y = np.empty((steps, b), np.int8)
+    own = np.arange(b)
+    y[-1] = score.argmax(0)
     for t in range(steps - 1, 0, -1):
-        y[:, t - 1] = back[t][np.arange(b), y[:, t]]
+        y[t - 1] = back[t, y[t], own]
+    return y
+
+
+def open_rows(p, m):
+    """Of symbol rows (B, T): which need a search for their best labels, and the scores (T, L, those) of these.
+
+    A row in which, at every place, any other label loses to label 0 by more than the transitions into and out of it can give has 0
+    throughout as its best path.
+    """
+    columns = np.ascontiguousarray(m.T).astype(np.intp)
+    e = _scores(p, "f", columns)
+    e += _scores(p, "b", columns)
+    e += p["bias"][:, None]
+    A, begin = p["trans"], p["begin"]
+    gain = np.maximum(A.max(0) - A[0, 0], begin - begin[0]) + np.maximum(0, A[:, 0] - A[0, 0])
+    most = np.full((len(columns), len(m)), -np.inf, np.float32)
+    for j in range(1, e.shape[1]):
+        np.maximum(most, e[:, j] + gain[j], out=most)
+    found = np.flatnonzero((most >= e[:, 0]).any(0))
+    return found, e[:, :, found]
+
+
+def decode(p, m):
+    """Best label rows (B, T) under the CRF of symbol rows (B, T)."""
+    y = np.zeros(m.shape, np.int8)
+    found, e = open_rows(p, m)
+    if len(found):
+        y[found] = best(p, e).T
     return y

@@ -1,9 +1,9 @@
 """Personal data: fixed rules, and a character tagger trained on labelled spans that adds what they miss.
 
 Labels of the training windows are the rules' own spans in a bounded sample of documents and spans written
-in looser forms into its texts.  Every accepted span holds a digit or an at-sign, so only windows with one are
-decoded.  Overlapping windows are reconciled over the whole text: a span cut by a window's edge gives way to
-the neighbour that sees it whole, and longer spans win.
+in looser forms into its texts.  Every text is decoded whole in overlapping windows.  Their labels are reconciled over the whole
+text: where two windows overlap, the seam between them is a place at which both see nothing, else one where they agree, else the
+middle; spans are read from the joined labels, so they may be longer than a window.
 """
 
 from __future__ import annotations
@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lstmcrf
-from .shared import text_column, text_rows
+from .shared import frugal, text_column, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 #: Training sample: snippets at most.
 SNIPPETS = 600
-WIDTH, STRIDE = 96, 48
+WIDTH, STRIDE = 384, 320
+#: Windows that are decoded together, and the width of those that the tagger is trained on.
+GROUP, TRAIN_WIDTH = 512, 96
+#: Characters of texts that are decoded together, at least one text.
+CHUNK = 1 << 20
+SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,6 +37,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
+#: Symbol of a line end, which also pads windows.
+LINE_END = 95
 
 
 def luhn(digits: str) -> bool:
@@ -86,48 +93,73 @@ def _inside_a_word(t: str, x: int, z: int) -> bool:
     return x > 0 and (t[x - 1] + t[x]).isalnum() or z < len(t) and (t[z - 1] + t[z]).isalnum()
 
 
-def _windows(n: int, anchors: list[int]) -> list[int]:
-    """Starts of the overlapping windows that hold an anchor."""
-    starts = set()
-    for a in anchors:
-        k = a // STRIDE
-        starts.update(x * STRIDE for x in (k - 1, k) if x >= 0)
-    return sorted(starts)
-
-
 def _label_spans(y: np.ndarray):
-    """(kind, start, end) runs of a label row: 0 is outside, 2k+1 begins and 2k+2 continues kind k."""
-    kind, start = -1, 0
-    for i, v in enumerate([*y.tolist(), 0]):
-        k = (v - 1) // 2 if v else -1
-        if kind >= 0 and (k != kind or v % 2 == 1):
-            yield kind, start, i
-            kind = -1
-        if k >= 0 and kind < 0:
-            kind, start = k, i
+    """(kind, start, end) of runs of one label: 0 is outside, k + 1 is kind k."""
+    edge = np.flatnonzero(np.diff(y, prepend=0, append=0))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if y[a]:
+            yield int(y[a]) - 1, a, b
+
+
+def _seam(a: np.ndarray, b: np.ndarray) -> int:
+    """Where to go from the labels ``a`` of the overlap to ``b``: a place where both are outside, else where they agree, nearest the middle."""
+    places = np.abs(np.arange(len(a)) - len(a) // 2)
+    for ok in ((a == 0) & (b == 0), a == b):
+        if ok.any():
+            return int(np.where(ok, places, len(a)).argmin())
+    return len(a) // 2
+
+
+def labels(texts: list[str], weights: dict) -> list[np.ndarray]:
+    """Labels of every character of each text, stitched from the windows that cover it."""
+    own = [lstmcrf.symbols(t) for t in texts]
+    jobs = [(k, s) for k, m in enumerate(own) for s in range(0, max(1, len(m) - (WIDTH - STRIDE)), STRIDE) if len(m)]
+    width = [-(-min(WIDTH, len(own[k]) - s) // 32) * 32 for k, s in jobs]
+    order = np.argsort(np.array(width, np.int64), kind="stable")
+    out = [np.zeros(len(m), np.int8) for m in own]
+    cut: dict[tuple, np.ndarray] = {}
+    held: list[tuple[list, np.ndarray]] = []
+
+    def search():
+        e = np.full((WIDTH, 1 + len(KINDS), sum(len(x) for x, _ in held)), -1e9, np.float32)
+        e[:, 0] = 0  # beyond a shorter window there is nothing
+        n = 0
+        for x, own_e in held:
+            e[: len(own_e), :, n : n + len(x)] = own_e
+            n += len(x)
+        for job, y in zip([j for x, _ in held for j in x], lstmcrf.best(weights, e).T, strict=True):
+            if y.any():
+                cut[job] = y
+        held.clear()
+
+    for part in np.split(order, np.flatnonzero(np.diff(np.array(width, np.int64)[order])) + 1):
+        for at in range(0, len(part), GROUP):
+            some = part[at : at + GROUP].tolist()
+            m = np.full((len(some), width[some[0]]), LINE_END, np.int64)
+            for r, j in enumerate(some):
+                k, s = jobs[j]
+                m[r, : min(WIDTH, len(own[k]) - s)] = own[k][s : s + WIDTH]
+            found, e = lstmcrf.open_rows(weights, m)
+            if len(found):
+                held.append(([jobs[some[r]] for r in found.tolist()], e))
+            if sum(len(x) for x, _ in held) >= GROUP:
+                search()
+    if held:
+        search()
+    nothing = np.zeros(WIDTH, np.int8)
+    for k, s in sorted({x for k, s in cut for x in ((k, s), (k, s + STRIDE)) if x[1] == s or s + STRIDE < len(own[k]) - (WIDTH - STRIDE)}):
+        y, n = cut.get((k, s), nothing), min(WIDTH, len(own[k]) - s)
+        seam = _seam(cut.get((k, s - STRIDE), nothing)[STRIDE:], y[: WIDTH - STRIDE]) if s else 0
+        out[k][s + seam : s + n] = y[seam:n]
+    return out
 
 
 def add_spans(texts: list[str], base: list[list], weights: dict) -> list[list]:
     """Spans that the tagger adds to each text; none overlaps another or a rule's span."""
-    jobs = []
-    for k, t in enumerate(texts):
-        anchors = [m.start() for m in _ANCHOR.finditer(t)]
-        jobs += [(k, s) for s in _windows(len(t), anchors)]
-    found: list[list] = [[] for _ in texts]
-    for a in range(0, len(jobs), 512):
-        part = jobs[a : a + 512]
-        m = np.stack([lstmcrf.symbols(texts[k][s : s + WIDTH].ljust(WIDTH, "\n")) for k, s in part])
-        for (k, s), y in zip(part, lstmcrf.decode(weights, m), strict=True):
-            t = texts[k]
-            for kind, x, z in _label_spans(y):
-                x, z = x + s, min(z + s, len(t))
-                whole = (x > s or s == 0) and (z < s + WIDTH or z == len(t))
-                if whole and _ANCHOR.search(t, x, z):
-                    found[k].append((kind, x, z))
     out = []
-    for t, own, new in zip(texts, base, found, strict=True):
+    for t, own, y in zip(texts, base, labels(texts, weights), strict=True):
         taken, kept = [(x, z) for _, x, z in own], []
-        for kind, x, z in sorted(set(new), key=lambda v: (v[1] - v[2], v[1], v[0])):
+        for kind, x, z in sorted(_label_spans(y) if y.any() else (), key=lambda v: (v[1] - v[2], v[1], v[0])):
             while x < z and t[x] in " \n.,;:":
                 x += 1
             while z > x and t[z - 1] in " \n.,;:":
@@ -159,7 +191,7 @@ def _loose(rng) -> tuple[int, str]:
 def training_windows(snippets: list[str], seed: int = 7):
     """Label rows over windows: the rules' spans where they stand, and looser ones written into the texts."""
     rng = np.random.default_rng(seed)
-    texts, labels = [], []
+    texts, marks = [], []
     for t in [*snippets, *[s for s in snippets if not _ANCHOR.search(s)], *["the and of to in is"] * 200]:
         t = t[:400]
         spans = base_spans(t)
@@ -172,42 +204,57 @@ def training_windows(snippets: list[str], seed: int = 7):
                 spans = [(k, a, b) if b <= i else (k, a + len(s) + 1, b + len(s) + 1) for k, a, b in spans] + [(kind, i, i + len(s))]
         y = np.zeros(len(t), np.int64)
         for k, a, b in spans:
-            y[a:b] = 2 * k + 2
-            y[a] = 2 * k + 1
+            y[a:b] = k + 1
         texts.append(t)
-        labels.append(y)
+        marks.append(y)
     m, ys = [], []
-    for t, y in zip(texts, labels, strict=True):
-        for s in _windows(len(t), [x.start() for x in _ANCHOR.finditer(t)]) or [0]:
-            m.append(lstmcrf.symbols(t[s : s + WIDTH].ljust(WIDTH, "\n")))
-            ys.append(np.pad(y[s : s + WIDTH], (0, WIDTH - len(y[s : s + WIDTH]))))
+    for t, y in zip(texts, marks, strict=True):
+        own = lstmcrf.symbols(t)
+        anchors = [x.start() for x in _ANCHOR.finditer(t)]
+        # a window around each span or digit at a place that varies, and one from anywhere
+        for a in [*anchors[:: max(1, len(anchors) // 6)], int(rng.integers(max(1, len(t))))]:
+            s = max(0, min(a - int(rng.integers(TRAIN_WIDTH)), len(t) - TRAIN_WIDTH))
+            n = len(own[s : s + TRAIN_WIDTH])
+            m.append(np.pad(own[s : s + n], (0, TRAIN_WIDTH - n), constant_values=LINE_END))
+            ys.append(np.pad(y[s : s + n], (0, TRAIN_WIDTH - n)))
     return np.stack(m), np.stack(ys)
 
 
 def fit(docs: DataFrame, text="text") -> dict:
-    """Tagger weights from a bounded sample of snippets: half around a digit or at-sign, half from anywhere."""
+    """Tagger weights from a bounded sample of snippets: half around a digit or at-sign, half from anywhere.
+
+    Texts are thinned by their hash before anything is shuffled; copies of a text are one.
+    """
     src = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    near = src.where(F.col("t").rlike("[0-9@]")).select(
+    n = docs.agg(F.count(F.col(text)).alias("n")).first()["n"]
+    thin = src.where(F.pmod("h", F.lit(1 << 20)) * F.lit(n) < F.lit(40 * SNIPPETS << 20))
+    near = thin.where(F.col("t").rlike("[0-9@]")).select(
         "h", F.expr("substr(t, greatest(regexp_instr(t, '[0-9@]') - 150, 1), 400)").alias("s")
     )
-    far = src.select("h", F.substring("t", 1, 400).alias("s"))
-    rows = [r.s for x in (near, far) for r in x.dropDuplicates(["h"]).orderBy("h").limit(SNIPPETS // 2).collect()]
-    return lstmcrf.train(*training_windows(rows), 1 + 2 * len(KINDS))
+    far = thin.select("h", F.substring("t", 1, 400).alias("s"))
+    rows = [r.s for x in (near, far) for r in x.groupBy("h").agg(F.first("s").alias("s")).orderBy("h").limit(SNIPPETS // 2).collect()]
+    return lstmcrf.train(*training_windows(rows), 1 + len(KINDS))
 
 
 def _find(weights, place):
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in text_column(batch, place).to_pylist()]
-            some = [k for k, t in enumerate(texts) if _ANCHOR.search(t)]
-            base = {k: base_spans(texts[k]) for k in some}
-            added = dict(zip(some, add_spans([texts[k] for k in some], [base[k] for k in some], weights), strict=True))
-            spans = []
-            for k in range(len(texts)):
-                own = [(*s, True) for s in base.get(k, ())] + [(*s, False) for s in added.get(k, ())]
-                spans.append([{"kind": KINDS[s[0]], "start": s[1], "end": s[2], "base": s[3]} for s in sorted(own)])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-            yield pa.record_batch([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
+            at = 0
+            while at < len(texts):  # a megabyte or so at a time, at least one text
+                to, size = at + 1, len(texts[at])
+                while to < len(texts) and size + len(texts[to]) <= CHUNK:
+                    size += len(texts[to])
+                    to += 1
+                some = texts[at:to]
+                base = [base_spans(t) for t in some]
+                spans = []
+                for own, new in zip(base, add_spans(some, base, weights.value), strict=True):
+                    every = sorted([(*s, True) for s in own] + [(*s, False) for s in new])
+                    spans.append([{"kind": KINDS[s[0]], "start": s[1], "end": s[2], "base": s[3]} for s in every])
+                part = batch.slice(at, to - at)
+                yield pa.record_batch([*part.columns, pa.array(spans, SPAN_TYPE)], [*batch.schema.names, "spans"])
+                at = to
 
     return run
 
@@ -220,7 +267,8 @@ def find_pii(docs: DataFrame, weights: dict, doc_id="doc_id", text="text", whole
     """
     rows, place = text_rows(docs, doc_id, text, whole_row)
     schema = T.StructType([*rows.schema, *T.StructType.fromDDL(f"spans {SPANS}")])
-    return rows.mapInArrow(_find(weights, place), schema).withColumnsRenamed({"doc_id": doc_id, "text": text})
+    weights = docs.sparkSession.sparkContext.broadcast(weights)
+    return rows.mapInArrow(frugal(_find(weights, place)), schema).withColumnsRenamed({"doc_id": doc_id, "text": text})
 
 
 def masked(text: Column, spans: Column) -> Column:

@@ -231,6 +231,8 @@ def test_crf_gradients_and_decoding():
     every = [tuple((n // 3**t) % 3 for t in range(5)) for n in range(3**5)]
     for b, row in enumerate(lstmcrf.decode(p, m)):
         assert tuple(row) == max(every, key=lambda w: score(w, b))
+    p["bias"][0] += 20  # now 0 wins everywhere, which is seen without a search
+    assert len(lstmcrf.open_rows(p, m)[0]) == 0 and not lstmcrf.decode(p, m).any()
 
 
 @pytest.fixture(scope="module")
@@ -253,9 +255,48 @@ def test_pii_keeps_base_and_adds_loose_forms(spark, tagger):
     assert "é [phone] und [ip] end" in text and None in text and "" in text
     found = pii.add_spans(["pay 4387.5130.3523.7269 soon"], [[]], tagger)
     assert found == [[(2, 4, 23)]]
+    assert pii.add_spans(["", "x"], [[], []], tagger) == [[], []] and pii.add_spans([], [], tagger) == []
     assert pii.find_pii(frame(spark, []), tagger).count() == 0
 
 
+def test_tagger_recall_on_held_out_spans(spark, tagger):
+    texts = [r.text[:700] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(300).collect()]
+    rng, got = np.random.default_rng(99), {k: [0, 0] for k in range(4)}
+    marked, gold = [], []
+    for t in texts:
+        cut = [i for i, c in enumerate(t) if c == " "]
+        kind, s = pii._loose(rng)
+        i = cut[rng.integers(len(cut))] + 1 if cut else 0
+        marked.append(t[:i] + s + " " + t[i:])
+        gold.append((kind, i, i + len(s)))
+    base = [pii.base_spans(t) for t in marked]
+    for (kind, a, b), own, new in zip(gold, base, pii.add_spans(marked, base, tagger)):
+        if not any(x < b and z > a for _, x, z in own):  # the rules miss it
+            got[kind][0] += any(x < b and z > a for _, x, z in new)
+            got[kind][1] += 1
+    assert sum(a for a, _ in got.values()) >= 0.8 * sum(b for _, b in got.values()), got
+    base = [pii.base_spans(t) for t in texts]
+    assert sum(map(len, pii.add_spans(texts, base, tagger))) <= 3  # and clean texts stay clean
+
+
+def test_labels_are_stitched_over_windows(monkeypatch):
+    """A made-up tagger marks every x: runs of any length come out whole wherever windows end."""
+    def open_rows(_, m):
+        e = np.zeros((m.shape[1], 5, len(m)), np.float32)
+        e[:, 2] = np.where(m.T == ord("x") - 32, 9, -9)
+        return np.arange(len(m)), e
+
+    monkeypatch.setattr(pii.lstmcrf, "open_rows", open_rows)
+    monkeypatch.setattr(pii, "WIDTH", 64)
+    monkeypatch.setattr(pii, "STRIDE", 48)
+    weights = pii.lstmcrf.init(5)
+    for n in (0, 1, 40, 64, 65, 112, 300):
+        for at in (0, 3, 47, 60, 111):
+            t = "a" * at + "x" * n + "b" * 50 + "x"
+            (y,) = pii.labels([t], weights)
+            assert "".join("x" if v == 2 else "." for v in y) == re.sub("[^x]", ".", t)
+
+
 # --- byte-level BPE -------------------------------------------------------------------------------------------------
 
 def plain_merges(word, ranks):
