@@ -8,20 +8,28 @@ SAMPLE = 8
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix order of integer symbols by prefix doubling; the end sorts first."""
+    """Suffix order of integer symbols by prefix doubling; the end sorts first.  Only suffixes that still tie are sorted again."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    value = s[order]
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], value[1:] != value[:-1]])[:n], np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = head
     k = 1
     while True:
-        key = (rank + 1) * (n + 2)
-        key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank, k = new, 2 * k
-        if n < 2 or rank[order[-1]] == n - 1 or k >= n:
+        same = np.concatenate([[False], head[1:] == head[:-1], [False]])
+        tied = np.flatnonzero(same[1:] | same[:-1])[: n]
+        if not len(tied):
             return order
+        own = order[tied]
+        after = np.where(own + k < n, rank[np.minimum(own + k, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + after
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[tied] = own
+        head[tied] = tied[np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))]
+        rank[own] = head[tied]
+        k *= 2
 
 
 class _Bits:
@@ -42,11 +50,13 @@ class _Bits:
 
 
 class FMIndex:
-    """Index of symbols 0..``size``-1.  Symbol 0 ends the text and is put there by this class."""
+    """Index of symbols 1..``size``-1; 1 stands between texts, and no phrase holds it.  Symbol 0 ends the whole and is put there by this class."""
 
     def __init__(self, symbols: np.ndarray, size: int):
         text = np.concatenate([symbols.astype(np.int64), [0]])
-        sa = suffix_array(text)
+        between = text == 1
+        # each boundary sorts as a symbol of its own, so copies of a text are told apart at their ends
+        sa = suffix_array(np.where(text > 1, text + between.sum(), np.where(between, np.cumsum(between), 0)))
         bwt = text[sa - 1]
         self.n = len(text)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
@@ -58,7 +68,7 @@ class FMIndex:
             self.bits.append(_Bits(b))
             self.zeros.append(int((b == 0).sum()))
             cur = np.concatenate([cur[b == 0], cur[b == 1]])
-        marked = sa % SAMPLE == 0
+        marked = (sa % SAMPLE == 0) | (text[sa - 1] == 1)  # the way back never crosses a boundary
         self.marked, self.samples = _Bits(marked), sa[marked]
 
     def _rank(self, symbol, i):

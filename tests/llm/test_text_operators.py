@@ -149,10 +149,11 @@ def test_automaton_on_random_vocabularies():
 
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
-    for size in (2, 3, 9):
-        text = rng.integers(1, size, 300) if size > 2 else np.ones(40, np.int64)
+    for size in (3, 4, 10):
+        text = rng.integers(2, size, 300) if size > 3 else np.full(40, 2)
+        text[[11, 12, 30]] = 1  # boundaries, which no phrase holds
         index = fmindex.FMIndex(text, size)
-        phrases = [rng.integers(1, size, n) for n in (1, 2, 3, 5)] + [text[7:20], text[-3:]]
+        phrases = [rng.integers(2, size, n) for n in (1, 2, 3, 5)] + [text[13:26], text[-3:], text[4:11]]
         table = np.zeros((len(phrases), 13), np.int64)
         for k, p in enumerate(phrases):
             table[k, : len(p)] = p
@@ -162,19 +163,22 @@ def test_fm_index_counts_and_locates():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == expected
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
-def test_contamination_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "piece"), [(decontaminate.BLOCK_BYTES, decontaminate.PIECE_WORDS), (200, 15)])
+def test_contamination_equals_brute_force(spark, monkeypatch, block, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 3000 if piece == 15 else decontaminate.SHARD_BYTES)
     rows = corpus()
     items = [(k, " ".join(rows[k][1].upper().split()[:20])) for k in range(0, 30, 3)] + [(100, None), (101, ""), (102, "a,b;C"), (103, "ONE"), (104, rows[0][1])]
+    items += [(None, rows[4][1]), (None, rows[7][1][:60]), (0, rows[8][1]), (0, rows[8][1]), (105, " ".join(x[1] or "" for x in rows[:9]))]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: word.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
     wins = {}
     for i, t in items:
         w = lower(t)
         for k in range(max(1, len(w) - 12) if w else 0):
-            wins.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+            wins.setdefault(tuple(w[k : k + 13]), set()).add("" if i is None else str(i))
     got = decontaminate.find_contamination(
-        frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block
+        frame(spark, rows), spark.createDataFrame([(*x, "i", 1) for x in items], "item_id long, text string, i string, doc_id long"), block_bytes=block
     ).withColumn("c", decontaminate.contaminated()).collect()
     assert len(got) == len(rows)
     for r in got:
