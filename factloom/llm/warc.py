@@ -8,6 +8,7 @@ member, goes on there, and logs the bytes in between as a gap.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -20,8 +21,8 @@ from .shared import new_path, saved, small_or_plain
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
-#: Records in one archive file at most.
-FILE_RECORDS = 10_000
+#: Payload bytes of a record at most, and records in one archive file of such: a file stays near 64 MB unless a single record is longer.
+FILE_RECORDS = ((64 << 10, 1000), (1 << 20, 64), (16 << 20, 4), (None, 1))
 #: Payloads of at least so many bytes may be replaced by a revisit record.
 REVISIT_BYTES = 1000
 
@@ -54,9 +55,10 @@ def record_text(page_id="page_id", url="url", payload="html"):
     body = F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col(payload), F.lit("")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     uri = F.regexp_replace(F.col(url), r"[\x00-\x20\x7f]", "%20")
+    exact = F.when(uri != F.col(url), F.base64(F.col(url).cast("binary")))  # so that the reader gives back what was written
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.lit("\r\n"),
-        line("WARC-Record-ID", urn(page_id)), line("WARC-Target-URI", uri),
+        line("WARC-Record-ID", urn(page_id)), line("WARC-Target-URI", uri), line("X-Target-URI-Base64", F.replace(exact, F.lit("\r\n"), F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("WARC-Refers-To", urn("refers_to")),
         line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(body.cast("binary")))),
@@ -68,11 +70,21 @@ def record_text(page_id="page_id", url="url", payload="html"):
 def write_warc(pages: DataFrame, path: str, page_id="page_id", url="url", payload="html") -> None:
     """Write one record per row.  Null payloads are empty; null ids and urls leave their header out.
 
-    Of rows with equal payloads of at least ``REVISIT_BYTES`` bytes the largest id is the response.
+    Of rows with equal payloads of at least ``REVISIT_BYTES`` bytes the largest id is the response; if several rows have that id,
+    each of them is one.  Repeated rows are records of their own; an empty table writes no record; other columns are ignored.
     """
     rows = classify(pages.select(F.col(page_id), F.col(url), F.col(payload)), page_id, payload)
-    (rows.select(record_text(page_id, url, payload).alias("value")).write
-        .option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    text = rows.select("payload_bytes", record_text(page_id, url, payload).alias("value"))
+    size = F.coalesce(F.octet_length(F.col(payload)), F.lit(0))
+    kind = F.lit(len(FILE_RECORDS) - 1)
+    for k in range(len(FILE_RECORDS) - 2, -1, -1):
+        kind = F.when(size <= FILE_RECORDS[k][0], k).otherwise(kind)
+    here = sorted(r.k for r in pages.select(kind.alias("k")).distinct().collect()) or [0]
+    low = [-1, *[x for x, _ in FILE_RECORDS[:-1]]]
+    for k in here:
+        most, records = FILE_RECORDS[k]
+        own = (F.col("payload_bytes") > low[k]) & (F.lit(True) if most is None else F.col("payload_bytes") <= most)
+        text.where(own).select("value").write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 
 def _record(data: bytes, at: int) -> tuple[dict, int]:
@@ -97,6 +109,8 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     body = data[start:stop]
     if (block := fields.get("warc-block-digest")) and block != "sha1:" + hashlib.sha1(body).hexdigest():
         raise ValueError("block digest differs")
+    if fields.get("warc-type") == "response" and (own := fields.get("warc-payload-digest")) and own != "sha1:" + hashlib.sha1(body).hexdigest():
+        raise ValueError("payload digest differs")
     return {"fields": fields, "body": body}, stop + 4
 
 
@@ -152,12 +166,14 @@ def _read(batches):
                     rows.append((path, start, stop, x, *[None] * 7))
                     continue
                 f, body = x["fields"], x["body"]
-                full = f.get("x-payload-length", "")
-                rows.append((
-                    path, start, stop, None, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"),
-                    f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                    int(full) if full.isdigit() else len(body), body,
-                ))
+                digest, size = hashlib.sha1(body).hexdigest(), len(body)
+                if f.get("warc-type") == "revisit":  # its payload is another record's, so its headers are all there is
+                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    size = int(f["x-payload-length"]) if f.get("x-payload-length", "").isdigit() else None
+                url = f.get("warc-target-uri")
+                if exact := f.get("x-target-uri-base64"):
+                    url = base64.b64decode(exact).decode("utf-8", "replace")
+                rows.append((path, start, stop, None, f.get("warc-type"), f.get("warc-record-id"), url, f.get("warc-refers-to"), digest, size, body))
                 held += len(body)
                 if held > 8 << 20:
                     yield _table(rows)
@@ -173,5 +189,8 @@ def _table(rows):
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records and gaps of every file under ``path``; a row with ``gap`` set is a quarantined byte range."""
+    """Records and gaps of every file under ``path``; a row with ``gap`` set is a quarantined byte range.
+
+    Size and digest of a response are worked out from the payload that was read, those of a revisit are its headers'.
+    """
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, READ)
