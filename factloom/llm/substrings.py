@@ -2,8 +2,9 @@
 
 Blocks of ``ANCHOR`` words that don't overlap are the reference index; every rolling window of as many words
 probes it.  A repeat of ``WINDOW`` >= 2 * ANCHOR - 1 words holds a whole reference block in each of its copies, so
-only around hits can a repeat lie.  There the windows of ``WINDOW`` words are compared in full, and windows found
-elsewhere too join up to maximal repeats.  Hashes travel in one list per pack and owner, answers come back as bits.
+only around hits can a repeat lie.  Each hit is extended by the windows of ``WINDOW`` words that hold it: those found
+elsewhere too, by hashes of 128 bits, join up to maximal repeats.  A hit isn't compared with the other texts one by one, as a passage
+of many copies would need all their pairs.  Hashes travel in one list per pack and owner, answers come back as bits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from . import packs
 from .shared import text_bytes
-from .wordhash import WHITE, Words, spread, starts_inside, text_chunks, windows
+from .wordhash import WHITE, Words, spread, starts_inside, text_chunks, unique_pairs, windows
 
 ANCHOR = 18
 WINDOW = 35
@@ -29,12 +30,15 @@ _ANSWER = pa.schema([("owner", pa.int32()), ("pack", pa.binary()), ("kind", pa.i
 class _Pack:
     """Word hashes of all documents of a pack, one after the other."""
 
-    def __init__(self, column: pa.Array):
-        hashes, counts = [], []
+    def __init__(self, column: pa.Array, wide: bool = False):
+        hashes, others, counts = [], [], []
         for _, _, data, offsets in text_chunks(column):
             w = Words(data, offsets, WHITE)
             hashes.append(w.hashes())
+            if wide:
+                others.append(w.hashes(other=True))
             counts.append(w.counts)
+        self.other = np.concatenate(others) if others else np.zeros(0, np.uint64)
         self.h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [0])]).astype(np.int64)
 
@@ -46,6 +50,10 @@ class _Pack:
         at, row = at[long], row[long]
         return at, windows(self.h, ANCHOR)[at], (at - self.first[row]) % ANCHOR == 0
 
+    def full(self, starts: np.ndarray):
+        """The distinct full windows at these places as pairs of hashes, which one each place has, and how often they are there."""
+        return unique_pairs(windows(self.h, WINDOW)[starts], windows(self.other, WINDOW)[starts])
+
     def around(self, live: np.ndarray) -> np.ndarray:
         """Starts of full windows that hold a live anchor in their first ANCHOR places."""
         n = len(self.h)
@@ -54,14 +62,6 @@ class _Pack:
         return at[near[at]]
 
 
-def _lists(name: bytes, keys: np.ndarray, flags: np.ndarray, owners: int, short: bool):
-    rows = []
-    for o, own in packs.deal(keys, owners):
-        k = keys[own].astype(np.uint32) if short else keys[own]
-        rows.append((o, name, 0, k.tobytes(), flags[own].tobytes()))
-    return rows
-
-
 def _bits(answers: pa.Table, kind: int, keys: np.ndarray, owners: int) -> np.ndarray:
     """The answered bit of each of the sorted distinct keys."""
     got = {o: b for o, k, b in zip(*(answers.column(c).to_pylist() for c in ("owner", "kind", "bits")), strict=True) if k == kind}
@@ -88,7 +88,7 @@ def _ask_anchors(owners, size):
         for name, got in packs.groups(batches, size):
             _, keys, _, flags = _anchor_keys(_Pack(got.column(1)))
             # half a hash and the owner's share of the rest: enough to thin out, the full windows decide
-            if rows := _lists(name, keys, flags, owners, short=True):
+            if rows := [(o, name, 0, keys[own].astype(np.uint32).tobytes(), flags[own].tobytes()) for o, own in packs.deal(keys, owners)]:
                 yield _batch(rows, _ASK)
 
     return run
@@ -100,12 +100,18 @@ def _answer(kind: int):
     def run(table: pa.Table) -> pa.Table:
         dtype = np.uint32 if kind == 0 else np.uint64
         lists = [np.frombuffer(x, dtype) for x in table.column("keys").to_pylist()]
+        if kind:  # pairs of hashes
+            pairs, lists = lists, [x[: len(x) // 2] for x in lists]
         flags = [np.frombuffer(x, np.uint8) for x in table.column("flags").to_pylist()]
         passed = table.column("kind").to_pylist()
         own = [i for i, k in enumerate(passed) if k == 0]
         bits: list = [table.column("flags")[i].as_py() for i in range(len(passed))]
         if own:
-            keys, inverse = np.unique(np.concatenate([lists[i] for i in own]), return_inverse=True)
+            keys = np.concatenate([lists[i] for i in own])
+            if kind:
+                keys, _, inverse, _ = unique_pairs(keys, np.concatenate([pairs[i][len(lists[i]) :] for i in own]))
+            else:
+                keys, inverse = np.unique(keys, return_inverse=True)
             f = np.concatenate([flags[i] for i in own])
             twice = np.bincount(inverse, 1 + (f >= 2), len(keys)) > 1
             if kind == 0:
@@ -125,14 +131,15 @@ def _ask_windows(owners):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for name, blob in zip(left.column("pack").to_pylist(), left.column("blob"), strict=True):
-            p = _Pack(packs.load(blob.as_py()).column(1))
+            p = _Pack(packs.load(blob.as_py()).column(1), wide=True)
             at, keys, inverse, _ = _anchor_keys(p)
             live = at[_bits(right, 0, keys, owners)[inverse]]
             starts = p.around(live)
-            full, n = np.unique(windows(p.h, WINDOW)[starts], return_counts=True)
+            full, other, _, n = p.full(starts)
             mask = np.zeros(len(p.h), bool)
             mask[starts] = True
-            rows += _lists(name, full, 2 * (n > 1).astype(np.uint8), owners, short=False)
+            for o, own in packs.deal(full, owners):
+                rows.append((o, name, 0, full[own].tobytes() + other[own].tobytes(), (2 * (n[own] > 1)).astype(np.uint8).tobytes()))
             # where the candidates are goes along, and comes back with the answers
             rows.append((int.from_bytes(name[:4], "big") % owners, name, 1, b"", np.packbits(mask).tobytes()))
         return pa.Table.from_batches([_batch(rows, _ASK)] if rows else [], _ASK)
@@ -147,11 +154,11 @@ def _remove(owners, id_type):
         out = []
         for blob in left.column("blob"):
             got = packs.load(blob.as_py())
-            p = _Pack(got.column(1))
+            p = _Pack(got.column(1), wide=True)
             total = len(p.h)
             mask = next(b for k, b in zip(right.column("kind").to_pylist(), right.column("bits").to_pylist(), strict=True) if k == 1)
             starts = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=total))
-            keys, inverse = np.unique(windows(p.h, WINDOW)[starts], return_inverse=True)
+            keys, _, inverse, _ = p.full(starts)
             gone = spread(starts[_bits(right, 0, keys, owners)[inverse]], WINDOW, total)
             removed = np.concatenate([[0], np.cumsum(gone)])[p.first]
             cols = {f.name: [] for f in schema}

@@ -11,6 +11,7 @@ import pyarrow as pa
 U = np.uint64
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_OTHER = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _M1, _M2 = U(0x9E3779B97F4A7C15 | 1), U(0xC2B2AE3D27D4EB4F | 1)
 
 #: Separators as a byte mask: white space only, and everything in ASCII but letters and digits.
@@ -102,11 +103,12 @@ class Words:
         self.counts = np.bincount(self.row, minlength=len(offsets) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word; ``other`` gives a second one that is independent of it."""
         data = self.data
         up, down = _P1.get(len(data) + 1)
         total = np.zeros(len(data) + 1, U)
-        own = _BYTE[data]
+        own = (_OTHER if other else _BYTE)[data]
         own *= up[:-1]
         np.cumsum(own, out=total[1:])
         h = (total[self.ends] - total[self.starts]) * down[self.starts]
@@ -124,6 +126,17 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * down[:n] + U(k))
 
 
+def unique_pairs(a: np.ndarray, b: np.ndarray):
+    """Distinct pairs in order, which of them each pair is, and how often each is there."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return x[new], y[new], which, np.bincount(which, minlength=int(new.sum()))
+
+
 def starts_inside(first: np.ndarray, k: int) -> np.ndarray:
     """Positions at which ``k`` words of one row begin, given each row's first word and the total as last entry."""
     total = int(first[-1])
