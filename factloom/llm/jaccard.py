@@ -69,7 +69,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=12).digest()
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _describe(batches):
