@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 12
+HIDDEN = 8
 CORE, EDGE = 224, 16
 #: Stretches that run together; more rows don't run faster.
-GROUP = 512
+GROUP = 1024
 
 
 def _sigmoid(x):
@@ -125,34 +125,35 @@ def is_letter(data: np.ndarray) -> np.ndarray:
 
 
 def _scores(p, d, m):
-    """Each position's share of the label scores from one direction (T, C, B); only one step's states are held."""
+    """Each position's share of the label scores from one direction (T, C, B) of byte columns (T, B); one step's states are held.
+
+    Units come first, so every gate is one stretch of memory.  sigmoid(x) = (tanh(x / 2) + 1) / 2; its halves are in the weights.
+    """
     H, b = HIDDEN, m.shape[1]
-    # every gate in arrays of its own, so that all of them are contiguous; sigmoid(x) = (tanh(x / 2) + 1) / 2
-    (xz, xr, xn), (uz, ur, un), (cz, cr, cn) = (
-        [np.ascontiguousarray(p[k + d][..., i * H : (i + 1) * H] * np.float32(0.5 if i < 2 else 1)) for i in range(3)] for k in "xhc"
-    )
-    xz, xr = xz + cz, xr + cr
+    x = p["x" + d].T.copy()
+    x[: 2 * H] = (x[: 2 * H] + p["c" + d][: 2 * H, None]) * 0.5
+    u = np.concatenate([p["h" + d].T, np.zeros((3 * H, 1), np.float32)], 1) * np.float32(0.5)
+    u[2 * H :, H] = p["c" + d][2 * H :] * 0.5
     w = np.ascontiguousarray((p["out"][:H] if d == "f" else p["out"][H:]).T)
     out = np.empty((len(m), len(w), b), np.float32)
-    h, z, r, n, g, gn = (np.zeros((b, H), np.float32) for _ in range(6))
+    state = np.zeros((H + 1, b), np.float32)
+    state[H] = 1  # for the bias
+    h, a, g = state[:H], np.empty((3 * H, b), np.float32), np.empty((3 * H, b), np.float32)
+    zr, z, r, n, gn = a[: 2 * H], a[:H], a[H : 2 * H], a[2 * H :], g[2 * H :]
     for t in range(len(m)) if d == "f" else range(len(m) - 1, -1, -1):
-        for x, u, gate in ((xz, uz, z), (xr, ur, r)):
-            np.take(x, m[t], 0, out=gate, mode="clip")
-            np.matmul(h, u, out=g)
-            gate += g
-            np.tanh(gate, out=gate)
-            gate += 1
-            gate *= 0.5
-        np.take(xn, m[t], 0, out=n, mode="clip")
-        np.matmul(h, un, out=gn)
-        gn += cn
+        np.take(x, m[t], 1, out=a, mode="clip")
+        np.matmul(u, state, out=g)
+        zr += g[: 2 * H]
+        np.tanh(zr, out=zr)
+        zr += 1
         gn *= r
         n += gn
         np.tanh(n, out=n)
         h -= n
+        z *= 0.5
         h *= z
         h += n
-        np.matmul(w, h.T, out=out[t])
+        np.matmul(w, h, out=out[t])
     return out
 
 

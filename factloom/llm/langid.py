@@ -17,7 +17,7 @@ from .wordhash import text_chunks
 #: Training sample: documents of each language at most, and characters of each, from a place that its hash picks.
 DOCS_PER_LANGUAGE = 400
 CHARS_PER_DOC = 1200
-CHUNK = 1 << 18
+CHUNK = 1 << 19
 
 _LETTER = regex.compile(r"\p{L}")
 

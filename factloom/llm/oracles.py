@@ -85,7 +85,7 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b
 q AS (SELECT level, lang, source, metric, max(al) AS al, min(b) FILTER (WHERE upto * 100 >= al * 25) AS q1,
         min(b) FILTER (WHERE upto * 100 >= al * 50) AS q2, min(b) FILTER (WHERE upto * 100 >= al * 75) AS q3 FROM c GROUP BY ALL),
 t AS (SELECT *, CASE WHEN metric = 'word_length' THEN least(q1 - 3 * (q3 - q1), q2 - 30) END AS low,
-        greatest(q3 + 3 * (q3 - q1), q2 + CASE metric WHEN 'word_length' THEN 30 WHEN 'symbols' THEN 200 WHEN 'dup_lines' THEN 500 ELSE 250 END) AS high FROM q),
+        greatest(q3 + 3 * (q3 - q1), q2 + CASE metric WHEN 'word_length' THEN 30 WHEN 'symbols' THEN 30 ELSE 50 END) AS high FROM q),
 b AS (SELECT m.doc_id, bool_or(v > CASE WHEN o.al >= 50 THEN o.high WHEN l.al >= 50 THEN l.high ELSE w.high END
         OR coalesce(v < CASE WHEN o.al >= 50 THEN o.low WHEN l.al >= 50 THEN l.low ELSE w.low END, false)) AS bad
       FROM m LEFT JOIN t o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source

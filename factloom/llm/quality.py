@@ -1,7 +1,7 @@
 """Quality rules whose cut-offs adapt to each language and source, with Spark expressions only.
 
 Every document gets its counts inside its own row.  Each metric is then put into the bins of a
-mergeable quantile sketch: integers with four leading bits kept, so a quantile is right within one
+mergeable quantile sketch: integers with five leading bits kept, so a quantile is right within one
 sixteenth, and two sketches merge by adding counts.  Sketches are kept for (language, source), merged
 to languages and to the corpus; a group of fewer than ``MIN_GROUP`` documents uses the next larger one.
 """

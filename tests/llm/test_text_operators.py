@@ -56,6 +56,7 @@ def test_warc_round_trip(spark, tmp_path):
         revisit = html == big and i != 9
         assert (r.record_type, r.refers_to) == (("revisit", "<urn:page:9>") if revisit else ("response", None))
         assert bytes(r.payload) == (b"" if revisit else body)
+    assert got["<urn:page:1>"].url == "http://a b/" and got["<urn:page:2>"].url is None
     warc.write_warc(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
@@ -65,6 +66,24 @@ def record(k, body=b"hello"):
     return b"WARC/1.1\r\nWARC-Record-ID: %d\r\nWARC-Block-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, digest, len(body), body)
 
 
+def test_warc_files_stay_bounded_and_repeats_are_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", ((100, 10), (2000, 3), (None, 1)))
+    rows = [(k % 50, f"http://h/{k}\x00 %20", "x" * (5000 if k % 20 == 7 else 1500 if k % 3 else 5), "clash") for k in range(100)]
+    pages = spark.createDataFrame([*rows, (None, None, None, None)], "page_id long, url string, html string, payload_digest string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(got) == 101 and not any(r.gap for r in got) and sorted(str(r.url) for r in got) == sorted([*[str(x[1]) for x in rows], "None"])
+    per_file = {}
+    for r in got:
+        per_file.setdefault(r.path, []).append(len(bytes(r.payload)))
+    assert all(len(x) <= (10 if max(x) <= 100 else 3 if max(x) <= 2000 else 10) for x in per_file.values()) and len(per_file) > 10
+    for r in got:  # of equal payloads the largest id is the response, in every row that has it
+        if r.record_type == "response" and r.payload_bytes >= 1000:
+            assert (r.payload_bytes, r.record_id) in {(5000, "<urn:page:47>"), (1500, "<urn:page:49>")}
+        if r.record_type == "response":
+            assert hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest and len(bytes(r.payload)) == r.payload_bytes
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_salvage_goes_on_after_damage(zipped):
     parts = [record(k, b"body %d " % k * 50) for k in range(6)]
