@@ -30,28 +30,27 @@ def transitive_closure(edges: DataFrame, starts: DataFrame, direction: str = "su
     return found.distinct()
 
 
-def all_pairs(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def all_pairs(edges: DataFrame) -> DataFrame:
     """(a, b) for every b reachable from a, by path doubling; nodes on a cycle reach themselves."""
     pairs = cut(edges.select(F.col("s").alias("a"), F.col("o").alias("b")).distinct())
     n = pairs.count()
-    for _ in range(rounds):
+    while True:
         longer = pairs.join(pairs.toDF("b", "c"), "b").select("a", F.col("c").alias("b"))
         pairs = cut(pairs.union(longer).distinct())
         if (m := pairs.count()) == n:
             return pairs
         n = m
-    raise RuntimeError("paths did not settle")
 
 
 def lift_restrictions(triples: DataFrame) -> DataFrame:
-    """``s subClassOf [a Restriction; onProperty p; someValuesFrom o]`` as (s, p, o)."""
+    """``s subClassOf [a Restriction; onProperty p; someValuesFrom o]`` as (s, p, o), for every p and o of the node."""
     nodes = triples.where("s_blank is not null").groupBy("s_blank").agg(
         F.max(F.when((F.col("p") == "rdf:type") & (F.col("o") == "owl:Restriction"), 1)).alias("is_r"),
-        F.max(F.when(F.col("p") == "owl:onProperty", F.col("o"))).alias("lp"),
+        F.collect_set(F.when(F.col("p") == "owl:onProperty", F.col("o"))).alias("lps"),
         F.collect_set(F.when(F.col("p") == "owl:someValuesFrom", F.col("o"))).alias("los"),
-    ).where("is_r = 1 and lp is not null")
+    ).where("is_r = 1")
     conn = triples.where("s is not null and p = 'rdfs:subClassOf' and o_blank is not null").select("s", F.col("o_blank").alias("s_blank"))
-    return conn.join(nodes, "s_blank").select("s", F.col("lp").alias("p"), F.explode("los").alias("o")).distinct()
+    return conn.join(nodes, "s_blank").select("s", F.explode("lps").alias("p"), "los").select("s", "p", F.explode("los").alias("o")).distinct()
 
 
 def with_labels_and_types(edges: DataFrame, triples: DataFrame) -> DataFrame:
@@ -61,12 +60,12 @@ def with_labels_and_types(edges: DataFrame, triples: DataFrame) -> DataFrame:
     return edges.select("s", "p", "o", F.lit(None).cast("string").alias("o_lit")).unionByName(about).distinct()
 
 
-def topological_levels(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level): leaves are 0, others one more than their highest child; a cycle is an error."""
     edges = cut(edges.select("s", "o").distinct())
     left = cut(edges.select(F.col("s").alias("node")).union(edges.select("o")).distinct())
-    out = None
-    for level in range(rounds):
+    out, level = None, 0
+    while True:
         if left.isEmpty():
             return out if out is not None else left.withColumn("level", F.lit(0))
         open_ = edges.join(left.withColumnRenamed("node", "o"), "o", "left_semi")
@@ -76,7 +75,7 @@ def topological_levels(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         part = ready.withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)
         left = cut(left.join(ready, "node", "left_anti"))
-    raise RuntimeError("too many levels")
+        level += 1
 
 
 def identity_walk(relations: DataFrame, types: DataFrame, starts: DataFrame, direction: str = "subject", of_type: str | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.triplify import SYNONYMS
+
 DEFINITIONS = ("ex:definition", "skos:definition", "iao:definition")
 
 
@@ -156,6 +158,6 @@ def export_tabular(triples: DataFrame, groups: dict[str, list[str]], sep: str =
 def index_records(triples: DataFrame, existing: DataFrame) -> DataFrame:
     """Nested search records: labels, synonyms, types, existing iris of each subject."""
     pick = lambda *p: F.sort_array(F.collect_set(F.when(F.col("p").isin(*p), F.coalesce("o_lit", "o"))))
-    own = triples.groupBy("s").agg(pick("rdfs:label").alias("labels"), pick("ex:synonym", "ex:abbreviation").alias("synonyms"), pick("rdf:type").alias("types"))
+    own = triples.groupBy("s").agg(pick("rdfs:label").alias("labels"), pick("ex:synonym", *SYNONYMS.values()).alias("synonyms"), pick("rdf:type").alias("types"))
     ids = existing.groupBy("s").agg(F.sort_array(F.collect_set("iri")).alias("existing"))
     return own.join(ids, "s", "left")

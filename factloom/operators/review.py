@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .lookup import latest
 
-#: Order of roles, highest first: fixed values.  Compare ranks, never the names.
-ROLES = ["owner", "admin", "curator", "contributor", "view"]
+#: Roles in their order, most rights first: fixed values.  Compare ranks, never the names.
+ROLES = [
+    "admin", "owner", "contributor", "curator", "view", "org", "pending", "deactivated", "deleted", "banned", "erased", "blacklist", "builtin",
+]
 
 
 def role_rank(role: Column) -> Column:

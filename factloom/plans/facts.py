@@ -27,11 +27,11 @@ def s6_triplify(spark, d):
 
 
 @query("""SELECT 'http://uri.ex.org/base/' || tx AS s, p, o, o_lit, datatype FROM (
- SELECT tx, type AS ty, 'rdf:type' AS p, CASE type WHEN 'annotation' THEN 'owl:AnnotationProperty' WHEN 'relationship' THEN 'owl:ObjectProperty' ELSE 'owl:Class' END AS o, CAST(NULL AS VARCHAR) AS o_lit, CAST(NULL AS VARCHAR) AS datatype FROM terms
+ SELECT tx, type AS ty, 'rdf:type' AS p, CASE type WHEN 'annotation' THEN 'owl:AnnotationProperty' WHEN 'relationship' THEN 'owl:ObjectProperty' WHEN 'TermSet' THEN 'ex:TermSet' ELSE 'owl:Class' END AS o, CAST(NULL AS VARCHAR) AS o_lit, CAST(NULL AS VARCHAR) AS datatype FROM terms
  UNION ALL SELECT tx, type, 'rdfs:label', NULL, trim(label), NULL FROM terms
  UNION ALL SELECT tx, type, 'ex:definition', NULL, definition, NULL FROM terms WHERE definition <> ''
  UNION ALL SELECT tx, type, 'owl:deprecated', NULL, 'true', 'xsd:boolean' FROM terms WHERE status = '-2'
- UNION ALL SELECT tx, type, CASE WHEN id % 4 = 0 THEN 'ex:synonym' ELSE 'ex:abbreviation' END, NULL, p_brand || ' ' || p_size, NULL FROM terms JOIN part ON p_partkey = id WHERE id % 2 = 0
+ UNION ALL SELECT tx, type, CASE WHEN (id // 2) % 10 = 0 THEN 'ex:synonym' ELSE ['ex:synonyms/abbreviation', 'ex:synonyms/broad', 'ex:synonyms/exact', 'ex:synonyms/narrow', 'ex:synonyms/related', 'fma:synonym', 'NIFRID:synonym', 'NIFRID:synonym', 'NIFRID:abbrev'][(id // 2) % 10] END, NULL, p_brand || ' ' || p_size, NULL FROM terms JOIN part ON p_partkey = id WHERE id % 2 = 0
  UNION ALL SELECT a.tx, a.type, 'http://uri.ex.org/base/tx_0000001', 'http://uri.ex.org/base/' || b.tx, NULL, NULL FROM terms a JOIN terms b ON b.id = a.id // 3 + 1 WHERE a.id > 10 AND a.id % 5 > 0 AND b.type <> 'cde'
  UNION ALL SELECT tx, type, 'http://uri.ex.org/base/tx_0000010', CASE WHEN id % 2 = 0 THEN 'http://purl.org/sig/ont/fma/fma' || id END, CASE WHEN id % 2 = 1 THEN p_type END, NULL FROM terms JOIN part ON p_partkey = id WHERE id > 10 AND id % 9 > 0
  UNION ALL SELECT a.tx, a.type, CASE WHEN a.type IN ('annotation', 'relationship') THEN 'rdfs:subPropertyOf' ELSE 'rdfs:subClassOf' END, 'http://uri.ex.org/base/' || b.tx, NULL, NULL FROM terms a JOIN terms b ON b.id = a.id // 2 WHERE a.id > 1 AND b.type <> 'cde'
@@ -46,7 +46,7 @@ def s7_read_term_db(spark, d):
 
 
 @query("""SELECT p, CAST(count(*) AS BIGINT) AS n, min(coalesce(o, o_lit)) AS first FROM (
- SELECT 'rdf:type' AS p, CASE type WHEN 'annotation' THEN 'owl:AnnotationProperty' WHEN 'relationship' THEN 'owl:ObjectProperty' ELSE 'owl:Class' END AS o, CAST(NULL AS VARCHAR) AS o_lit FROM terms
+ SELECT 'rdf:type' AS p, CASE type WHEN 'annotation' THEN 'owl:AnnotationProperty' WHEN 'relationship' THEN 'owl:ObjectProperty' WHEN 'TermSet' THEN 'ex:TermSet' ELSE 'owl:Class' END AS o, CAST(NULL AS VARCHAR) AS o_lit FROM terms
  UNION ALL SELECT 'ex:sourceType', NULL, type FROM terms UNION ALL SELECT 'rdfs:label', NULL, label FROM terms UNION ALL SELECT 'ex:definition', NULL, definition FROM terms WHERE definition IS NOT NULL
  UNION ALL SELECT 'ex:hasTermId', 'http://uri.ex.org/base/' || tx, NULL FROM terms UNION ALL SELECT 'ex:hasExistingId', iri, NULL FROM existing
  UNION ALL SELECT 'ex:hasExternalId', iri, NULL FROM existing WHERE iri NOT LIKE 'http://uri.ex.org/base/%' UNION ALL SELECT 'ex:hasPreferredId', iri, NULL FROM existing WHERE preferred = '1') GROUP BY p""", "terms", "existing")
@@ -124,7 +124,7 @@ def p1_labels(spark, d):
     return L.labels(triples(spark, d), subjects(spark))
 
 
-@query("SELECT 'http://uri.ex.org/base/' || tx AS s, definition AS o_lit FROM terms WHERE definition IS NOT NULL AND id % 100 = 3", "terms")
+@query("SELECT 'http://uri.ex.org/base/' || tx AS s, definition AS o_lit FROM terms WHERE definition IS NOT NULL", "terms")
 def p2_definitions(spark, d):
     ts = triplify.term_tables(spark, d)
     asked = ts["terms"].select(F.concat(F.lit(triplify.BASE), "tx").alias("s"))
@@ -166,7 +166,7 @@ def p7_label_exact(spark, d):
     return part.join(part.where("p_partkey < 20").select("p_name").distinct(), "p_name", "left_semi").groupBy(F.col("p_name").alias("o_lit")).agg(F.min("p_partkey").alias("id"))
 
 
-@query("""WITH r AS (SELECT p_name AS o_lit, min(p_partkey) AS s FROM part GROUP BY p_name), q AS (SELECT p_partkey AS request, p_name AS o_lit FROM part WHERE p_partkey % 10 = 0)
+@query("""WITH r AS (SELECT p_name AS o_lit, min(p_partkey) AS s FROM part GROUP BY p_name), q AS (SELECT p_partkey AS request, p_name AS o_lit FROM part)
  SELECT request, 'http://ex.org/part/' || s AS s, count(*) AS n FROM q JOIN r USING (o_lit) GROUP BY request, s""")
 def p8_entity_conflicts(spark, d):
     part = table(spark, d, "part")
@@ -199,7 +199,8 @@ def p12_head(spark, d):
 
 
 @query("""WITH q(query) AS (VALUES ('united kingdom'), ('Supplier#000000001'), ('china')),
- t AS (SELECT s, p, ' ' || lower(trim(regexp_replace(o_lit, '[^\\p{L}\\p{N}]+', ' ', 'g'))) || ' ' AS x FROM triples WHERE o_lit IS NOT NULL),
+ t AS (SELECT s, p, ' ' || lower(trim(regexp_replace(o_lit, '[^\\p{L}\\p{N}]+', ' ', 'g'))) || ' ' AS x FROM (SELECT s, p, o_lit FROM triples WHERE p <> 'ex:title' UNION ALL SELECT 'http://ex.org/document/' || doc_id, 'ex:title', string_split(text, chr(10))[1] FROM documents
+   UNION ALL SELECT 'http://ex.org/document/' || doc_id, 'ex:text', text FROM documents) WHERE o_lit IS NOT NULL),
  h AS (SELECT DISTINCT query, s, p, CASE p WHEN 'rdfs:label' THEN 4.0 WHEN 'ex:title' THEN 1.2 ELSE 1.0 END AS b FROM q JOIN t ON contains(x, ' ' || lower(trim(regexp_replace(query, '[^\\p{L}\\p{N}]+', ' ', 'g'))) || ' '))
  SELECT query, s, CAST(max(b) + 0.3 * (sum(b) - max(b)) AS DOUBLE) AS score FROM h GROUP BY query, s""".replace("\\\\", "\\"), "triples")
 def p13_full_text(spark, d):
@@ -350,7 +351,7 @@ def a1_type_counts(spark, d):
     return triples(spark, d).where("p = 'rdf:type'").groupBy(F.col("o").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'http://uri.ex.org/base/tx_' || lpad(CAST(k AS VARCHAR), 7, '0') AS p, k = 1 OR k = 10 AS is_property FROM (VALUES (1), (10)) v(k) UNION ALL SELECT p, false FROM (VALUES ('rdf:type'), ('rdfs:label'), ('ex:definition'), ('owl:deprecated'), ('ex:synonym'), ('ex:abbreviation'), ('rdfs:subClassOf'), ('rdfs:subPropertyOf'), ('ex:hasExternalId')) w(p)")
+@query("SELECT 'http://uri.ex.org/base/tx_' || lpad(CAST(k AS VARCHAR), 7, '0') AS p, k = 1 OR k = 10 AS is_property FROM (VALUES (1), (10)) v(k) UNION ALL SELECT p, false FROM (VALUES ('rdf:type'), ('rdfs:label'), ('ex:definition'), ('owl:deprecated'), ('ex:synonym'), ('ex:synonyms/abbreviation'), ('ex:synonyms/broad'), ('ex:synonyms/exact'), ('ex:synonyms/narrow'), ('ex:synonyms/related'), ('fma:synonym'), ('NIFRID:synonym'), ('NIFRID:abbrev'), ('rdfs:subClassOf'), ('rdfs:subPropertyOf'), ('ex:hasExternalId')) w(p)")
 def a2_predicate_is_property(spark, d):
     return L.predicate_is_property(triplify.triplify_terms(triplify.term_tables(spark, d)))
 
@@ -492,9 +493,9 @@ def f9_mint_ids(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", F.concat(F.lit("c"), F.col("c_nationkey").cast("string"), F.lit("_"), F.lpad(k.cast("string"), 7, "0")).alias("minted"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 200), ' ', '%20'), chr(10), '%20'), '[', '%5B'), ']', '%5D') AS fixed FROM documents WHERE NOT contains(substr(text, 1, 200), ';') AND NOT regexp_matches(substr(text, 1, 200), '[ \\n][ \\n]') AND NOT contains(substr(text, 1, 200), chr(9))")
+@query(r"SELECT doc_id, replace(replace(replace(regexp_replace(text, '[\x20\x09-\x0D]+', '%20', 'g'), '[', '%5B'), ']', '%5D'), ';', '%3B') AS fixed FROM documents")
 def f10_iri_repair(spark, d):
-    """The whole text of every document.  The SQL holds the first 200 characters of documents without ``;``, tabs and runs of white space."""
+    """Characters that iris can't hold, in the whole text of every document."""
     return table(spark, d, "documents").select("doc_id", iris.repaired(F.col("text")).alias("fixed"))
 
 
@@ -514,7 +515,7 @@ def f15_group_rewrite(spark, d):
     return triplify.term_tables(spark, d)["existing"].select("iri", iris.rewrite_group(F.col("iri"), "base", "team").alias("rewritten"))
 
 
-@query("SELECT id, CASE type WHEN 'annotation' THEN 'owl:AnnotationProperty' WHEN 'relationship' THEN 'owl:ObjectProperty' ELSE 'owl:Class' END AS class FROM terms", "terms")
+@query("SELECT id, CASE type WHEN 'annotation' THEN 'owl:AnnotationProperty' WHEN 'relationship' THEN 'owl:ObjectProperty' WHEN 'TermSet' THEN 'ex:TermSet' ELSE 'owl:Class' END AS class FROM terms", "terms")
 def f17_type_map(spark, d):
     return triplify.term_tables(spark, d)["terms"].select("id", triplify.mapped(triplify.TYPES, F.col("type")).alias("class"))
 

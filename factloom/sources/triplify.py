@@ -92,14 +92,29 @@ def with_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Source types as classes, and synonym types as predicates: fixed values.
-TYPES = {"term": "owl:Class", "TermSet": "owl:Class", "cde": "owl:Class", "fde": "owl:Class", "pde": "owl:Class", "annotation": "owl:AnnotationProperty", "relationship": "owl:ObjectProperty"}
-SYNONYMS = {"": "ex:synonym", "abbrev": "ex:abbreviation", "acronym": "ex:acronym"}
+TYPES = {"term": "owl:Class", "TermSet": "ex:TermSet", "cde": "owl:Class", "fde": "owl:Class", "pde": "owl:Class", "annotation": "owl:AnnotationProperty", "relationship": "owl:ObjectProperty"}
+SYNONYMS = {
+    "abbrev": "ex:synonyms/abbreviation",
+    "oboInOwl:hasBroadSynonym": "ex:synonyms/broad",
+    "oboInOwl:hasExactSynonym": "ex:synonyms/exact",
+    "oboInOwl:hasNarrowSynonym": "ex:synonyms/narrow",
+    "oboInOwl:hasRelatedSynonym": "ex:synonyms/related",
+    "fma:synonym": "fma:synonym",
+    "NIFRID:synonym": "NIFRID:synonym",
+    "vocab:synonym": "NIFRID:synonym",
+    "NIFRID:abbrev": "NIFRID:abbrev",
+}
 
 
 def mapped(values: dict, x: Column) -> Column:
     return F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[x]
 
 
+def synonym_predicate(kind: Column) -> Column:
+    """Predicate of a synonym's type; an empty or unknown type is a plain synonym."""
+    return F.coalesce(mapped(SYNONYMS, kind), F.lit("ex:synonym"))
+
+
 def term_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A term database laid over ``part``: names of tables as the triplifier reads them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -114,7 +129,7 @@ def term_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
         "existing": part.select(k.alias("tid"), F.concat(F.lit("http://uri.ex.org/base/"), tx).alias("iri"), F.concat(F.lit("TX:"), k.cast("string")).alias("curie"), F.lit("0").alias("preferred"))
         .unionByName(part.where(k % 3 == 0).select(k.alias("tid"), ext.alias("iri"), F.concat(F.lit("X:"), (k % 500).cast("string")).alias("curie"), F.lit("1").alias("preferred"))),
-        "synonyms": part.where(k % 2 == 0).select(k.alias("tid"), F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("literal"), F.when(k % 4 == 0, "").otherwise("abbrev").alias("type")),
+        "synonyms": part.where(k % 2 == 0).select(k.alias("tid"), F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("literal"), F.element_at(F.array(*[F.lit(x) for x in ("", *SYNONYMS)]), (F.floor(k / 2) % 10 + 1).cast("int")).alias("type")),
         "superclasses": part.where(k > 1).select(k.alias("tid"), F.floor(k / 2).alias("superclass_tid")),
         "relationships": part.where(k > 10).select(k.alias("term1_id"), (F.floor(k / 3) + 1).alias("term2_id"), F.lit(1).cast("long").alias("relationship_tid"), F.when(k % 5 == 0, "1").otherwise("0").alias("withdrawn")),
         "annotations": part.where(k > 10).select(k.alias("tid"), F.lit(10).cast("long").alias("annotation_tid"), F.when(k % 2 == 0, F.concat(F.lit("FMAID: "), k.cast("string"))).otherwise(F.col("p_type")).alias("value"), F.when(k % 9 == 0, "1").otherwise("0").alias("withdrawn")),
@@ -146,7 +161,7 @@ def triplify_terms(ts: dict[str, DataFrame], include_cdes: bool = False) -> Data
         rule(terms.where(trimmed(F.col("label")).isNotNull()), s, LABEL, o_lit=trimmed(F.col("label"))),
         rule(terms.where("definition <> ''"), s, "ex:definition", o_lit=F.col("definition")),
         rule(terms.where("status = '-2'"), s, "owl:deprecated", o_lit=F.lit("true"), datatype="xsd:boolean"),
-        rule(syn, s, mapped(SYNONYMS, F.col("type")), o_lit=F.col("literal")),
+        rule(syn, s, synonym_predicate(F.col("type")), o_lit=F.col("literal")),
         rule(rel, F.col("term1_iri"), F.col("relationship_iri"), o=F.col("term2_iri")),
         rule(ann, s, F.col("annotation_iri"), o=a_iri, o_lit=a_lit),
         rule(sup, s, F.when(is_property, "rdfs:subPropertyOf").otherwise(SUB), o=F.col("superclass_iri")),
