@@ -78,6 +78,26 @@ def repaired(x: Column, plain_hosts: tuple[str, ...] = ()) -> Column:
     return x
 
 
+#: A code browser's old and new address, and ids in which blanks have a known meaning.
+OLD_CODES = "https://ncimeta.nci.nih.gov/ncimbrowser/ConceptReport.jsp?dictionary=NCI%20Metathesaurus&code="
+NEW_CODES = "https://evsexplore.semantics.cancer.gov/evsexplore/concept/ncim/"
+BLANK_AS_LINE, BLANK_AS_NOTHING = "TOPNT", "SNOMEDCT"
+
+
+def existing_repaired(x: Column, http_host: str) -> Column:
+    """An existing iri mended, or null where its blanks have no known meaning.
+
+    Blanks become underscores, or are quoted beside brackets, or go, as the iri's kind says.  Then a semicolon at the end goes; else the
+    named host loses its s and the id its prefix; else old addresses of codes become new ones.
+    """
+    rep = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    quoted = rep(rep(rep(x, " ", "%20"), "[", "%5B"), "]", "%5D")
+    line = rep(rep(x, " ", "_"), "__", "_")
+    y = F.when(~x.contains(" "), x).when(x.contains(BLANK_AS_LINE), F.when(x.contains("["), quoted).otherwise(line)).when(x.contains(BLANK_AS_NOTHING), rep(x, " ", ""))
+    plain = rep(F.concat(F.lit("http"), F.substr(y, F.lit(6))), "RRID:", "")
+    return F.when(y.endswith(";"), F.left(y, F.length(y) - 1)).when(y.startswith(f"https://{http_host}"), plain).otherwise(rep(y, OLD_CODES, NEW_CODES))
+
+
 #: Fixed prefixes that annotation values carry in front of an id: pattern and namespace.
 ANNOTATION_PREFIXES = [("^FMAID: ?", "http://purl.org/sig/ont/fma/fma"), ("^NCBITaxon: ?", "http://purl.obolibrary.org/obo/NCBITaxon_"), ("^PATO ", "http://purl.obolibrary.org/obo/PATO_")]
 

@@ -30,6 +30,13 @@ def transitive_closure(edges: DataFrame, starts: DataFrame, direction: str = "su
     return found.distinct()
 
 
+def connected(triples: DataFrame, starts: DataFrame, predicates: list[str], direction: str = "subject", max_depth: int = -1) -> DataFrame:
+    """Triples (s, p, o, triple_identity) of any of the predicates that a walk from ``starts`` (node) meets; depth as in the closure."""
+    own = triples.where(F.col("p").isin(*predicates) & F.col("o").isNotNull())
+    met = transitive_closure(own, starts, direction, max_depth)
+    return own.select("s", "p", "o", "triple_identity").join(met, ["s", "p", "o"], "left_semi").distinct()
+
+
 def all_pairs(edges: DataFrame) -> DataFrame:
     """(a, b) for every b reachable from a, by path doubling; nodes on a cycle reach themselves."""
     pairs = cut(edges.select(F.col("s").alias("a"), F.col("o").alias("b")).distinct())

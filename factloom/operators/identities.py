@@ -112,6 +112,19 @@ def replicas(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("replica", F.row_number().over(W.partitionBy("condensed").orderBy("node")) - 1)
 
 
+def nested_integers(triples: DataFrame) -> DataFrame:
+    """(root, node, local): all nodes below each linked root numbered from 0, the root, level by level by the predicate that reaches them."""
+    links = cut(triples.where("s_blank is not null and o_blank is not null").groupBy(F.col("s_blank").alias("above"), F.col("o_blank").alias("node")).agg(F.min("p").alias("p")))
+    root = triples.where("s is not null and o_blank is not null").select(F.col("o_blank").alias("root")).distinct()
+    new = cut(root.select("root", F.col("root").alias("node"), F.lit(0).alias("level"), F.lit("").alias("p")))
+    found = new
+    while not new.isEmpty():
+        step = new.select("root", F.col("node").alias("above"), "level").join(links, "above")
+        new = cut(step.groupBy("root", "node").agg((F.min("level") + 1).alias("level"), F.min("p").alias("p")).join(found.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "level", "p"))
+        found = found.unionByName(new)
+    return found.select("root", "node", (F.row_number().over(W.partitionBy("root").orderBy("level", "p", "node")) - 1).alias("local"))
+
+
 def local_integers(triples: DataFrame) -> DataFrame:
     """(root, node, local): nodes of one level under each linked root, 0 for the root, numbered by the link that reaches them."""
     links = triples.where("s_blank is not null and o_blank is not null").groupBy(F.col("s_blank").alias("root"), F.col("o_blank").alias("node")).agg(F.min("p").alias("p"))

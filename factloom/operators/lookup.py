@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..sources.triplify import SYNONYMS
 
 DEFINITIONS = ("ex:definition", "skos:definition", "iao:definition")
@@ -97,6 +98,30 @@ def graph_from_subjects(triples: DataFrame, subjects: DataFrame) -> DataFrame:
     return own.unionByName(triples.join(held, "s_blank", "left_semi").select(*triples.columns)).distinct()
 
 
+def nested_graph(triples: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Rows of the subjects and of all blank nodes at any depth below them, with ``top``, the subject that each row belongs to."""
+    own = triples.join(subjects.select("s").distinct(), "s", "left_semi").withColumn("top", F.col("s"))
+    links = cut(triples.where("s_blank is not null and o_blank is not null").select(F.col("s_blank").alias("node"), F.col("o_blank").alias("below")).distinct())
+    new = cut(own.where("o_blank is not null").select("top", F.col("o_blank").alias("node")).distinct())
+    found = new
+    while not new.isEmpty():  # a pair enters once, so cycles end
+        new = cut(new.join(links, "node").select("top", F.col("below").alias("node")).distinct().join(found, ["top", "node"], "left_anti"))
+        found = found.unionByName(new)
+    below = triples.join(found.withColumnRenamed("node", "s_blank"), "s_blank")
+    return own.unionByName(below.select(*triples.columns, "top"))
+
+
+def heads_for_subject(heads: DataFrame, groups: DataFrame, identities: DataFrame) -> DataFrame:
+    """(subject, grp, head, ...): heads with the group of their perspective and what is known of what they point to."""
+    return heads.join(groups, "perspective").join(identities, "subject").drop("perspective")
+
+
+def header_mismatch(old: Column, new: Column) -> Column:
+    """Names of the compared headers that both maps hold with different values."""
+    names = ("ETag", "Content-Length", "Last-Modified")  # fixed values
+    return F.array_compact(F.array(*[F.when(old[n] != new[n], n) for n in names]))
+
+
 def predicate_is_property(triples: DataFrame) -> DataFrame:
     """(p, is_property): whether all types of each used predicate are property types."""
     types = triples.where("p = 'rdf:type'").groupBy("s").agg(F.bool_and(F.col("o").endswith("Property")).alias("ok"))

@@ -33,7 +33,7 @@ def partial_key_errors(triples: DataFrame) -> DataFrame:
 
 
 #: Digits of the ids of each prefix: fixed values.
-ID_DIGITS = {"tmp": 9, "ilx": 7, "cde": 7, "fde": 7, "pde": 8}
+ID_DIGITS = {"tmp": 9, "tx": 7, "cde": 7, "fde": 7, "pde": 8}
 
 
 def id_errors(prefix: Column, number: Column) -> Column:
@@ -89,7 +89,7 @@ def special_errors(patch: DataFrame, stored: DataFrame) -> DataFrame:
 #: Longest and shortest group name, and the patterns that none may have: fixed values.
 NAME_LENGTH = (5, 40)
 NAME_SHAPE = "(?i)^[A-Za-z][A-Za-z0-9_-]*$"
-NAME_TABOO = ("(?i)(tmp|ilx|cde|fde|pde)_.*", "(?i)^group.*", "(?i)^user.*", "(?i)^test.*")
+NAME_TABOO = ("(?i)(tmp|tx|cde|fde|pde)_.*", "(?i)^group.*", "(?i)^user.*", "(?i)^test.*")
 
 
 def group_name_errors(groups: DataFrame, reserved: DataFrame, name: str = "name") -> DataFrame:

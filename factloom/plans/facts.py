@@ -351,7 +351,7 @@ def a1_type_counts(spark, d):
     return triples(spark, d).where("p = 'rdf:type'").groupBy(F.col("o").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'http://uri.ex.org/base/tx_' || lpad(CAST(k AS VARCHAR), 7, '0') AS p, k = 1 OR k = 10 AS is_property FROM (VALUES (1), (10)) v(k) UNION ALL SELECT p, false FROM (VALUES ('rdf:type'), ('rdfs:label'), ('ex:definition'), ('owl:deprecated'), ('ex:synonym'), ('ex:synonyms/abbreviation'), ('ex:synonyms/broad'), ('ex:synonyms/exact'), ('ex:synonyms/narrow'), ('ex:synonyms/related'), ('fma:synonym'), ('NIFRID:synonym'), ('NIFRID:abbrev'), ('rdfs:subClassOf'), ('rdfs:subPropertyOf'), ('ex:hasExternalId')) w(p)")
+@query("SELECT 'http://uri.ex.org/base/tx_' || lpad(CAST(k AS VARCHAR), 7, '0') AS p, k = 1 OR k = 10 AS is_property FROM (VALUES (1), (10)) v(k) UNION ALL SELECT p, false FROM (VALUES ('rdf:type'), ('rdfs:label'), ('ex:definition'), ('owl:deprecated'), ('ex:synonym'), ('ex:synonyms/broad'), ('ex:synonyms/exact'), ('ex:synonyms/narrow'), ('ex:synonyms/related'), ('NIFRID:synonym'), ('NIFRID:abbrev'), ('rdfs:subClassOf'), ('rdfs:subPropertyOf'), ('ex:hasExternalId')) w(p)")
 def a2_predicate_is_property(spark, d):
     return L.predicate_is_property(triplify.triplify_terms(triplify.term_tables(spark, d)))
 

@@ -124,3 +124,14 @@ def append_new(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same key."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def labelled_rows(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(s, p, o) of every row, blank nodes labelled ``_:sg_<identity>_<replica>``; copies of one subgraph point to replica 0.
+
+    ``nodes``: (node, identity).  The identity is hex, so labels don't depend on the order of rows.
+    """
+    label = nodes.select("node", F.concat(F.lit("_:sg_"), "identity", F.lit("_0")).alias("label"))
+    out = triples.join(label.toDF("s_blank", "s_label"), "s_blank", "left").join(label.toDF("o_blank", "o_label"), "o_blank", "left")
+    literal = F.concat(F.lit('"'), "o_lit", F.lit('"'))
+    return out.select(F.coalesce("s", "s_label").alias("s"), "p", F.coalesce("o", "o_label", literal).alias("o")).distinct()
