@@ -35,6 +35,8 @@ BLOCK = 256
 QUERIES = 256
 #: Cells of the frequency sketch: four bytes each while counting, one when it is sent out.
 CELLS = 1 << 22
+#: Bytes of text in a pack: the sets of a pack are in memory together.
+PACK_BYTES = 2 << 20
 CHUNK = 1 << 16
 _MULT = (np.arange(KEYS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -283,9 +285,9 @@ class _Join:
         every = self.classes.select("class")
         levels = self.spark.sparkContext.broadcast(frequency_levels(self.texts(every, _count_cells, "chunk int, cells binary")))
         owners = packs.owners(self.bytes)
-        asked = self.texts(every, _ask_tokens(levels, owners, packs.PACK_BYTES), "owner int, pack binary, keys binary, twice binary")
+        asked = self.texts(every, _ask_tokens(levels, owners, PACK_BYTES), "owner int, pack binary, keys binary, twice binary")
         known = asked.groupBy("owner").applyInArrow(_answer_tokens, "owner int, pack binary, bits binary")
-        packed = self.texts(every, packs.packer(packs.PACK_BYTES), "pack binary, blob binary")
+        packed = self.texts(every, packs.packer(PACK_BYTES), "pack binary, blob binary")
         tokens = packed.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(_shared_tokens(levels, owners), TOKENS)
         sizes = self.with_comp(self.classes.select("class"), labels)
         blocks = F.ceil(F.col("members") / BLOCK)

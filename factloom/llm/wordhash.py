@@ -27,7 +27,9 @@ def _inverse(m: int) -> int:
     return pow(int(m), -1, 2**64)
 
 
-KEPT = 1 << 16
+#: Bytes of texts that are hashed together, and powers that are kept for them.
+CHUNK_BYTES = 1 << 18
+KEPT = CHUNK_BYTES + 8
 
 
 class _Powers:
@@ -65,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(column: pa.Array, size: int = 1 << 20):
+def text_chunks(column: pa.Array, size: int = CHUNK_BYTES):
     """Yield (first, last, bytes, offsets) over runs of rows of about ``size`` bytes; a null row has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
