@@ -15,7 +15,8 @@ from ..operators.review import ROLES, role_rank
 from ..sources import ntriples, triplify
 from .base import head_log, query, table, triples
 
-NULL = F.lit(None).cast("string")
+def null():
+    return F.lit(None).cast("string")
 
 
 def joined(errors="errors"):
@@ -177,7 +178,7 @@ def c21_expectations(spark, d):
     rows = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*[F.lit(x) for x in _CASES])).alias("expected")).select(
         "s_suppkey", "expected", F.when(c == "reject group in s", team).otherwise(F.concat(F.lit("http://ex.org/s/"), F.col("s_suppkey").cast("string"), F.lit("/"), F.replace(c, F.lit(" "), F.lit("_")))).alias("s"), F.lit("ex:p").alias("p"),
         F.when(c == "accept iri", base).when(c == "reject group in o", team).alias("o"), F.when(~c.isin("accept iri", "reject group in o", "reject no object", "reject loop"), F.lit("your object")).alias("o_lit"),
-        F.when(c.isin("accept typed", "reject datatype and language"), "xsd:string").alias("datatype"), F.when(c.isin("accept language", "reject datatype and language"), "ja").alias("language"), NULL.alias("s_blank"), NULL.alias("o_blank"), NULL.alias("subgraph_identity"))
+        F.when(c.isin("accept typed", "reject datatype and language"), "xsd:string").alias("datatype"), F.when(c.isin("accept language", "reject datatype and language"), "ja").alias("language"), null().alias("s_blank"), null().alias("o_blank"), null().alias("subgraph_identity"))
     rows = rows.withColumn("o", F.when(c == "reject loop", F.col("s")).otherwise(F.col("o")))
     rows = rows.unionByName(rows.where(c == "reject twice"))
     identified = I.with_triple_identity(rows)
@@ -195,7 +196,7 @@ def c22_reference_names(spark, d):
     own = F.concat(F.lit("http://uri.ex.org/g/"), k.cast("string"))
     out = F.concat(F.lit("http://out.org/"), k.cast("string"))
     rows = table(spark, d, "part").select(
-        "p_partkey", F.when(k % 6 == 0, out).otherwise(own).alias("name"), F.when(k % 6 == 1, "http://uri.ex.org/g/other").when(k % 6 == 2, F.concat(out, F.lit("/new"))).when(k % 6 == 4, NULL).when(k % 6 == 5, own).otherwise(out).alias("expected"),
+        "p_partkey", F.when(k % 6 == 0, out).otherwise(own).alias("name"), F.when(k % 6 == 1, "http://uri.ex.org/g/other").when(k % 6 == 2, F.concat(out, F.lit("/new"))).when(k % 6 == 4, null()).when(k % 6 == 5, own).otherwise(out).alias("expected"),
         F.when(k % 6 == 2, out).when(k % 6 == 3, own).alias("old_expected"))
     return rows.select("p_partkey", joined(V.reference_name_errors("uri.ex.org")))
 
