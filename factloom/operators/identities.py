@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.identity import either, h, null_identity, object_identity, pair_identity, sequence_identity, triple_identity
+from ..functions.identity import either, h, low, null_identity, object_identity, pair_identity, sequence_identity, triple_identity
 from ..functions.shared import cut
 
 
@@ -26,20 +26,29 @@ def named_records(named: DataFrame) -> DataFrame:
     ).withColumn("embedded", h(F.concat(h("s"), F.col("condensed"))))
 
 
-def sequence_of(rows: DataFrame, column: str) -> bytes:
-    """Digest of all digests of a column in order.
+#: Leading hex digits of a digest that name its bucket, level by level: with 10**12 digests a bucket of the first level holds some 60,000,
+#: those above 4096 at most.
+LEVELS = (6, 3, 0)
+
+
+def bucketed_identity(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, identity): identity of all digests of a column, duplicates kept, order left out.
 
-    The digest of the whole is sequential by definition.  Sorting is distributed by ranges, each range comes to the driver as
-    blocks of a few thousand digests, and only one range is held at a time.
+    A bucket of digests with equal leading digits is hashed in order, then buckets of buckets, so no task ever holds all of a
+    group's digests.  Nulls aren't counted; a group without digests has no row.
     """
-    hexed = rows.select(F.hex(column).alias("x")).where("x is not null")
-    ordered = hexed.repartitionByRange("x").sortWithinPartitions("x")
-    if hexed.isEmpty():
-        return hashlib.sha256(b"").digest()
-    total = hashlib.sha256()
-    for r in ordered.toLocalIterator():
-        total.update(bytes.fromhex(r.x))
-    return total.digest()
+    level = rows.where(F.col(column).isNotNull()).select(*by, low(column).alias("_x"), F.col(column).cast("binary").alias("_d"))
+    for digits in LEVELS:
+        one = F.sort_array(F.collect_list(F.struct("_x", "_d")))
+        hexed = F.array_join(F.transform(one, lambda x: F.hex(x["_d"])), "")
+        level = level.groupBy(*by, F.substring("_x", 1, digits).alias("_x")).agg(h(F.unhex(hexed)).alias("_d"))
+    return level.select(*by, F.col("_d").alias("identity"))
+
+
+def sequence_of(rows: DataFrame, column: str) -> bytes:
+    """The bucketed identity of a column; one digest reaches the driver."""
+    found = bucketed_identity(rows, column).first()
+    return bytes(found.identity) if found else hashlib.sha256(b"").digest()
 
 
 def bnode_records(triples: DataFrame) -> tuple[DataFrame, DataFrame]:

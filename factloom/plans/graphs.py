@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.identity import h, joined, low, sequence_identity
+from ..functions.identity import h, joined, low
 from ..operators import closure as C
 from ..operators import identities as I
 from ..operators import lookup as L
@@ -109,7 +109,16 @@ def i2_named_records(spark, d):
     return I.named_records(triples(spark, d)).select("s", low("condensed").alias("condensed"), "n", low("embedded").alias("embedded"))
 
 
-@query(f"SELECT sha256(unhex(string_agg(e, '' ORDER BY e))) AS named, sha256(unhex(sha256(unhex(string_agg(e, '' ORDER BY e)))) || unhex(sha256(''))) AS graph FROM (SELECT sha256(unhex(sha256(s)) || unhex(condensed)) AS e FROM ({RECORDS}))", "ids")
+def buckets(source: str) -> str:
+    """SQL of the bucketed identity of (g, x): digests by six leading digits, those by three, then all."""
+    step = "SELECT g, substr(k, 1, {n}) AS k, sha256(unhex(string_agg(x, '' ORDER BY k, x))) AS x FROM ({t}) GROUP BY g, substr(k, 1, {n})"
+    t = f"SELECT g, x AS k, x FROM ({source})"
+    for n in (6, 3, 0):
+        t = step.format(n=n, t=t)
+    return t
+
+
+@query(f"""SELECT x AS named, sha256(unhex(x) || unhex(sha256(''))) AS graph FROM ({buckets(f"SELECT '' AS g, sha256(unhex(sha256(s)) || unhex(condensed)) AS x FROM ({RECORDS})")})""", "ids")
 def i4_graph_identity(spark, d):
     import hashlib
 
@@ -288,12 +297,14 @@ def v8_variants(spark, d):
     return heads.select("perspective", F.replace("subject", F.lit("/part/"), mine).alias("subject"), "head")
 
 
-@query("SELECT source, sha256(unhex(string_agg(x, '' ORDER BY x))) AS identity FROM (SELECT source, sha256(CAST(doc_id AS VARCHAR)) AS x FROM documents) GROUP BY source")
+@query(f"SELECT g AS source, x AS identity FROM ({buckets('SELECT source AS g, sha256(CAST(doc_id AS VARCHAR)) AS x FROM documents')})")
 def a3_ordered_digest(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(low(sequence_identity(F.collect_list(h(F.col("doc_id").cast("string"))))).alias("identity"))
+    """Digests of each source's documents in order, through buckets, as a source may hold a third of all rows."""
+    rows = table(spark, d, "documents").select("source", h(F.col("doc_id").cast("string")).alias("x"))
+    return I.bucketed_identity(rows, "x", ("source",)).select("source", low("identity").alias("identity"))
 
 
-@query("SELECT s, string_agg(pair, '' ORDER BY pair) AS joined FROM (SELECT DISTINCT s, pair FROM ids WHERE s LIKE '%/nation/%') GROUP BY s", "ids")
+@query("SELECT s, string_agg(pair, '' ORDER BY pair) AS joined FROM (SELECT DISTINCT s, pair FROM ids) GROUP BY s", "ids")
 def a12_identity_lists(spark, d):
-    t = I.with_triple_identity(triples(spark, d, "nation")).select("s", "pair_identity").distinct()
+    t = I.with_triple_identity(triples(spark, d)).select("s", "pair_identity").distinct()
     return t.groupBy("s").agg(low(joined(F.collect_list("pair_identity"))).alias("joined"))
