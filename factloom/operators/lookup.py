@@ -66,9 +66,10 @@ def entity_conflicts(registry: DataFrame, requests: DataFrame) -> DataFrame:
 
 def group_curies(base: DataFrame, own: DataFrame, derived: DataFrame) -> DataFrame:
     """(grp, prefix, namespace): derived entries win over a group's own, those over the base's."""
+    base = F.broadcast(base) if base.count() <= 100_000 else base
     groups = own.select("grp").union(derived.select("grp")).distinct()
     every = (
-        groups.crossJoin(F.broadcast(base)).withColumn("rank", F.lit(2))  # the base map is a small dimension
+        groups.crossJoin(base).withColumn("rank", F.lit(2))  # each group has the whole base map, so the product is the result
         .unionByName(own.withColumn("rank", F.lit(1))).unionByName(derived.withColumn("rank", F.lit(0)))
     )
     return every.groupBy("grp", "prefix").agg(F.min_by("namespace", F.struct("rank", "namespace")).alias("namespace"))

@@ -86,7 +86,7 @@ def dedupe_labels(terms: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Da
     keeps the label and the rest are its duplicates, which their suffix says.  ``labels``: id, label, new_label, reason.
     """
     low = F.lower(F.trim("label"))
-    shared = terms.withColumn("low", low).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("low"))).where("n > 1 and low is not null")
+    shared = terms.where("label is not null").withColumn("low", low).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("low"))).where("n > 1")
     named = shared.join(overrides.toDF("id", "override"), "id", "left")
     live = F.col("override").isNull() & (F.col("status") == "0") & ~F.col("type").isin("TermSet", "cde")
     first = F.min(F.when(live, F.col("id"))).over(W.partitionBy("low"))

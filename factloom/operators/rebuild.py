@@ -73,13 +73,17 @@ def referenced_closure(triples: DataFrame, starts: DataFrame) -> DataFrame:
 def new_entities(requests: DataFrame, registry: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     """Requests (request, label) -> (minted, conflicts): labels already registered or asked for before are conflicts.
 
-    Ids go on from ``top`` in the order of requests.  The running number comes from one window over the accepted requests of
-    a batch, which is a batch of edits and not the corpus.
+    Ids go on from ``top`` in the order of requests, without gaps: requests are dealt to ranges, numbered inside each, and a range begins
+    where the counts of those before it end.
     """
     first = requests.withColumn("k", F.row_number().over(W.partitionBy(F.lower("label")).orderBy("request")))
     known = registry.select(F.lower("label").alias("low")).distinct()
     keyed = first.withColumn("low", F.lower("label")).join(known.withColumn("known", F.lit(True)), "low", "left")
     bad = keyed.where("known or k > 1").select("request", "label", F.when(F.col("known"), "registered").otherwise("asked before").alias("reason"))
     good = keyed.where("known is null and k = 1")
-    number = F.row_number().over(W.orderBy("request")) + top
+    good = cut(good.repartitionByRange("request").withColumn("part", F.spark_partition_id()))
+    sizes = good.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    good = good.join(F.broadcast(before), "part")
+    number = F.row_number().over(W.partitionBy("part").orderBy("request")) + F.col("before") + top
     return good.select("request", "label", F.concat(F.lit("tx_"), F.lpad(number.cast("string"), 7, "0")).alias("id")), bad

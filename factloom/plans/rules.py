@@ -14,6 +14,7 @@ from ..operators import validators as V
 from ..operators.review import ROLES, role_rank
 from ..sources import ntriples, triplify
 from .base import head_log, query, table, triples
+from .more import event_stream
 
 def null():
     return F.lit(None).cast("string")
@@ -341,3 +342,29 @@ def i8_header_mismatch(spark, d):
     tag, size, at = pair(k % 5 == 0, k % 3 == 0, "a", "b"), pair(k % 7 == 0, F.lit(False), "10", "11"), pair((k % 11 == 0) & (k % 2 == 0), k % 2 == 1, "Mon", "Tue")
     rows = table(spark, d, "part").select("p_partkey", *[F.create_map(*[v for name, p in (("ETag", tag), ("Content-Length", size), ("Last-Modified", at)) for v in (F.lit(name), p[i])]).alias(n) for i, n in enumerate(("old", "new"))])
     return rows.select("p_partkey", F.array_join(L.header_mismatch(F.col("old"), F.col("new")), ",").alias("differ"))
+
+
+@query("SELECT user_id, count(*) AS n, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS refused, max(event_id) AS last FROM events GROUP BY user_id")
+def t5_audit_stream(spark, d):
+    """Every change appended to a log as it comes; what the log then says of each user."""
+    from ..functions.shared import new_path
+    from ..streaming.streams import audit_stream
+
+    path = new_path(spark, "audit")
+    changes = event_stream(spark, d).select("event_id", "user_id", "event_type", "ts")
+    audit_stream(changes, path, new_path(spark, "audit-state")).awaitTermination()
+    log = spark.read.schema(changes.schema).parquet(path)
+    return log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("refused"), F.max("event_id").alias("last"))
+
+
+@query("""SELECT n_nationkey AS follower, event_type, count(*) AS n FROM events JOIN customer ON c_custkey = event_id % 200 + 1 JOIN nation ON n_nationkey = c_nationkey
+ WHERE event_type IN (CASE WHEN n_nationkey % 2 = 0 THEN 'purchase' ELSE 'error' END, 'signup') GROUP BY 1, 2""")
+def t6_follow_stream(spark, d):
+    """Nations follow their customers; even ones hear of purchases, odd ones of errors, all of sign-ups."""
+    from ..streaming.streams import follow_stream, run_to_end
+
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("follower"))
+    follows = table(spark, d, "customer").select(F.col("c_nationkey").alias("follower"), F.col("c_nationkey").alias("target"), F.col("c_custkey").alias("subject"))
+    kinds = nation.select("follower", F.explode(F.array(F.when(F.col("follower") % 2 == 0, "purchase").otherwise("error"), F.lit("signup"))).alias("event_type"))
+    events = event_stream(spark, d).select((F.col("event_id") % 200 + 1).alias("subject"), "event_type", "ts")
+    return run_to_end(follow_stream(events, follows, kinds), "append").groupBy("follower", "event_type").agg(F.count(F.lit(1)).alias("n"))

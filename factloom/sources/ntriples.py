@@ -36,9 +36,12 @@ def parse_lines(lines: DataFrame, strict: bool = True, value: str = "value", kee
     """Triples of N-Triples lines.  Empty lines and comments give none; a bad line raises, or goes if not ``strict``."""
     v = F.col(value)
     rows = lines.where(~v.rlike(r"^\s*(#.*)?$"))
-    part = lambda k: F.nullif(F.regexp_extract(v, LINE, k), F.lit(""))
-    lit = F.when(part(4).isNull() & part(5).isNull(), unescaped(F.regexp_extract(v, LINE, 6)))
-    good = v.rlike(LINE)
+    # the pattern runs once a line: its groups between marks, the literal last, as it may hold the mark; a bad line stays as it is
+    groups = F.split(F.regexp_replace(v, LINE, "\x02\x01$1\x01$2\x01$3\x01$4\x01$5\x01$7\x01$8\x01$6"), "\x01", 9)
+    rows = rows.withColumn("_g", groups)
+    part = lambda k: F.nullif(F.get("_g", F.lit(k if k < 6 else k - 1)), F.lit(""))
+    lit = F.when(part(4).isNull() & part(5).isNull(), unescaped(F.get("_g", F.lit(8))))
+    good = F.get("_g", F.lit(0)) == "\x02"
     if strict:
         rows = rows.where(F.coalesce(F.assert_true(good, F.concat(F.lit("not a triple: "), v)).cast("boolean"), F.lit(True)))
     else:

@@ -46,6 +46,8 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
+    if not last:  # nothing was there
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(stream.schema)
     return rows.parquet(f"{path}/batch={last[-1]}") if mode == "complete" else rows.parquet(*[f"{path}/batch={k}" for k in sorted(set(last))])
 
@@ -83,6 +85,14 @@ def audit_stream(changes: DataFrame, path: str, checkpoint: str):
     return changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def follow_stream(events: DataFrame, follows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Notices from a stream of events (subject, event_type, ts): followers of the subject who asked for that kind of event.
+
+    ``follows``: (follower, target, subject), ``kinds``: (follower, event_type); both are tables that the stream is joined to.
+    """
+    return follow_fanout(events, follows).join(kinds, ["follower", "event_type"])
+
+
 def follow_fanout(events: DataFrame, follows: DataFrame) -> DataFrame:
     """Notices for followers of an event's subject or of what it is part of; ``follows`` has (follower, target, subject)."""
     return events.join(follows, "subject").select("follower", "target", "subject", "event_type", "ts")
