@@ -550,6 +550,36 @@ def test_pipeline_stages_decide_as_brute_force(spark):
     assert {(r.doc_id, r.text) for r in stages["byte_bpe"](spark, docs, sf).collect()} == set(rows)
 
 
+def test_pipeline_stages_take_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeats, clashing columns, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = {"row": F.lit("r"), "spans": F.lit(1), "score": F.lit(0.5), "n_words": F.lit(2), "class": F.lit("c"), "items": F.lit("i")}
+    docs = some.withColumns(extra)
+    odd = [(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6 + 1, "the and of to in is " * 9000, None, "s", None), (None, "only one like this in all the world of texts", "en", "s", 1)]
+    rows = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns(extra)
+    docs = docs.unionByName(rows.select(*docs.columns)).unionByName(docs.limit(2))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0, name
+        got = out.collect()
+        if name == "byte_bpe":
+            assert len(got) == docs.count() and {r.doc_id: r.text for r in got}[10**6] == ""
+            assert [(r.n_tokens, r.text) for r in got if r.doc_id is None and r.n_tokens == 0] == [(0, "")]
+            continue
+        assert out.columns == docs.columns == none.columns, name
+        ids = [r.doc_id for r in got]
+        if name == "language_id":
+            assert 10**6 not in ids and 10**6 + 1 in ids and ids.count(None) == 1
+        else:
+            assert 10**6 in ids and 10**6 + 1 in ids and ids.count(None) == 2, name
+        if name == "near_duplicates":
+            assert len({(r.doc_id, r.text) for r in got}) == len(got)
+        if name == "personal_data":
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
 def test_word_hashes_tell_rows_apart():
     import pyarrow as pa
 
