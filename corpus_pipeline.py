@@ -1,4 +1,9 @@
-"""From raw documents to token ids in five stages."""
+"""From raw documents to token ids in five stages.
+
+Every stage takes a table with ``doc_id``, ``text``, ``lang``, ``source`` and any further columns, and all but the last return the same
+columns, whatever their names.  An empty table goes through as one.  Nulls stay nulls but for the text in the last stage; what each
+stage does with null texts and ids, repeated rows and ties is said there.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +18,21 @@ MIN_SCORE = 0.3
 
 
 def language_id(spark, docs, sf_dir):
-    """Documents without a language go; the network learns from the languages given with the documents."""
+    """Documents without a language go; the network learns from the languages given with the documents.
+
+    Null texts and texts without a letter have none.  Rows without a given language are judged like all others.  Repeated rows are judged
+    one by one.  Of equal scores the first language by name counts.  Without any given language every document goes.
+    """
     found = langid.predict(docs, langid.fit(docs), whole_row=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each component of similar documents the one with the smallest id stays."""
+    """Of each component of similar documents the one with the smallest id stays.
+
+    Null and blank texts are like nothing and stay, as do rows without an id that are like nothing.  A row that is there twice stays once;
+    rows of one id with different texts stay, one of each text.
+    """
     found = saved(jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -28,13 +41,19 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents of which a twentieth or more is benchmark text go."""
+    """Documents of which a twentieth or more is benchmark text go.
+
+    Null and wordless texts stay.  Null and wordless items hit nothing, items without an id count.  Repeated rows are judged one by one.
+    """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_contamination(docs, bench, whole_row=True).where(~decontaminate.contaminated()).select("row.*")
 
 
 def personal_data(spark, docs, sf_dir):
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind, and ``n_chars`` follows the new text.
+
+    Null texts stay null, with null characters.  Where spans overlap the first stands for all.  Repeated rows are mended one by one.
+    """
     found = pii.find_pii(docs, pii.fit(docs), whole_row=True)
     text = pii.masked(F.col("row.text"), F.col("spans"))
     new = {"text": text, "n_chars": F.char_length(text).cast("long")}
@@ -42,7 +61,10 @@ def personal_data(spark, docs, sf_dir):
 
 
 def byte_bpe(spark, docs, sf_dir):
-    """Token ids (little-endian unsigned 32-bit) of each text, and the text decoded from them."""
+    """``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``text``, decoded from them, of every row.
+
+    A null text has no ids and comes back empty.  Repeated rows and ids each keep a row; other columns end here.
+    """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
     return out.select("doc_id", "n_tokens", "ids", F.decode("decoded", "UTF-8").alias("text"))
