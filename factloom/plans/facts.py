@@ -291,10 +291,10 @@ def j15_overview(spark, d):
     return n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").fillna(0, ["customers", "suppliers"]).select("n_name", "customers", "suppliers")
 
 
-@query("SELECT DISTINCT c_name, s_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND c_mktsegment = 'BUILDING'")
+@query("SELECT DISTINCT c_name, s_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' AND c_mktsegment = 'BUILDING'")
 def j16_contributions(spark, d):
     t = lambda n: table(spark, d, n)
-    sup = t("supplier").join(t("nation").where("n_name = 'CHINA'"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name")
+    sup = t("supplier").join(t("nation").where("n_name = 'NATION_7'"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name")
     items = t("lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_name")
     cust = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
     return t("orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("c_name", "s_name").distinct()

@@ -154,9 +154,9 @@ def p14_uri_path_lookup(spark, d):
     return table(spark, d, "pages").select("page_id", "url", (F.col("page_id") % 40).alias("k")).join(mapped, "k", "left").select("page_id", F.coalesce("n_name", "url").alias("target"))
 
 
-@query("SELECT n_name FROM nation WHERE n_name IN ('CHINA', 'INDIA', 'ATLANTIS')")
+@query("SELECT n_name FROM nation WHERE n_name IN ('NATION_3', 'NATION_7', 'ATLANTIS')")
 def p15_group_lookup(spark, d):
-    return table(spark, d, "nation").where(F.col("n_name").isin("CHINA", "INDIA", "ATLANTIS")).select("n_name")
+    return table(spark, d, "nation").where(F.col("n_name").isin("NATION_3", "NATION_7", "ATLANTIS")).select("n_name")
 
 
 @query("SELECT sha256(unhex(sha256(s)) || unhex(c)) AS record, s FROM (SELECT s, sha256(unhex(string_agg(pair, '' ORDER BY pair))) AS c FROM (SELECT DISTINCT s, pair FROM ids) GROUP BY s)", "ids")
