@@ -33,6 +33,8 @@ PIVOTS = (1, 4)
 #: Members of a block of the matrix, and queries that meet it in one task.
 BLOCK = 256
 QUERIES = 256
+#: Classes of a min-hash key that meet its pivots in one task.
+KEY_ROWS = 1024
 #: Cells of the frequency sketch: four bytes each while counting, one when it is sent out.
 CELLS = 1 << 22
 #: Bytes of text in a pack: the sets of a pack are in memory together.
@@ -257,12 +259,17 @@ class _Join:
         return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(frugal(_verify_pairs), "a binary, b binary"), "linked")
 
     def keyed(self) -> DataFrame:
-        """(key, class, central): min-hash keys that several classes share; central counts all of a class's partners."""
+        """(key, class, salts, central): min-hash keys that several classes share; central counts all of a class's partners.
+
+        A key of many classes is dealt to ``salts`` tasks.
+        """
         rows = self.classes.select("class", F.posexplode("keys").alias("k", "h")).select("class", F.struct("k", "h").alias("key"))
-        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        # saved, so that the join reads two plain exchanges, which Spark may split where a key is hot
+        shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
         hit = rows.join(shared, "key")
         central = hit.groupBy("class").agg(F.sum("c").alias("central"))
-        return saved(hit.select("key", "class").join(central, "class").select("key", "class", "central"), "keyed")
+        salts = F.ceil(F.col("c") / KEY_ROWS).cast("int").alias("salts")
+        return saved(hit.select("key", "class", salts).join(central, "class").select("key", "class", "salts", "central"), "keyed")
 
     def with_comp(self, df: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -272,11 +279,15 @@ class _Join:
     def star(self, keyed: DataFrame, labels: DataFrame | None, pivots: int) -> DataFrame:
         """Candidate pairs of each class with the most central classes of its keys, across components only."""
         rows = self.with_comp(keyed, labels)
-        top = rows.groupBy("key").agg(F.max(F.struct("central", "class", "comp")).alias("p")) if pivots == 1 else None
-        if top is None:
+        pivot = F.struct("central", "class", "comp")
+        if pivots == 1:
+            top = rows.groupBy("key").agg(F.max(pivot).alias("p"), F.max("salts").alias("salts"))
+        else:
             best = W.partitionBy("key").orderBy(F.desc("central"), "class")
-            top = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pivots).select("key", F.struct("central", "class", "comp").alias("p"))
-        return rows.join(top, "key").where("comp <> p.comp").select(
+            top = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pivots).select("key", pivot.alias("p"), "salts")
+        top = top.select("key", "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
+        return rows.join(top, ["key", "salt"]).where("comp <> p.comp").select(
             F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
         )
 

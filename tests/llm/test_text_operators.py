@@ -449,6 +449,14 @@ def test_components_equal_brute_force(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "KEY_ROWS", 4)
+    rows = [(k, " ".join([f"t{i}" for i in range(70)] + [f"e{k}"])) for k in range(60)] + corpus(n=40)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def test_components_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     got = jaccard.near_duplicates(frame(spark, [(1, None), (2, ""), (None, "alone in the world of texts")])).collect()
