@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, pii, quality, substrings, warc, wordpiece
+from . import bpe, chat, decontaminate, jaccard, langid, merkle, pii, quality, substrings, warc, wordpiece
 from .shared import new_path
 
 
@@ -98,4 +98,18 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id)}
+def op12_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    fields = lambda text: merkle.leaf(*[text if c == "text" else F.col(c) for c in merkle.FIELDS])
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    rows = docs.withColumn("leaf", fields(F.col("text"))).withColumn("now", F.when(tampered, fields(lower)).otherwise(F.col("leaf")))
+    kept, root = merkle.manifest(rows, keep=("now",))
+    root, low = F.lit(root.hex() if root else None), lambda c: F.lower(F.hex(c)).alias(c)
+    return merkle.folded(kept, "now").select(
+        "doc_id", low("leaf"), low("subroot"), root.alias("root"), low("proof").alias("proof_sha256"),
+        low("folded").alias("folded_root"), (low("folded") == root).alias("verified"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id, op12_merkle_manifest)}

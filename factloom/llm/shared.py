@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch of its own.
@@ -93,3 +94,19 @@ def small_or_plain(df: DataFrame, row_bytes: int, bound: int = 32 << 20) -> Data
     shuffle and may still adapt at run time.
     """
     return F.broadcast(df) if df.count() * row_bytes <= bound else df
+
+
+def numbered(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
+    """``df`` with ``at``, the place from 0 of each row among those with equal ``by`` (no nulls), and ``n``, how many those are.
+
+    Rows are dealt to tasks by ranges of all these columns, so a group of any size is spread; only each task's count of each group is
+    added up in one place.  Nulls of ``order`` come first; rows that are equal in it get places in any order.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    rows = saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_task", F.shiftright("_id", 33))
+    parts = rows.groupBy(*by, "_task").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*by).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    starts = saved(parts.select(*by, "_task", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("n")), "starts")
+    out = rows.join(small_or_plain(starts, 256), [*by, "_task"])
+    return out.withColumn("at", F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_task", "_first", "_before")
