@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, merkle, pii, quality, substrings, warc, wordpiece
+from . import bpe, chat, decontaminate, jaccard, langid, merkle, pii, quality, spelling, substrings, warc, wordpiece
 from .shared import new_path
 
 
@@ -98,6 +98,10 @@ def op10_language_id(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     fields = lambda text: merkle.leaf(*[text if c == "text" else F.col(c) for c in merkle.FIELDS])
@@ -112,4 +116,4 @@ def op12_merkle_manifest(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id, op12_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id, op11_spelling_variants, op12_merkle_manifest)}
