@@ -107,4 +107,102 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.c) AS componen
 FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.a = w.doc_id GROUP BY w.doc_id
 """
 
-SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op8_quality_rules": OP8, "op9_ngram_jaccard": OP9}
+#: Checksums (crc32): a table of 256 steps, and the checksum of the bytes of a text by it.
+_CRC_TABLE = "SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS tab FROM range(256) t(i)"
+
+
+def _crc(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    of_byte = f"list_transform(range(length({digits}) // 2), lambda k: CAST('0x' || substr({digits}, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce({of_byte}, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+OP11 = rf"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+h AS (SELECT w, n, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM r, t WHERE length(w) >= 6),
+v AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h)
+      WHERE length(w) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+x AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+s AS (SELECT DISTINCT x.word AS long, v.word AS short FROM x JOIN v ON v.word = x.a || x.b),
+p AS (SELECT x.word, y.word AS other FROM x JOIN x y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+      UNION ALL SELECT long, short FROM s UNION ALL SELECT short, long FROM s),
+o AS (SELECT p.word, other, v.n, count(*) OVER (PARTITION BY p.word) AS k, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, other) AS place FROM p JOIN v ON v.word = other),
+f AS (SELECT v.word, v.n, coalesce(k, 0) AS n_near, CASE WHEN o.n >= 5 * v.n THEN other END AS form, CASE WHEN o.n >= 5 * v.n THEN o.n END AS form_n
+      FROM v LEFT JOIN o ON o.word = v.word AND place = 1),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL
+"""
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_UP = "SELECT tree, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM {0} WHERE n > 1 GROUP BY tree, lvl, pos // 8, n"
+_STEP = """SELECT f.r, f.tree, f.lvl + 1, f.pos // 8, sha256(array_to_string(list_concat(kids[:f.pos % 8], [f.h], kids[f.pos % 8 + 2:]), '')),
+        proof || array_to_string(list_concat(kids[:f.pos % 8], kids[f.pos % 8 + 2:]), '') FROM {0} f JOIN k ON k.tree = f.tree AND k.lvl = f.lvl AND k.up = f.pos // 8"""
+
+OP12 = f"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, 't' || coalesce('=' || lang, '') AS tree, {_LEAF.format(text="text")} AS leaf,
+        CASE WHEN coalesce({_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0, false) THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+        ELSE {_LEAF.format(text="text")} END AS now FROM documents, t),
+e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+a(tree, lvl, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM e UNION ALL {_UP.format("a")}),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+b(tree, lvl, pos, n, h) AS (SELECT '', 0, pos, n, subroot FROM s UNION ALL {_UP.format("b")}),
+k AS (SELECT tree, lvl, pos // 8 AS up, list(h ORDER BY pos) AS kids FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE n > 1 GROUP BY ALL),
+f1(r, tree, lvl, pos, h, proof) AS (SELECT r, tree, 0, pos, now, '' FROM e UNION ALL {_STEP.format("f1")}),
+g AS (SELECT f1.r, '' AS tree, 0 AS lvl, s.pos, f1.h, f1.proof FROM f1 JOIN a ON a.tree = f1.tree AND a.lvl = f1.lvl AND a.pos = f1.pos AND a.n = 1 JOIN s ON s.tree = f1.tree),
+f2(r, tree, lvl, pos, h, proof) AS (SELECT * FROM g UNION ALL {_STEP.format("f2")})
+SELECT d.doc_id, d.leaf, s.subroot, w.h AS root, sha256(f2.proof) AS proof_sha256, f2.h AS folded_root, f2.h = w.h AS verified
+FROM d JOIN s USING (tree) JOIN (SELECT h, lvl FROM b WHERE n = 1) w ON true JOIN f2 ON f2.r = d.r AND f2.lvl = w.lvl
+"""
+
+
+def _places(kind: int, name: str, form: str, keep: str) -> str:
+    """Rows (r, kind, name, a, z) of the matches of a pattern, with places from the lengths of what lies between them."""
+    return f"""SELECT r, {kind} AS kind, '{name}' AS name, a, a + length(m) AS z, m, g FROM (
+        SELECT r, m[i] AS m, g[i] AS g, CAST(list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+        FROM (SELECT r, m, g, p, unnest(range(1, len(m) + 1)) AS i FROM (
+          SELECT r, regexp_extract_all(text, {form}) AS m, regexp_extract_all(text, {form}, {2 if kind == 0 else 0}) AS g, regexp_split_to_array(text, {form}) AS p FROM d))) WHERE {keep}"""
+
+
+_Q = "[\"'']?"  # an optional quote, within SQL quotes
+_ASSIGN = rf"'((?i:password|passwd|secret|token|api_?key)){_Q}\x20*[:=]\x20*{_Q}([A-Za-z0-9+/_.=-]+)'"
+_CLASSES = "[('[0-9a-f]+', {hex}), ('[0-9A-F]+', {hex}), ('[0-9a-z]+', {one}), ('[0-9A-Z]+', {one}), ('[A-Za-z0-9+/=_-]+', {wide})]"
+
+
+def _op13() -> str:
+    from . import secretscan as s
+
+    bits = {name: s.most(window, least) for name, _, window, least in s.CLASSES}
+    classes = _CLASSES.format(hex=bits["hex"], one=bits["one case"], wide=bits["base64"])
+    shapes = "|".join(f"(?:{x})" for x in s.ALLOWED_SHAPES)
+    listed = ", ".join(f"'{x}'" for x in sorted(s.ALLOWED))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+b AS ({_places(0, "assign", _ASSIGN, "length(g) >= 6")} UNION ALL {_places(1, "access", "'AKIA[A-Z0-9]+'", "length(m) >= 20")} UNION ALL {_places(2, "hex", "'[0-9a-f]+'", "length(m) >= 24")}),
+c AS (SELECT r, a, m FROM ({_places(3, "entropy", "'[A-Za-z0-9+/_.=-]+'", "length(m) >= 20")})
+      WHERE m NOT IN ({listed}) AND trim(m, '=.-') NOT IN ({listed}) AND NOT regexp_full_match(m, '{shapes}')),
+x AS (SELECT r, a, m, unnest({classes}) AS k FROM c),
+y AS (SELECT r, a, k[2] AS most, regexp_extract_all(m, k[1]) AS m, regexp_split_to_array(m, k[1]) AS p FROM x),
+z AS (SELECT r, most, m[i] AS run, a + CAST(list_sum(list_transform(p[:i], lambda q: length(q))) + coalesce(list_sum(list_transform(m[:i - 1], lambda q: length(q))), 0) AS BIGINT) AS a
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM y)),
+u AS (SELECT r, most, a + j AS a, substr(run, CAST(j + 1 AS BIGINT), 20) AS w FROM (SELECT *, unnest(range(0, length(run) - 19)) AS j FROM z WHERE length(run) >= 20)),
+h AS (SELECT DISTINCT r, a, a + 20 AS z FROM u WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[^0-9]')
+        AND list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda n: CAST(round(n * log2(n) * 1048576) AS BIGINT))) <= most),
+i AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY r ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM h),
+e AS (SELECT r, min(a) AS a, max(z) AS z FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM i) GROUP BY r, island),
+l AS (SELECT r, kind, name, a, z FROM b UNION ALL
+      SELECT r, 3, 'entropy', a, z FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = e.r AND b.a <= e.a AND b.z >= e.z)),
+o AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+        string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind, z) AS spans FROM l GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (r)
+"""
+
+
+OP13 = _op13()
+
+SQL = {"op1_warc": OP1, "op2_substring_dedup": OP2, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op8_quality_rules": OP8, "op9_ngram_jaccard": OP9,
+       "op11_spelling_variants": OP11, "op12_merkle_manifest": OP12, "op13_secret_scan": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, merkle, pii, quality, spelling, substrings, warc, wordpiece
+from . import bpe, chat, decontaminate, jaccard, langid, merkle, pii, quality, secretscan, spelling, substrings, warc, wordpiece
 from .shared import new_path
 
 
@@ -116,4 +116,14 @@ def op12_merkle_manifest(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id, op11_spelling_variants, op12_merkle_manifest)}
+def op13_secret_scan(spark, sf_dir):
+    found = secretscan.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    text = lambda xs: F.array_join(
+        F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secretscan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring_dedup, op3_token_counts, op4_decontaminate, op5_pii, op6_bpe, op7_chat_format, op8_quality_rules, op9_ngram_jaccard, op10_language_id, op11_spelling_variants, op12_merkle_manifest, op13_secret_scan)}
