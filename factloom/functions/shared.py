@@ -1,18 +1,22 @@
 """The folder that all executors share, and lineage cuts that survive lost executors."""
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is missing (tests) a temporary folder is made and set."""
+    """``spark.checkpoint.dir``; only where it is missing and Spark is one local process (tests) a temporary folder is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get() if own.isDefined() else None
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -28,3 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_plain(df: DataFrame, row_bytes: int = 256, bound: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that it stays under ``bound`` bytes, else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= bound else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shared import cut
+from ..functions.shared import cut, small_or_plain
 
 
 def transitive_closure(edges: DataFrame, starts: DataFrame, direction: str = "subject", max_depth: int = -1) -> DataFrame:
@@ -90,3 +90,24 @@ def identity_walk(relations: DataFrame, types: DataFrame, starts: DataFrame, dir
     found = transitive_closure(relations, starts, direction)
     ends = found.join(types.toDF("s", "s_type"), "s", "left").join(types.toDF("o", "o_type"), "o", "left")
     return ends.where(F.col("o_type") == of_type) if of_type else ends
+
+
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): every node that a walk over ``edges`` (a, b) from each of ``starts`` (start, node) meets, the first ones included.
+
+    A pair enters the frontier once, so cycles end.  Only edges that leave the frontier's nodes take part in a round; where a few nodes
+    hold most pairs, those edges are few and are sent to all tasks once a count proves it.
+    """
+    parts = [cut(starts.select("start", "node").distinct())]
+    while not parts[-1].isEmpty():
+        new = parts[-1]
+        out = cut(edges.join(new.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("node"), F.col("b")).distinct())
+        seen = parts[0]
+        for x in parts[1:]:
+            seen = seen.union(x)
+        step = new.join(small_or_plain(out), "node").select("start", F.col("b").alias("node")).distinct()
+        parts.append(cut(step.join(seen, ["start", "node"], "left_anti")))
+    out = parts[0]
+    for x in parts[1:-1]:
+        out = out.union(x)
+    return out

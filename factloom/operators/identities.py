@@ -51,6 +51,13 @@ def sequence_of(rows: DataFrame, column: str) -> bytes:
     return bytes(found.identity) if found else hashlib.sha256(b"").digest()
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def bnode_records(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Identities of blank nodes, bottom up, and of the subjects that hold them.
 
@@ -62,9 +69,10 @@ def bnode_records(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = rows.where("o_blank is null").withColumn("pair", pair_identity(object_identity())).select("s_blank", "pair")
     subjects = rows.select(F.col("s_blank").alias("node")).distinct()
     dangling = triples.where("o_blank is not null").select(F.col("o_blank").alias("node")).distinct().join(subjects, "node", "left_anti")
-    done = cut(dangling.withColumn("condensed", null_identity()))
+    parts = [cut(dangling.withColumn("condensed", null_identity()))]  # a table a round, none is written again
     left = cut(subjects)
     while not left.isEmpty():
+        done = _all(parts)
         known = links.join(done.select(F.col("node").alias("o_blank"), "condensed"), "o_blank", "left")
         waiting = known.where("condensed is null").select(F.col("s_blank").alias("node")).distinct()
         ready = cut(left.join(waiting, "node", "left_anti"))
@@ -73,8 +81,10 @@ def bnode_records(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
         linked = known.where("condensed is not null").select("s_blank", h(F.concat(h("p"), F.col("condensed"))).alias("pair"))
         pairs = own.unionByName(linked).withColumnRenamed("s_blank", "node").join(ready, "node", "left_semi")
         new = pairs.groupBy("node").agg(sequence_identity(F.collect_list("pair")).alias("condensed"))
-        done = cut(done.unionByName(new))
+        parts.append(cut(new))
+        links = cut(links.join(ready.withColumnRenamed("node", "s_blank"), "s_blank", "left_anti"))
         left = cut(left.join(ready, "node", "left_anti"))
+    done = _all(parts)
     parents = triples.where("o_blank is not null").groupBy(F.col("o_blank").alias("node")).agg(F.count(F.lit(1)).alias("parents"))
     nodes = done.join(parents, "node", "left").fillna(0, ["parents"])
     conn = triples.where("s is not null and o_blank is not null").select("s", "p", F.col("o_blank").alias("node")).join(done, "node")
@@ -122,16 +132,41 @@ def replicas(nodes: DataFrame) -> DataFrame:
 
 
 def nested_integers(triples: DataFrame) -> DataFrame:
-    """(root, node, local): all nodes below each linked root numbered from 0, the root, level by level by the predicate that reaches them."""
-    links = cut(triples.where("s_blank is not null and o_blank is not null").groupBy(F.col("s_blank").alias("above"), F.col("o_blank").alias("node")).agg(F.min("p").alias("p")))
-    root = triples.where("s is not null and o_blank is not null").select(F.col("o_blank").alias("root")).distinct()
-    new = cut(root.select("root", F.col("root").alias("node"), F.lit(0).alias("level"), F.lit("").alias("p")))
-    found = new
-    while not new.isEmpty():
-        step = new.select("root", F.col("node").alias("above"), "level").join(links, "above")
-        new = cut(step.groupBy("root", "node").agg((F.min("level") + 1).alias("level"), F.min("p").alias("p")).join(found.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "level", "p"))
-        found = found.unionByName(new)
-    return found.select("root", "node", (F.row_number().over(W.partitionBy("root").orderBy("level", "p", "node")) - 1).alias("local"))
+    """(root, node, local): all nodes below each linked root numbered from 0, the root, whatever their labels.
+
+    A node's place is where it is first met among the subgraph's rows in the order of predicate, object (blank ones last) and subject.  Nodes
+    met at one place are told apart by the identity of what is below them, then by the places of their parents, refined until no more of
+    them differ; what then still ties is alike from all sides, so exchanging it changes no row.
+    """
+    from .closure import reach
+
+    inner = cut(triples.where("s_blank is not null").select("s_blank", "p", "o", "o_lit", "datatype", "language", "o_blank").distinct())
+    links = inner.where("o_blank is not null").select(F.col("s_blank").alias("a"), F.col("o_blank").alias("b")).distinct()
+    root = triples.where("s is not null and o_blank is not null").select(F.col("o_blank").alias("start"), F.col("o_blank").alias("node"))
+    members = cut(reach(links, root).withColumnRenamed("start", "root"))
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("datatype", "language")]
+    place = lambda role: F.struct("p", F.col("o_blank").isNotNull().alias("blank"), F.coalesce("o", "o_lit", F.lit("")).alias("v"), *text, F.lit(role).alias("role")).alias("place")
+    met = inner.select(F.col("s_blank").alias("node"), place(0))
+    rows = members.join(met, "node").select("root", "node", "place")
+    held = members.withColumnRenamed("node", "s_blank").join(inner.where("o_blank is not null"), "s_blank")
+    rows = rows.unionByName(held.select("root", F.col("o_blank").alias("node"), place(1)))
+    first = rows.groupBy("root", "node").agg(F.min("place").alias("place"))
+    nodes, _ = bnode_records(triples)
+    head = (F.col("node") != F.col("root")).alias("inner")
+    known = members.join(first, ["root", "node"], "left").join(nodes.select("node", "condensed"), "node", "left")
+    rank = lambda *by: F.dense_rank().over(W.partitionBy("root").orderBy(*by))
+    now = cut(known.select("root", "node", rank(head, "place", "condensed").alias("colour")))
+    above = cut(held.select("root", "s_blank", "p", F.col("o_blank").alias("node")).distinct())
+    kinds = now.select("root", "colour").distinct().count()
+    while True:
+        parent = above.join(now.select("root", F.col("node").alias("s_blank"), "colour"), ["root", "s_blank"])
+        sides = parent.groupBy("root", "node").agg(F.sum(F.pmod(F.xxhash64("p", "colour"), F.lit(1 << 31))).alias("sides"))
+        new = cut(now.join(sides, ["root", "node"], "left").select("root", "node", rank("colour", "sides").alias("colour")))
+        more = new.select("root", "colour").distinct().count()
+        if more == kinds:
+            break
+        now, kinds = new, more
+    return now.select("root", "node", (F.row_number().over(W.partitionBy("root").orderBy("colour", "node")) - 1).alias("local"))
 
 
 def local_integers(triples: DataFrame) -> DataFrame:
