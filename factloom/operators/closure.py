@@ -111,3 +111,19 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     for x in parts[1:-1]:
         out = out.union(x)
     return out
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp) for every node of ``links`` (a, b): comp is the lowest node of its component.
+
+    Each round a node takes the lowest label around it and then that label's own label, until none moves; only that reaches the driver.
+    """
+    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"))
+    at = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")))
+    while True:
+        near = both.join(at.toDF("other", "c"), "other").groupBy("node").agg(F.min("c").alias("c"))
+        low = at.join(near, "node").select("node", "comp", F.least("comp", "c").alias("low"))
+        new = cut(low.join(at.toDF("low", "far"), "low").select("node", F.least("low", "far").alias("comp"), (F.least("low", "far") < F.col("comp")).alias("moved")))
+        at = new.select("node", "comp")
+        if new.where("moved").isEmpty():
+            return at

@@ -32,7 +32,7 @@ def with_ctes(sql: str, *ctes: str, recursive: bool = False) -> str:
     if body[:5].upper() == "WITH ":
         rest = body[5:].removeprefix("RECURSIVE ")
         return f"WITH {'RECURSIVE ' if recursive else ''}{head}, {rest}"
-    return f"WITH {head} {body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{head} {body}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
