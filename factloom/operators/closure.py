@@ -127,3 +127,20 @@ def components(links: DataFrame) -> DataFrame:
         at = new.select("node", "comp")
         if new.where("moved").isEmpty():
             return at
+
+
+def extend_closure(closure: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (node, ancestor) that ``closure`` lacks once ``edges`` (a, b: a is part of b) are added, without walking what was known.
+
+    New pairs join with the old ones on both sides until none is new; a round starts from the last round's pairs only.
+    """
+    known = closure.select("node", "ancestor")
+    new = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("ancestor")).distinct().join(known, ["node", "ancestor"], "left_anti"))
+    found = new
+    while not new.isEmpty():
+        every = known.unionByName(found)
+        up = new.select("node", F.col("ancestor").alias("mid")).join(every.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor")
+        down = every.select("node", F.col("ancestor").alias("mid")).join(new.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor")
+        new = cut(up.unionByName(down).distinct().join(every, ["node", "ancestor"], "left_anti"))
+        found = found.unionByName(new)
+    return found

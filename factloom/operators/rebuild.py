@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 from . import identities as I
-from .closure import transitive_closure
+from .closure import reach, transitive_closure
 
 NAMED = ["s", "p", "o", "o_lit", "datatype", "language"]
 
@@ -87,3 +87,17 @@ def new_entities(requests: DataFrame, registry: DataFrame, top: int) -> tuple[Da
     good = good.join(F.broadcast(before), "part")
     number = F.row_number().over(W.partitionBy("part").orderBy("request")) + F.col("before") + top
     return good.select("request", "label", F.concat(F.lit("tx_"), F.lpad(number.cast("string"), 7, "0")).alias("id")), bad
+
+
+INCLUDES_TERM, INCLUDES_SET = "ex:includesTerm", "ex:includesTermSet"  # fixed values
+
+
+def termset_members(triples: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the term sets ``starts`` (start), and the sets below them: (start, member, in_set) and (start, set).
+
+    A set that is included as a set is gone on with, one that is included as a term is a member and ends there.  Cycles of sets end.
+    """
+    own = triples.where(F.col("p").isin(INCLUDES_TERM, INCLUDES_SET) & F.col("o").isNotNull())
+    sets = reach(own.where(F.col("p") == INCLUDES_SET).select(F.col("s").alias("a"), F.col("o").alias("b")), starts.select("start", F.col("start").alias("node")))
+    members = sets.join(own.where(F.col("p") == INCLUDES_TERM).select(F.col("s").alias("node"), F.col("o").alias("member")), "node")
+    return members.select("start", "member", F.col("node").alias("in_set")).distinct(), sets.select("start", F.col("node").alias("set"))

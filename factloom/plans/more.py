@@ -272,24 +272,76 @@ def event_stream(spark, d):
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY user_id, event_type")
 def t1_incremental_ingest(spark, d):
-    """Events ingested as a stream, then once more: what is there already is not added again."""
+    """Events ingested as a stream, then once more: what is there already is not added again, and only folders of a batch's keys are read."""
     from ..functions.shared import new_path
     from ..streaming.streams import ingest_stream
 
     schema, sink = "event_id long, user_id long, event_type string", new_path(spark, "sink")
     for _ in range(2):
-        ingest_stream(spark, f"{d}/events.parquet*", schema, sink, ["event_id"], new_path(spark, "state")).awaitTermination()
+        ingest_stream(spark, f"{d}/events.parquet*", schema, sink, ["event_id"], new_path(spark, "state"), by=F.floor(F.col("event_id") / 10_000)).awaitTermination()
     return spark.read.schema(schema).parquet(sink).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT review, count(DISTINCT reviewer) AS present FROM votes WHERE vote <> 'absent' GROUP BY review", "votes")
 def t3_quorum_stream(spark, d):
     """Distinct voters of each review, kept as state while votes stream in."""
-    from ..streaming.streams import quorum_stream, run_to_end
+    from ..streaming.streams import keyed_state, quorum_stream, run_to_end
 
     kind = triplify.mapped({"purchase": "approve", "click": "approve", "error": "deny", "signup": "absent"}, F.col("event_type"))
     votes = event_stream(spark, d).select((F.col("event_id") % 60).alias("review"), (F.col("user_id") % 15).alias("reviewer"), F.coalesce(kind, F.lit("present")).alias("vote"))
-    return run_to_end(quorum_stream(votes, 5), "update").groupBy("review").agg(F.max("present").alias("present"))
+    with keyed_state(spark):
+        return run_to_end(quorum_stream(votes, 5), "update").groupBy("review").agg(F.max("present").alias("present"))
+
+
+@query("""WITH e AS (SELECT event_id, epoch_ms(ts) AS born, event_id % 7 * 86400000 AS delay, (event_id % 5 + 1) * 86400000 AS life, (SELECT epoch_ms(max(ts)) FROM events) - 3600000 AS now FROM events)
+ SELECT event_id AS key, state FROM (SELECT event_id, unnest([CASE WHEN true THEN 'early' END, CASE WHEN born + delay <= now THEN 'active' END, CASE WHEN born + delay + life <= now THEN 'expired' END]) AS state FROM e) WHERE state IS NOT NULL""")
+def t4_token_timers(spark, d):
+    """Every token's states as event time passes their limits: no further row of a token is needed."""
+    from ..streaming.streams import run_timers, token_steps
+
+    k = F.col("event_id")
+    rows = event_stream(spark, d).select(k.alias("key"), "ts", token_steps(F.col("ts"), k % 7 * 86400, (k % 5 + 1) * 86400).alias("steps"))
+    return run_timers(rows, "1 hour").select("key", "state")
+
+
+@query("""WITH s AS (SELECT event_id AS review, ts AS start, CAST(event_id % 9 AS INTEGER) AS days, CASE WHEN event_id % 3 > 0 THEN event_id % 7 END AS dow FROM events),
+ a AS (SELECT *, start + to_days(days) AS after FROM s), c AS (SELECT review, CASE WHEN dow IS NULL THEN after ELSE date_trunc('day', after) + to_days(CAST((dow - dayofweek(after) + 7) % 7 + 1 AS INTEGER)) - INTERVAL 1 SECOND END AS closes FROM a)
+ SELECT review, closes, epoch_ms(closes) <= (SELECT epoch_ms(max(ts)) FROM events) - 3600000 AS closed FROM c""")
+def r7_review_timers(spark, d):
+    """Reviews that close by themselves: each one's closing time, and whether the stream has told of it."""
+    from ..operators.review import close_time
+    from ..streaming.streams import review_steps, run_timers
+
+    def opened(events):
+        k = F.col("event_id")
+        return events.select(k.alias("key"), "ts", close_time(F.col("ts"), (k % 9).cast("int"), F.when(k % 3 > 0, k % 7)).alias("closes"))
+
+    told = run_timers(opened(event_stream(spark, d)).select("key", "ts", review_steps(F.col("closes")).alias("steps")), "1 hour")
+    closed = told.where("state = 'closed'").select("key", F.lit(True).alias("closed"))
+    return opened(table(spark, d, "events")).join(closed, "key", "left").select(F.col("key").alias("review"), "closes", F.coalesce("closed", F.lit(False)).alias("closed"))
+
+
+@query("""WITH t AS (SELECT 'http://ex.org/order/' || o_orderkey AS subject, o_orderstatus AS event_type, unnest(['http://ex.org/customer/' || c_custkey, 'http://ex.org/nation/' || c_nationkey, 'http://ex.org/region/' || n_regionkey]) AS target
+   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+ f AS (SELECT 'n' || n_nationkey AS follower, 'http://ex.org/nation/' || n_nationkey AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'F' ELSE 'O' END AS kind FROM nation UNION ALL SELECT 'r' || r_regionkey, 'http://ex.org/region/' || r_regionkey, 'P' FROM region
+   UNION ALL SELECT 'c' || c_custkey, 'http://ex.org/customer/' || c_custkey, 'O' FROM customer WHERE c_custkey % 10 = 0)
+ SELECT follower, t.target, subject, event_type FROM t JOIN f ON f.target = t.target AND f.kind = t.event_type""")
+def t6_follow_ancestors(spark, d):
+    """Orders stream in; followers of a customer, its nation or its region hear of those of their kind, over a closure that grows."""
+    from ..functions.shared import new_path
+    from ..operators.closure import extend_closure
+    from ..streaming.streams import follow_ancestors_stream
+
+    places = triples(spark, d, "region", "nation", "customer").where("p = 'ex:partOf'").select(F.col("s").alias("a"), F.col("o").alias("b"))
+    pairs, notices = new_path(spark, "closure"), new_path(spark, "notices")
+    extend_closure(spark.createDataFrame([], "node string, ancestor string"), places).write.parquet(f"{pairs}/batch=-1")
+    who = lambda t, key, letter, kind: table(spark, d, t).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("follower"), triplify.iri(t, key).alias("target"), kind.alias("event_type"))
+    all_ = who("nation", "n_nationkey", "n", F.when(F.col("n_nationkey") % 2 == 0, "F").otherwise("O")).unionByName(who("region", "r_regionkey", "r", F.lit("P")))
+    all_ = all_.unionByName(who("customer", "c_custkey", "c", F.when(F.col("c_custkey") % 10 == 0, "O")).where("event_type is not null"))
+    orders = spark.readStream.schema(table(spark, d, "orders").schema).parquet(f"{d}/orders.parquet*")
+    events = orders.select(triplify.iri("order", "o_orderkey").alias("subject"), triplify.iri("customer", "o_custkey").alias("part_of"), F.col("o_orderstatus").alias("event_type"), F.col("o_orderdate").alias("ts"))
+    follow_ancestors_stream(events, pairs, all_.select("follower", "target"), all_.select("follower", "event_type"), notices, new_path(spark, "state")).awaitTermination()
+    return spark.read.schema("follower string, target string, subject string, event_type string, ts timestamp").parquet(notices).select("follower", "target", "subject", "event_type")
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")

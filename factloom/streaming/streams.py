@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.closure import extend_closure
 from ..sources.ntriples import append_new
 
 
-def ingest_stream(spark: SparkSession, source: str, schema, sink: str, keys: list[str], checkpoint: str):
+def ingest_stream(spark: SparkSession, source: str, schema, sink: str, keys: list[str], checkpoint: str, by: Column | None = None, parts: int = 64):
     """Files of ``source`` appended to the Parquet table ``sink``, keys already there left out.
 
-    A batch writes to its own folder and overwrites it, so a batch that runs again after a failure counts once; its done marker
-    is Spark's own commit file, written last.
+    The table is dealt to folders by ``by``, an expression over the keys (else by their hash to ``parts`` folders): a batch is compared with
+    the folders of its own keys only.  Each run (named by its checkpoint) and batch writes to folders of its own and overwrites them, so a
+    batch that runs again after a failure counts once, and a new run never touches an older one's rows.  A batch's done marker is Spark's
+    own commit file, written last.
     """
     from ..functions.shared import cut
 
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    part = (F.pmod(F.xxhash64(*keys), F.lit(parts)) if by is None else by).cast("string")
+    kinds = T.StructType([*(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema), *T.StructType.fromDDL("part string, run string, batch long")])
+
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{sink}/batch={number}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = [
-            str(f.getPath()) for f in (fs.listStatus(hadoop) if fs.exists(hadoop) else [])
-            if f.getPath().getName().startswith("batch=") and int(f.getPath().getName()[6:]) < number
-        ]
-        new = batch.dropDuplicates(keys)
-        if old:
-            new = append_new(new, spark.read.schema(schema).parquet(*old), keys)
-        cut(new).write.mode("overwrite").parquet(path)
+        new = cut(batch.dropDuplicates(keys).withColumn("part", part))
+        folders = [r.part for r in new.select("part").distinct().collect()]  # folder names, not keys
+        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+        if folders and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            there = spark.read.schema(kinds).parquet(sink).where(F.col("part").isin(folders) & ((F.col("run") != run) | (F.col("batch") < number)))
+            new = append_new(new, there, keys)
+        new = cut(new.withColumn("run", F.lit(run)).withColumn("batch", F.lit(number).cast("long")))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "run", "batch").parquet(sink)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -58,21 +66,116 @@ def heads_stream(log: DataFrame) -> DataFrame:
 
 
 QUORUM = "review long, present long, reached boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class keyed_state:  # noqa: N801  used as `with keyed_state(spark):` around the start of a query
+    """State that is kept by key on disk, which map state and timers need, for queries that start inside; then as it was."""
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        self.before = self.conf.get(self.name, None)
+        self.conf.set(self.name, ROCKS)
+
+    def __exit__(self, *_):
+        self.conf.unset(self.name) if self.before is None else self.conf.set(self.name, self.before)
+
+
+class Quorum(StatefulProcessor):
+    """Distinct voters of a review: one entry a voter, so a batch reads and writes only the voters that it has."""
+
+    def __init__(self, needed: int):
+        self.needed = needed
+
+    def init(self, handle):
+        self.voters = handle.getMapState("voters", "reviewer long", "seen boolean")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = n = self.count.get()[0] if self.count.exists() else 0
+        for f in rows:
+            for x in f.loc[f["vote"] != "absent", "reviewer"].unique():
+                if not self.voters.containsKey((int(x),)):
+                    self.voters.updateValue((int(x),), (True,))
+                    n += 1
+        if n != before:
+            self.count.update((n,))
+            yield pd.DataFrame({"review": [key[0]], "present": [n], "reached": [n >= self.needed]})
+
+    def close(self):
+        pass
 
 
 def quorum_stream(votes: DataFrame, needed: int) -> DataFrame:
-    """(review, present, reached) again whenever a review's distinct voters change; state is the voters of one review."""
+    """(review, present, reached) again whenever a review's distinct voters change; start it inside ``keyed_state``."""
+    return votes.groupBy("review").transformWithStateInPandas(Quorum(needed), QUORUM, "Update", "None")
 
-    def step(key, frames, state):
-        voters = set(state.get[0]) if state.exists else set()
-        before = len(voters)
-        for f in frames:
-            voters.update(int(x) for x in f.loc[f["vote"] != "absent", "reviewer"])
-        state.update((sorted(voters),))
-        if len(voters) != before:
-            yield pd.DataFrame({"review": [key[0]], "present": [len(voters)], "reached": [len(voters) >= needed]})
 
-    return votes.groupBy("review").applyInPandasWithState(step, QUORUM, "voters array<long>", "update", "NoTimeout")
+class Steps(StatefulProcessor):
+    """Tells of each step of a key's schedule when event time has passed it, without a further row of that key.
+
+    The first row of a key has its schedule; the step without a time comes at once.  Rows that come again change nothing.
+    """
+
+    def init(self, handle):
+        self.handle = handle
+        self.steps = handle.getMapState("steps", "at long", "state string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = next(iter(self.steps.keys()), None) is not None
+        for f in rows:
+            for row in f.itertuples():
+                if known:
+                    continue
+                known = True
+                out = []
+                for step in row.steps:
+                    if step["at"] is None or pd.isna(step["at"]):
+                        out.append((key[0], step["state"], row.ts))
+                        continue
+                    at = int(pd.Timestamp(step["at"]).timestamp() * 1000)
+                    self.steps.updateValue((at,), (step["state"],))
+                    self.handle.registerTimer(at)
+                if out:
+                    yield pd.DataFrame(out, columns=["key", "state", "ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        state = self.steps.getValue((at,))[0]
+        yield pd.DataFrame({"key": [key[0]], "state": [state], "ts": [pd.Timestamp(at, unit="ms")]})
+
+    def close(self):
+        pass
+
+
+def steps_stream(rows: DataFrame, late: str) -> DataFrame:
+    """(key, state, ts) for each step of each key's schedule as event time passes it.
+
+    ``rows``: key (long), ts and steps (array of state and at; one without ``at`` comes with the row).  Rows later than ``late`` behind the
+    newest are left out by the watermark, and steps are told once the watermark is past them.  Start it inside ``keyed_state``.
+    """
+    return rows.select("key", F.col("ts").cast("timestamp").alias("ts"), "steps").withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Steps(), "key long, state string, ts timestamp", "Append", "EventTime")
+
+
+def token_steps(issued: Column, delay: Column, life: Column) -> Column:
+    """Schedule of a token: early until ``delay`` seconds are over, then active for ``life`` seconds, then expired."""
+    at = lambda s: F.timestamp_millis(F.unix_millis(issued.cast("timestamp")) + (s * 1000).cast("long"))
+    return F.array(F.struct(F.lit("early").alias("state"), F.lit(None).cast("timestamp").alias("at")), F.struct(F.lit("active").alias("state"), at(delay).alias("at")), F.struct(F.lit("expired").alias("state"), at(delay + life).alias("at")))
+
+
+def review_steps(closes: Column) -> Column:
+    """Schedule of a review: open at once, closed when its time is over."""
+    return F.array(F.struct(F.lit("open").alias("state"), F.lit(None).cast("timestamp").alias("at")), F.struct(F.lit("closed").alias("state"), closes.cast("timestamp").alias("at")))
+
+
+def run_timers(rows: DataFrame, late: str) -> DataFrame:
+    """All that is there now through ``steps_stream``, timers included, into the shared folder."""
+    with keyed_state(rows.sparkSession):
+        return run_to_end(steps_stream(rows, late), "append")
 
 
 def token_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -96,3 +199,34 @@ def follow_stream(events: DataFrame, follows: DataFrame, kinds: DataFrame) -> Da
 def follow_fanout(events: DataFrame, follows: DataFrame) -> DataFrame:
     """Notices for followers of an event's subject or of what it is part of; ``follows`` has (follower, target, subject)."""
     return events.join(follows, "subject").select("follower", "target", "subject", "event_type", "ts")
+
+
+def follow_ancestors(events: DataFrame, closure: DataFrame, follows: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Notices of a batch of ``events`` (subject, part_of, event_type, ts) for followers of the subject or of anything that it is part of.
+
+    ``closure``: (node, ancestor) so far; ``follows``: (follower, target); ``kinds``: (follower, event_type) that each wants to hear of.
+    Also the pairs by which the closure grows: subjects of the batch below what they are part of.
+    """
+    new = extend_closure(closure, events.where("part_of is not null").select(F.col("subject").alias("a"), F.col("part_of").alias("b")))
+    above = events.select("subject").distinct()
+    above = above.select("subject", F.col("subject").alias("target")).union(
+        above.join(closure.unionByName(new).withColumnRenamed("node", "subject"), "subject").select("subject", F.col("ancestor").alias("target"))
+    ).distinct()
+    heard = events.join(above, "subject").join(follows, "target").join(kinds, ["follower", "event_type"])
+    return heard.select("follower", "target", "subject", "event_type", "ts"), new
+
+
+def follow_ancestors_stream(events: DataFrame, closure: str, follows: DataFrame, kinds: DataFrame, notices: str, checkpoint: str):
+    """Notices of a stream of events into the table ``notices``; the table ``closure`` (node, ancestor) grows by each batch's new pairs.
+
+    A batch reads the pairs of earlier batches (batch -1 holds those from the start) and overwrites its own folder in both tables.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema("node string, ancestor string, batch long").parquet(closure).where(F.col("batch") < number).select("node", "ancestor")
+        heard, new = follow_ancestors(batch, known, follows, kinds)
+        new.write.mode("overwrite").parquet(f"{closure}/batch={number}")
+        heard.write.mode("overwrite").parquet(f"{notices}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
