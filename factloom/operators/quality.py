@@ -68,17 +68,6 @@ def cardinality_errors(triples: DataFrame, predicates: tuple[str, ...] = ("rdfs:
     return triples.where(F.col("p").isin(*predicates)).groupBy("s", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def name_agreement() -> Column:
-    """Verdict over the bound name in a file, the expected name stored and the expected name given."""
-    b, s, g = (F.col(c) for c in ("bound", "stored", "given"))
-    null = lambda x: x.isNull()
-    return (
-        F.when(null(b) & null(s) & null(g), "error: no name").when(null(b) & null(s), "error: file has no name").when(null(b) & null(g), "error: file has no name")
-        .when(null(b), "error: file has no name").when(null(s) & null(g), "set to bound").when(null(g) & (s == b), "accept").when(null(g), "error: stored differs")
-        .when(null(s) & (g == b), "set").when(null(s), "error: given differs").when((s == b) & (g == b), "accept").when(s == b, "error: given differs").otherwise("error: stored differs")
-    )
-
-
 def dedupe_labels(terms: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels that several terms share made apart: (labels, duplicates).
 

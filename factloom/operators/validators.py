@@ -75,15 +75,22 @@ ONE = ("ex:definition", "rdfs:label")
 
 
 def special_errors(patch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Patch rows (op, s, p, ...) with ``errors``: cannot add, cannot delete, or more than one value after the patch."""
+    """Patch rows (op, s, p, ...) with ``errors``: cannot add, cannot delete, or rules of predicates that a subject holds once.
+
+    Such a predicate takes one value: several added ones are an error.  Where the subject has a value already, the patch has to take that
+    one away and add another; one without the other is an error of every row of that subject and predicate.
+    """
     now = stored.where(F.col("p").isin(*ONE)).groupBy("s", "p").agg(F.count(F.lit(1)).alias("_now"))
-    change = patch.where(F.col("p").isin(*ONE)).groupBy("s", "p").agg(F.sum(F.when(F.col("op") == "add", 1).otherwise(-1)).alias("_change"))
+    change = patch.where(F.col("p").isin(*ONE)).groupBy("s", "p").agg(F.count_if(F.col("op") == "add").alias("_adds"), F.count_if(F.col("op") == "del").alias("_dels"))
     out = patch.join(now, ["s", "p"], "left").join(change, ["s", "p"], "left")
-    after = F.coalesce("_now", F.lit(0)) + F.coalesce("_change", F.lit(0))
     p, op = F.col("p"), F.col("op")
+    once, held = p.isin(*ONE), F.coalesce("_now", F.lit(0)) > 0
     return out.withColumn(
-        "errors", _errors(cannot_add=(op == "add") & p.isin(*NO_ADD), cannot_delete=(op == "del") & p.isin(*NO_DELETE), several=(op == "add") & p.isin(*ONE) & (after > 1))
-    ).drop("_now", "_change")
+        "errors", _errors(
+            cannot_add=(op == "add") & p.isin(*NO_ADD), cannot_delete=(op == "del") & p.isin(*NO_DELETE), several=once & (F.col("_adds") > 1),
+            missing_delete=once & held & (F.col("_dels") == 0), missing_add=once & held & (F.col("_adds") == 0),
+        )
+    ).drop("_now", "_adds", "_dels")
 
 
 #: Longest and shortest group name, and the patterns that none may have: fixed values.
@@ -92,8 +99,11 @@ NAME_SHAPE = "(?i)^[A-Za-z][A-Za-z0-9_-]*$"
 NAME_TABOO = ("(?i)(tmp|tx|cde|fde|pde)_.*", "(?i)^group.*", "(?i)^user.*", "(?i)^test.*")
 
 
-def group_name_errors(groups: DataFrame, reserved: DataFrame, name: str = "name") -> DataFrame:
-    """Groups with ``errors``: too short, too long, shape, taboo, reserved, or taken (names compare without case)."""
+def group_name_errors(groups: DataFrame, reserved: DataFrame, own: str, name: str = "name") -> DataFrame:
+    """Groups with ``errors``: too short, too long, shape, taboo, reserved, or taken (names compare without case).
+
+    ``own`` is the system's own name, with which no group's name may go on.
+    """
     x, low = F.col(name), F.lower(name)
     out = groups.join(reserved.select(F.lower("name").alias("_r")).distinct(), low == F.col("_r"), "left")
     out = out.join(groups.groupBy(low.alias("_low")).agg(F.count(F.lit(1)).alias("_n")), low == F.col("_low"), "left")
@@ -102,26 +112,45 @@ def group_name_errors(groups: DataFrame, reserved: DataFrame, name: str = "name"
         taboo = taboo | x.rlike(pattern)
     short, long = NAME_LENGTH
     return out.withColumn(
-        "errors", _errors(short=F.char_length(x) < short, long=F.char_length(x) > long, shape=~x.rlike(NAME_SHAPE), taboo=taboo, reserved=F.col("_r").isNotNull(), taken=F.col("_n") > 1)
+        "errors", _errors(short=F.char_length(x) < short, long=F.char_length(x) > long, shape=~x.rlike(NAME_SHAPE), taboo=taboo, own_name=low.contains(own.lower()) & ~low.endswith(own.lower()), reserved=F.col("_r").isNotNull(), taken=F.col("_n") > 1)
     ).drop("_r", "_low", "_n")
 
 
 def comment_target_errors() -> Column:
-    """Rules over (target_type, iri, triple_identity, subgraph_identity, context_identity, perspective, pull, review)."""
+    """Rules over (target_type, iri, triple_identity, subgraph_identity, subgraph_blank, context_identity, perspective, pull, review)."""
     has = lambda c: F.col(c).isNotNull()
     kind = F.col("target_type")
     thing = has("iri") | has("triple_identity") | has("subgraph_identity")
+    subgraph = has("subgraph_identity") | has("subgraph_blank")
     needs = (
         (kind.isin("ontology", "subject") & has("iri")) | ((kind == "triple") & has("triple_identity")) | ((kind == "subgraph") & has("subgraph_identity"))
         | ((kind == "pull") & has("pull")) | ((kind == "review") & has("review"))
     )
     return _errors(
-        iri_and_identity=has("iri") & (has("triple_identity") | has("subgraph_identity")), triple_and_subgraph=has("triple_identity") & has("subgraph_identity"),
+        iri_and_identity=has("iri") & (has("triple_identity") | subgraph), triple_and_subgraph=has("triple_identity") & subgraph,
         context_and_perspective=has("context_identity") & has("perspective"), nothing_in_context=(has("context_identity") | has("perspective")) & ~thing,
         target_missing=~F.coalesce(needs, F.lit(False)),
     )
 
 
+def comment_target_repeats(targets: DataFrame) -> DataFrame:
+    """(key, n) of comment targets that are there more than once: a pull or a review has one target, and each thing one for each context.
+
+    Nulls of context and perspective count as equal; each kind of thing has a key of its own.
+    """
+    scope = ["context_identity", "perspective"]
+    out = None
+    for key, cols, when in (
+        ("iri", [*scope, "iri"], "iri is not null"), ("triple", [*scope, "triple_identity"], "triple_identity is not null"),
+        ("subgraph", [*scope, "subgraph_identity", "subgraph_blank"], "subgraph_identity is not null and subgraph_blank is not null"),
+        ("pull", ["pull"], "pull is not null"), ("review", ["review"], "review is not null"),
+    ):
+        own = targets.where(when).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        own = own.select(F.lit(key).alias("key"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]).alias("value"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def role_errors() -> Column:
     """Rules over (grp, actor, role, grp_is_user): the first group is for admins only, others reach from owner to view or are deleted."""
     r, g = role_rank(F.col("role")), F.col("grp")
@@ -139,19 +168,26 @@ def own_role_errors(role: Column) -> Column:
 KEY_SHAPE, KEY_SECONDS = "(?i)^ix[prw]_[0-9A-Za-z]+$", 60
 
 
-def key_errors(keys: DataFrame, quotas: DataFrame, default_quota: int) -> DataFrame:
-    """Keys (actor, key, key_type, lifetime, revoked) with ``errors``; the quota counts an actor's keys that aren't revoked.
+def key_errors(keys: DataFrame, quotas: DataFrame, users: DataFrame, active: int, total: int) -> DataFrame:
+    """Keys (actor, key, key_type, scope, lifetime, revoked, note) with ``errors``.
 
-    An actor's quota is the greater of its own and the default.
+    ``quotas``: (actor, active, total), of which the greater of an actor's own and the default (``active``, ``total``) holds; the first is
+    for keys that aren't revoked, the second for all.  ``users``: (actor, own_role, admin): keys are for owners of their own group, keys with
+    the scope admin for those that are admin in the first group.
     """
-    used = keys.where("not revoked").groupBy("actor").agg(F.count(F.lit(1)).alias("_n"))
-    out = keys.join(used, "actor", "left").join(quotas.select("actor", "quota"), "actor", "left")
-    most = F.greatest(F.coalesce("quota", F.lit(default_quota)), F.lit(default_quota))
-    k = F.col("key")
+    used = keys.groupBy("actor").agg(F.count_if(~F.col("revoked")).alias("_active"), F.count(F.lit(1)).alias("_total"))
+    own = quotas.select("actor", F.col("active").alias("_own_active"), F.col("total").alias("_own_total"))
+    out = keys.join(used, "actor", "left").join(own, "actor", "left").join(users.select("actor", "own_role", F.col("admin").alias("_admin")), "actor", "left")
+    most = lambda c, least: F.greatest(F.coalesce(c, F.lit(least)), F.lit(least))
+    k, note = F.col("key"), F.col("note")
     return out.withColumn(
         "errors",
-        _errors(shape=~k.rlike(KEY_SHAPE), type=F.substring("key_type", 1, 1) != F.substring("key", 3, 1), lifetime=F.col("lifetime") <= KEY_SECONDS, quota=~F.col("revoked") & (F.col("_n") > most)),
-    ).drop("_n", "quota")
+        _errors(
+            shape=~k.rlike(KEY_SHAPE), type=F.substring("key_type", 1, 1) != F.substring("key", 3, 1), lifetime=F.col("lifetime") <= KEY_SECONDS,
+            quota=~F.col("revoked") & (F.col("_active") > most("_own_active", active)), total_quota=F.col("_total") > most("_own_total", total), not_owner=~F.col("own_role").eqNullSafe(F.lit("owner")),
+            admin_scope=(F.col("scope") == "admin") & ~F.coalesce("_admin", F.lit(False)), note=note.rlike(r"^\s|\s$") | (note == ""),
+        ),
+    ).drop("_active", "_total", "_own_active", "_own_total", "own_role", "_admin")
 
 
 def ambiguous_names(triples: DataFrame) -> DataFrame:
@@ -161,11 +197,17 @@ def ambiguous_names(triples: DataFrame) -> DataFrame:
     return every.withColumn("verdict", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("ambiguous"))
 
 
-def reference_name_errors(own_host: str) -> Column:
-    """Rules over (name, expected, old_expected): names are on the host, the expected name is the name itself or elsewhere, and stays once set."""
+def reference_name_errors(rows: DataFrame, own_host: str) -> DataFrame:
+    """Reference names (name, expected, old_expected) with ``errors``.
+
+    Names are on the host; an expected name is the name itself or elsewhere, and belongs to one name.  ``old_expected`` is that of the row
+    which an update replaces: once it is elsewhere, no update is taken, not even one that leaves it as it is.
+    """
     name, exp, old = F.col("name"), F.col("expected"), F.col("old_expected")
+    n = rows.where("expected is not null").groupBy(F.col("expected").alias("_e")).agg(F.count(F.lit(1)).alias("_n"))
     fits = ((host(exp) == own_host) & (exp == name)) | (host(exp) != own_host)
-    return _errors(name_off_host=~host(name).eqNullSafe(F.lit(own_host)), expected=exp.isNotNull() & ~fits, changed=old.isNotNull() & (old != name) & ~exp.eqNullSafe(old))
+    out = rows.join(n, exp == F.col("_e"), "left")
+    return out.withColumn("errors", _errors(name_off_host=~host(name).eqNullSafe(F.lit(own_host)), expected=exp.isNotNull() & ~fits, set_elsewhere=old.isNotNull() & (old != name), taken=F.col("_n") > 1)).drop("_e", "_n")
 
 
 def perspective_errors(perspectives: DataFrame, groups: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.identity import low
 from ..operators import identities as I
 from ..operators import releases as R
+from ..sources import ntriples
 from ..sources.triplify import iri
-from .base import CTES, query, table
+from .base import CTES, query, table, triples
 from .graphs import buckets
 
 def _members(spark, d):
@@ -205,3 +206,16 @@ def w4_integers_without_labels(spark, d):
     top = rows.where("s is not null and o_blank is not null").withColumn("o_local", F.lit(0)).withColumn("s_local", F.lit(None).cast("int"))
     cols = ["graph", "s", "s_local", "p", F.coalesce("o", "o_lit").alias("v"), "o_local"]
     return inner.select(*cols).unionByName(top.select(*cols))
+
+
+_IRI, _TEXT, _NODE = "'<' || {0} || '>'", """'"' || replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"'""", "'_:sg_' || {0} || '_0'"
+_RDF = [(_IRI.format("s") if s == "s" else _NODE.format(s), p, _IRI.format(o) if o not in ("NULL", "CAST(NULL AS VARCHAR)") else _TEXT.format(lit) if lit != "NULL" else _NODE.format(ob), c) for p, o, lit, ob, s, c in [*_TOPS, *_INNER]]
+
+
+@query(" UNION ".join(f"SELECT {s} AS s, '<{p}>' AS p, {o} AS o FROM rel_r WHERE {c}" for s, p, o, c in _RDF) + f""" UNION SELECT '<' || s || '>', '<' || p || '>', CASE WHEN o IS NOT NULL THEN '<' || o || '>' ELSE {_TEXT.format('o_lit')} || CASE WHEN datatype IS NOT NULL THEN '^^<' || datatype || '>' WHEN language IS NOT NULL THEN '@' || language ELSE '' END END FROM triples""", *REL, "triples")
+def s13_rows_as_rdf(spark, d):
+    """All rows of the releases and of the tables as RDF terms: typed and tagged literals, escapes, blank nodes by content."""
+    rows = R._scoped(data_rows(spark, d)).drop("graph")
+    nodes, _ = I.bnode_records(rows)
+    named = triples(spark, d).withColumns({"s_blank": F.lit(None).cast("string"), "o_blank": F.lit(None).cast("string")})
+    return ntriples.labelled_rows(rows.unionByName(named), nodes.select("node", low("condensed").alias("identity")))

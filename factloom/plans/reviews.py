@@ -251,10 +251,3 @@ def c22_name_change(spark, d):
 @query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey HAVING count(*) <> 1")
 def c23_one_default(spark, d):
     return table(spark, d, "nation").where("n_nationkey % 2 = 0").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).where("n <> 1")
-
-
-@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'error: no name' WHEN 1 THEN 'set to bound' WHEN 2 THEN 'error: file has no name' WHEN 3 THEN 'accept' WHEN 4 THEN 'error: file has no name' WHEN 5 THEN 'set' WHEN 6 THEN 'error: file has no name' ELSE 'accept' END AS verdict FROM part""")
-def c24_name_agreement(spark, d):
-    k = F.col("p_partkey") % 8
-    has = lambda b: F.when(F.shiftright(k, b) % 2 == 1, F.lit("n"))
-    return table(spark, d, "part").select("p_partkey", has(0).alias("bound"), has(1).alias("stored"), has(2).alias("given")).select("p_partkey", Q.name_agreement().alias("verdict"))

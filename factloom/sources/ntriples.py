@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.iris import json_text
 
-LINE = r'^\s*(?:<([^>]*)>|_:(\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|_:(\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+#: Iris and labels hold no control characters, which also mark the groups below.
+_IRI, _BLANK = r"<([^>\x00-\x1F]*)>", r"_:([^\s\x00-\x1F]+)"
+LINE = rf'^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|"((?:[^"\\]|\\.)*)"(?:\^\^{_IRI}|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
 
 
 def unescaped(x: Column) -> Column:
@@ -41,7 +43,7 @@ def parse_lines(lines: DataFrame, strict: bool = True, value: str = "value", kee
     rows = rows.withColumn("_g", groups)
     part = lambda k: F.nullif(F.get("_g", F.lit(k if k < 6 else k - 1)), F.lit(""))
     lit = F.when(part(4).isNull() & part(5).isNull(), unescaped(F.get("_g", F.lit(8))))
-    good = F.get("_g", F.lit(0)) == "\x02"
+    good = (F.get("_g", F.lit(0)) == "\x02") & ~v.startswith("\x02")
     if strict:
         rows = rows.where(F.coalesce(F.assert_true(good, F.concat(F.lit("not a triple: "), v)).cast("boolean"), F.lit(True)))
     else:
@@ -130,11 +132,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def labelled_rows(triples: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s, p, o) of every row, blank nodes labelled ``_:sg_<identity>_<replica>``; copies of one subgraph point to replica 0.
+    """(s, p, o) of every row as RDF terms: iris in angle brackets, literals escaped with their type or language, blank nodes by content.
 
-    ``nodes``: (node, identity).  The identity is hex, so labels don't depend on the order of rows.
+    ``nodes``: (node, identity, replica); without a replica copies of one subgraph point to number 0.  The identity is hex, so labels don't
+    depend on the order of rows.  Columns that ``triples`` lacks count as null.
     """
-    label = nodes.select("node", F.concat(F.lit("_:sg_"), "identity", F.lit("_0")).alias("label"))
+    copy = F.col("replica").cast("string") if "replica" in nodes.columns else F.lit("0")
+    label = nodes.select("node", F.concat(F.lit("_:sg_"), "identity", F.lit("_"), copy).alias("label"))
     out = triples.join(label.toDF("s_blank", "s_label"), "s_blank", "left").join(label.toDF("o_blank", "o_label"), "o_blank", "left")
-    literal = F.concat(F.lit('"'), "o_lit", F.lit('"'))
-    return out.select(F.coalesce("s", "s_label").alias("s"), "p", F.coalesce("o", "o_label", literal).alias("o")).distinct()
+    have = lambda c: F.col(c) if c in triples.columns else F.lit(None).cast("string")
+    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    literal = F.concat(json_text(F.col("o_lit")), F.when(have("datatype").isNotNull(), F.concat(F.lit("^^"), iri(have("datatype")))).when(have("language").isNotNull(), F.concat(F.lit("@"), have("language"))).otherwise(""))
+    return out.select(F.coalesce(iri(F.col("s")), "s_label").alias("s"), iri(F.col("p")).alias("p"), F.coalesce(iri(F.col("o")), "o_label", literal).alias("o")).distinct()
