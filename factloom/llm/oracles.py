@@ -81,16 +81,20 @@ m AS (SELECT doc_id, lang, source, n_words, metric, v, CASE WHEN v < 32 THEN v E
 s AS (SELECT 0 AS level, lang, source, metric, b, count(*) AS n FROM m WHERE n_words > 0 GROUP BY ALL
       UNION ALL SELECT 1, lang, NULL, metric, b, count(*) FROM m WHERE n_words > 0 GROUP BY ALL
       UNION ALL SELECT 2, NULL, NULL, metric, b, count(*) FROM m WHERE n_words > 0 GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS al FROM s),
-q AS (SELECT level, lang, source, metric, max(al) AS al, min(b) FILTER (WHERE upto * 100 >= al * 25) AS q1,
-        min(b) FILTER (WHERE upto * 100 >= al * 50) AS q2, min(b) FILTER (WHERE upto * 100 >= al * 75) AS q3 FROM c GROUP BY ALL),
-t AS (SELECT *, CASE WHEN metric = 'word_length' THEN least(q1 - 3 * (q3 - q1), q2 - 30) END AS low,
-        greatest(q3 + 3 * (q3 - q1), q2 + CASE metric WHEN 'word_length' THEN 30 WHEN 'symbols' THEN 30 ELSE 50 END) AS high FROM q),
-b AS (SELECT m.doc_id, bool_or(v > CASE WHEN o.al >= 50 THEN o.high WHEN l.al >= 50 THEN l.high ELSE w.high END
-        OR coalesce(v < CASE WHEN o.al >= 50 THEN o.low WHEN l.al >= 50 THEN l.low ELSE w.low END, false)) AS bad
-      FROM m LEFT JOIN t o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
-        LEFT JOIN t l ON l.level = 1 AND l.metric = m.metric AND l.lang IS NOT DISTINCT FROM m.lang
-        LEFT JOIN t w ON w.level = 2 AND w.metric = m.metric GROUP BY m.doc_id),
+c AS (SELECT level, lang, source, metric, b, lead(b) OVER w AS nxt, sum(n) OVER w AS upto, sum(n) OVER v AS al, sum(CAST(n AS DOUBLE) * b) OVER w AS s1, sum(CAST(n AS DOUBLE) * b) OVER v AS s, sum(CAST(n AS DOUBLE) * b * b) OVER v AS q
+      FROM s WINDOW v AS (PARTITION BY level, lang, source, metric), w AS (PARTITION BY level, lang, source, metric ORDER BY b)),
+q AS (SELECT level, lang, source, max(al) AS al, min(b) FILTER (WHERE upto * 100 >= al * 10) AS q10, min(b) FILTER (WHERE upto * 100 >= al * 90) AS q90 FROM c WHERE metric = 'word_length' GROUP BY ALL),
+p AS (SELECT *, 3 * greatest(q90 - q10, 1 << greatest(length(bin(q90)) - 5, 0)) AS span FROM q),
+x AS (SELECT *, pow(al * s1 - upto * s, 2) / (CAST(upto AS DOUBLE) * (al - upto)) AS between_, al * q - s * s AS whole FROM c WHERE metric <> 'word_length' AND nxt IS NOT NULL),
+t AS (SELECT level, lang, source, metric, al, CAST(NULL AS DOUBLE) AS low, CASE WHEN between_ >= 0.85 * whole THEN (b + nxt) / 2 END AS high
+      FROM (SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY between_ DESC, b) AS r FROM x) WHERE r = 1
+      UNION ALL SELECT level, lang, source, 'word_length', al, CAST(q10 - span AS DOUBLE), CAST(q90 + span AS DOUBLE) FROM p),
+u AS (SELECT * FROM t WHERE level = 2 OR al >= 50),
+b AS (SELECT m.doc_id, bool_or(CASE WHEN m.metric = 'word_length' THEN v > coalesce(o.high, l.high, w.high) OR v < coalesce(o.low, l.low, w.low)
+        ELSE v > round(exp((coalesce(ln(o.high), 0) + coalesce(ln(l.high), 0) + coalesce(ln(w.high), 0)) / nullif((o.high IS NOT NULL)::INT + (l.high IS NOT NULL)::INT + (w.high IS NOT NULL)::INT, 0)), 3) END) AS bad
+      FROM m LEFT JOIN u o ON o.level = 0 AND o.metric = m.metric AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
+        LEFT JOIN u l ON l.level = 1 AND l.metric = m.metric AND l.lang IS NOT DISTINCT FROM m.lang
+        LEFT JOIN u w ON w.level = 2 AND w.metric = m.metric GROUP BY m.doc_id),
 z AS (SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept
 FROM z LEFT JOIN b USING (doc_id)

@@ -3,7 +3,13 @@
 Every document gets its counts inside its own row.  Each metric is then put into the bins of a
 mergeable quantile sketch: integers with five leading bits kept, so a quantile is right within one
 sixteenth, and two sketches merge by adding counts.  Sketches are kept for (language, source), merged
-to languages and to the corpus; a group of fewer than ``MIN_GROUP`` documents uses the next larger one.
+to languages and to the corpus.
+
+Limits come from the sketches alone; there is no fixed distance.  The length of words has limits on both sides, three times
+the span of the middle four fifths beyond it, from the smallest group with ``MIN_GROUP`` documents.  The other metrics are zero for most
+documents and large for some: a sketch is cut in two where the parts differ most from each other (the largest variance between
+them), and has a limit midway between the parts if the cut explains most of its variance.  A group's limit is the
+geometric mean of its own, its language's and the corpus's, so that a single odd document can't set it.
 """
 
 from __future__ import annotations
@@ -17,9 +23,10 @@ from .shared import saved
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 50
-#: metric: least distance from the median at which a document may be rejected, and whether low values are rejected too.  The
-#: distances are well below the base rule and only keep single odd words or lines from rejecting a document where all quartiles are equal.
-METRICS = {"word_length": (30, True), "symbols": (30, False), "dup_lines": (50, False), "repeats": (50, False)}
+#: Metrics that have two sides, and those that are cut in two.
+SPAN, CUT = ("word_length",), ("symbols", "dup_lines", "repeats")
+#: Share of a sketch's variance that a cut has to explain.
+CLEAR = 0.85
 
 
 def features(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -> DataFrame:
@@ -87,7 +94,7 @@ def _metrics() -> Column:
         "dup_lines": F.expr("n_dup_lines * 1000") / lines,
         "repeats": F.expr("n_repeat_words * 1000") / words,
     }
-    return F.array(*[F.struct(F.lit(k).alias("metric"), F.floor(values[k]).alias("v")) for k in METRICS])
+    return F.array(*[F.struct(F.lit(k).alias("metric"), F.floor(values[k]).alias("v")) for k in (*SPAN, *CUT)])
 
 
 def bin_floor(v: Column) -> Column:
@@ -112,35 +119,46 @@ def thresholds(feats: DataFrame) -> DataFrame:
             )
         ).alias("k"),
     ).groupBy("k.level", "k.lang", "k.source", "metric", "b").agg(F.sum("n").alias("n"))
-    group = W.partitionBy("level", "lang", "source", "metric")
-    run = levels.withColumn("upto", F.sum("n").over(group.orderBy("b"))).withColumn("all", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("b")))
-    quart = run.groupBy("level", "lang", "source", "metric").agg(
-        F.max("all").alias("all"), at(25).alias("q1"), at(50).alias("q2"), at(75).alias("q3")
+    key = ["level", "lang", "source", "metric"]
+    group = W.partitionBy(*key)
+    upto = group.orderBy("b")
+    n, b = F.col("n").cast("double"), F.col("b").cast("double")
+    run = levels.select(
+        *key, "b", F.lead("b").over(upto).alias("next"), F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("all"),
+        F.sum(n * b).over(upto).alias("s1"), F.sum(n * b).over(group).alias("s"), F.sum(n * b * b).over(group).alias("q"),
     )
-    floor = F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, v[0])])
-    lows = F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, v[1])])
-    spread = 3 * (F.col("q3") - F.col("q1"))
-    lim = quart.select(
-        "level", "lang", "source", "metric", "all",
-        F.struct(
-            F.when(lows[F.col("metric")], F.least(F.col("q1") - spread, F.col("q2") - floor[F.col("metric")])).alias("low"),
-            F.greatest(F.col("q3") + spread, F.col("q2") + floor[F.col("metric")]).alias("high"),
-        ).alias("limit"),
-    ).groupBy("level", "lang", "source").agg(
-        F.max("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("metric", "limit"))).alias("limits")
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("b")))
+    spans = run.where(F.col("metric").isin(*SPAN)).groupBy(*key).agg(F.max("all").alias("all"), at(10).alias("q10"), at(90).alias("q90"))
+    # no span is told that is finer than a bin
+    span = 3 * F.greatest(F.col("q90") - F.col("q10"), F.pow(F.lit(2), F.greatest(F.length(F.bin("q90")) - 5, F.lit(0))).cast("long"))
+    spans = spans.select(*key, "all", (F.col("q10") - span).cast("double").alias("low"), (F.col("q90") + span).cast("double").alias("high"))
+    # between: the variance between the parts below and above a bin's end, times the square of all
+    n1, n_all = F.col("upto").cast("double"), F.col("all").cast("double")
+    between = F.pow(n_all * F.col("s1") - n1 * F.col("s"), F.lit(2.0)) / (n1 * (n_all - n1))
+    whole = n_all * F.col("q") - F.col("s") * F.col("s")
+    cuts = run.where(F.col("metric").isin(*CUT) & F.col("next").isNotNull()).select(
+        *key, "all", F.struct(between.alias("v"), (-F.col("b")).alias("b"), ((F.col("b") + F.col("next")) / 2).alias("mid"), (between >= CLEAR * whole).alias("clear")).alias("x"))
+    cuts = cuts.groupBy(*key).agg(F.max("all").alias("all"), F.max("x").alias("x"))
+    cuts = cuts.select(*key, "all", F.lit(None).cast("double").alias("low"), F.when(F.col("x.clear"), F.col("x.mid")).alias("high"))
+    lim = spans.unionByName(cuts).where(F.col("all") >= F.when(F.col("level") < 2, MIN_GROUP).otherwise(0)).groupBy("level", "lang", "source").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("limits")
     )
-    own, by_lang, whole = (lim.where(F.col("level") == k) for k in range(3))
+    own = levels.where("level = 0").select("lang", "source").distinct().alias("g").join(
+        lim.where("level = 0").alias("o"), F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")), "left")
+    of = lambda side, m, x: F.col(f"{side}.limits")[m][x]
+
+    def limit(m):
+        if m in SPAN:
+            both = [F.when(of(k, m, "high").isNotNull(), F.col(f"{k}.limits")[m]) for k in "olw"]
+            return F.coalesce(*both)
+        logs = F.array_compact(F.array(*[F.log(of(k, m, "high")) for k in "olw"]))
+        mean = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / F.size(logs)
+        return F.struct(F.lit(None).cast("double").alias("low"), F.when(F.size(logs) > 0, F.round(F.exp(mean), 3)).alias("high"))
+
     return (
-        own.alias("o")
-        .join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")), "left")
-        .join(F.broadcast(whole.alias("w")))  # one row
-        .select(
-            "o.lang", "o.source",
-            F.when(F.col("o.all") >= MIN_GROUP, F.col("o.limits"))
-            .when(F.col("l.all") >= MIN_GROUP, F.col("l.limits"))
-            .otherwise(F.col("w.limits")).alias("limits"),
-        )
+        own.join(lim.where("level = 1").alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")), "left")
+        .join(F.broadcast(lim.where("level = 2").alias("w")))  # one row
+        .select("g.lang", "g.source", F.map_from_arrays(F.array(*[F.lit(m) for m in (*SPAN, *CUT)]), F.array(*[limit(m) for m in (*SPAN, *CUT)])).alias("limits"))
     )
 
 
@@ -155,7 +173,7 @@ def quality_filter(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", s
     joined = feats.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     bad = F.exists(
         _metrics(),
-        lambda m: (m["v"] > F.col("limits")[m["metric"]]["high"])
+        lambda m: F.coalesce(m["v"] > F.col("limits")[m["metric"]]["high"], F.lit(False))
         | F.coalesce(m["v"] < F.col("limits")[m["metric"]]["low"], F.lit(False)),
     )
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
