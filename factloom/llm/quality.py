@@ -105,20 +105,20 @@ def bin_floor(v: Column) -> Column:
 
 def thresholds(feats: DataFrame) -> DataFrame:
     """Per (lang, source) that occurs: ``limits`` map metric -> struct<low, high>."""
-    rows = feats.where("n_words > 0").select("lang", "source", F.explode(_metrics()).alias("m"))
-    sketch = rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), bin_floor(F.col("m.v")).alias("b")).agg(
+    rows = feats.where("n_words > 0").select("lang", "source", F.inline(_metrics()))
+    sketch = rows.groupBy("lang", "source", "metric", bin_floor(F.col("v")).alias("b")).agg(
         F.count(F.lit(1)).alias("n")
     )
     levels = sketch.select(
         "metric", "b", "n",
-        F.explode(
+        F.inline(
             F.array(
                 F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
                 F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source")),
                 F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")),
             )
-        ).alias("k"),
-    ).groupBy("k.level", "k.lang", "k.source", "metric", "b").agg(F.sum("n").alias("n"))
+        ),
+    ).groupBy("level", "lang", "source", "metric", "b").agg(F.sum("n").alias("n"))
     key = ["level", "lang", "source", "metric"]
     group = W.partitionBy(*key)
     upto = group.orderBy("b")
