@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,15 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor and the driver see: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a temporary folder is made and set.
+    Only where it is unset and Spark is one local process (tests) a temporary folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = java.get() if java.isDefined() else None
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
