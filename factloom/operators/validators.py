@@ -234,3 +234,47 @@ def name_agreement(upload: Column) -> Column:
         .when(none(g), F.when(b != s, "error: bound differs from stored").otherwise("accept"))
         .otherwise(F.when((b == s) & (s == g), "accept").otherwise("error: names differ"))
     )
+
+
+#: Predicates that a patch may use though they aren't terms: fixed values.
+SPECIAL = ("rdf:type", "rdfs:label", "ex:hasExactSynonym", "ex:hasExternalId", "ex:duplicateOf", "ex:replacedBy", "ex:hasTermId", "ex:synonym", "ex:definition")
+TERM_PREFIXES = ("tx_", "tmp_")
+
+
+def patch_triples(patch: DataFrame, own_host: str) -> DataFrame:
+    """Patch rows (grp, frag, s, p, kind, value, datatype, language) with their first ``error`` and the triple as it is stored.
+
+    In order: three parts, an object with a known type, no white space at an edge, and for the subject, predicate and iri object in turn: on
+    the own host a group and a path, of the patch's group or base, the patched term as subject, a special or term predicate, no user iris; on
+    other hosts http or https.  ``new_s``, ``new_p``, ``new_o`` have the base's group in place of the patch's.
+    """
+    c = F.col
+    iri_object = c("kind") == "uri"
+    edge = lambda x: F.coalesce(c(x).rlike(r"^\s|\s$"), F.lit(False))
+    error = (
+        F.when(c("s").isNull() | c("p").isNull() | c("value").isNull(), "not a triple").when(c("kind").isNull(), "object missing type").when(~c("kind").isin("uri", "literal"), "unknown object type")
+        .when(edge("s") | edge("p") | edge("value") | edge("datatype") | edge("language"), "white space")
+    )
+    special = c("p").isin(*SPECIAL)
+    term = lambda x: F.lit(False) if not TERM_PREFIXES else F.array_contains(F.array(*[x.startswith(t) for t in TERM_PREFIXES]), True)
+    for x, position in (("s", "s"), ("p", "p"), ("value", "o")):
+        here = F.lit(True) if position != "o" else iri_object
+        if position == "p":
+            here = here & ~special
+        own = host(c(x)) == own_host
+        parts = F.split(F.regexp_replace(c(x), r"^[a-z]+://[^/]*/?", ""), "/")
+        group, frag = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        on = here & F.coalesce(own, F.lit(False))
+        error = error.when(on & frag.isNull(), f"{position}: no group and path").when(on & ~group.isin("base") & (group != c("grp")), f"{position}: other group")
+        if position == "s":
+            error = error.when(on & (frag != c("frag")), "s: other subject")
+        if position == "p":
+            user = (group == c("grp")) & (frag == "uris")
+            error = error.when(on & ~term(frag) & user, "p: user iri").when(on & ~term(frag), "p: bad predicate")
+        if position == "o":
+            error = error.when(on & c(x).contains("/uris/"), "o: user iri")
+        error = error.when(here & ~F.coalesce(own, F.lit(False)) & ~c(x).rlike("^https?://"), f"{position}: bad scheme")
+    base = lambda x: F.replace(c(x), F.concat(F.lit(f"{own_host}/"), c("grp"), F.lit("/")), F.lit(f"{own_host}/base/"))
+    out = patch.withColumn("error", error)
+    keep = lambda x: F.when(c("error").isNull(), base(x))
+    return out.withColumns({"new_s": keep("s"), "new_p": keep("p"), "new_o": F.when(iri_object, keep("value"))})

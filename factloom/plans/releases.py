@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import low
 from ..operators import identities as I
+from ..operators import rebuild as B
 from ..operators import releases as R
-from ..sources import ntriples
+from ..sources import ntriples, triplify
 from ..sources.triplify import iri
 from .base import CTES, query, table, triples
-from .graphs import buckets
+from .graphs import ADDRESS, RESTRICTION, buckets
 
 def _members(spark, d):
     """(g, r_name, k, c_name, c_mktsegment, n): which customer is in which release."""
@@ -219,3 +220,21 @@ def s13_rows_as_rdf(spark, d):
     nodes, _ = I.bnode_records(rows)
     named = triples(spark, d).withColumns({"s_blank": F.lit(None).cast("string"), "o_blank": F.lit(None).cast("string")})
     return ntriples.labelled_rows(rows.unionByName(named), nodes.select("node", low("condensed").alias("identity")))
+
+
+@query("SELECT 'g' || g AS graph, 'meta' AS part, uri AS s, p, v FROM (SELECT g, uri, unnest(['rdf:type', 'dc:title', 'owl:versionInfo']) AS p, unnest(['owl:Ontology', title, version]) AS v FROM rel_h UNION ALL SELECT g, uri, 'owl:versionIRI', version_iri FROM rel_h WHERE g <> 2 UNION ALL SELECT g, uri, 'ex:credit', NULL FROM rel_h WHERE g <> 4 UNION ALL SELECT g, NULL, 'ex:by', title FROM rel_h WHERE g <> 4)"
+       + " UNION ALL " + " UNION ALL ".join(f"SELECT 'g' || g, 'data', {'s' if s == 's' else 'NULL'}, '{p}', coalesce({o}, {lit}) FROM rel_r WHERE {c}" for p, o, lit, _, s, c in [*_TOPS, *_INNER]), *REL)
+def g15_header_and_data(spark, d):
+    """Every row of every release, told apart: those of its header and of the blank nodes below it, and all others."""
+    rows = R.parted(data_rows(spark, d).unionByName(header_rows(spark, d)), headers(spark, d))
+    return rows.select("graph", "part", "s", "p", F.coalesce("o", "o_lit").alias("v"))
+
+
+_LABEL_RECORD = f"sha256(unhex(sha256('http://ex.org/supplier/' || s_suppkey)) || unhex(sha256(unhex({_pair('rdfs:label', _lit('s_name'))}))))"
+
+
+@query(f"SELECT half, x AS identity FROM (SELECT g AS half, x FROM ({buckets(f"SELECT 'named' AS g, {_LABEL_RECORD} AS x FROM supplier")}) UNION ALL SELECT g, x FROM ({buckets(f"SELECT 'blank' AS g, sha256(unhex(sha256('http://ex.org/supplier/' || s_suppkey)) || unhex(sha256(unhex({_pair('rdfs:subClassOf', RESTRICTION)})))) AS x FROM supplier UNION ALL SELECT 'blank', sha256(unhex(sha256('http://ex.org/customer/' || c_custkey)) || unhex(sha256(unhex({_pair('ex:address', ADDRESS)})))) FROM customer")}))")
+def s19_identities_of_the_rebuilt(spark, d):
+    """Identities of both halves of the graph with blank nodes, after it was stored by content and rebuilt."""
+    got = I.graph_identity(B.rebuild(B.store(triplify.with_blanks(spark, d), "g"), "g"))
+    return spark.createDataFrame([(k, got[k].hex()) for k in ("named", "blank")], "half string, identity string")

@@ -106,6 +106,30 @@ def c12_special_predicates(spark, d):
     return V.special_errors(patch, stored).select("p_partkey", joined())
 
 
+_PATCH = ["ok", "base subject", "literal", "special", "other host", "no value", "no kind", "odd kind", "space", "no path", "other group", "other subject", "user predicate", "bad predicate", "user object", "scheme", "object group"]
+_FAULT = {"no value": "not a triple", "no kind": "object missing type", "odd kind": "unknown object type", "space": "white space", "no path": "s: no group and path", "other group": "s: other group", "other subject": "s: other subject",
+          "user predicate": "p: user iri", "bad predicate": "p: bad predicate", "user object": "o: user iri", "scheme": "o: bad scheme", "object group": "o: other group"}
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS k, {_PATCH}[p_partkey % {len(_PATCH)} + 1] AS c FROM part), e AS (SELECT *, CASE c {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _FAULT.items())} END AS error FROM c)
+ SELECT k AS p_partkey, error, CASE WHEN error IS NULL THEN 'http://uri.ex.org/base/tx_' || k END AS new_s, CASE WHEN error IS NULL THEN CASE c WHEN 'special' THEN 'rdfs:label' WHEN 'other host' THEN 'http://out.org/p' ELSE 'http://uri.ex.org/base/tx_0000010' END END AS new_p,
+  CASE WHEN error IS NULL AND c NOT IN ('literal', 'special') THEN CASE c WHEN 'other host' THEN 'https://out.org/team/o' ELSE 'http://uri.ex.org/base/tx_7' END END AS new_o FROM e""")
+def c11_patch_triples(spark, d):
+    """A patch row of each kind for every part: its first fault, else the triple with the base's group in place of the team's."""
+    k = F.col("p_partkey")
+    part = table(spark, d, "part").select("p_partkey", pick(k, _PATCH).alias("c"))
+    c, text = F.col("c"), k.cast("string")
+    own = lambda g: F.concat(F.lit(f"http://uri.ex.org/{g}/tx_"), text)
+    rows = part.select(
+        "p_partkey", F.lit("team").alias("grp"), F.concat(F.lit("tx_"), text).alias("frag"),
+        F.when(c == "base subject", own("base")).when(c == "no path", "http://uri.ex.org/team").when(c == "other group", own("rival")).when(c == "other subject", F.concat(own("team"), F.lit("9"))).otherwise(own("team")).alias("s"),
+        F.when(c == "special", "rdfs:label").when(c == "other host", "http://out.org/p").when(c == "user predicate", "http://uri.ex.org/team/uris/x").when(c == "bad predicate", "http://uri.ex.org/base/word").otherwise("http://uri.ex.org/team/tx_0000010").alias("p"),
+        F.when(c == "no kind", null()).when(c == "odd kind", "thing").when(c.isin("literal", "special", "space"), "literal").otherwise("uri").alias("kind"),
+        F.when(c == "no value", null()).when(c == "space", "a ").when(c.isin("literal", "special"), "any text").when(c == "other host", "https://out.org/team/o").when(c == "user object", "http://uri.ex.org/team/uris/y").when(c == "scheme", "curie:x").when(c == "object group", "http://uri.ex.org/rival/tx_7").otherwise("http://uri.ex.org/team/tx_7").alias("value"),
+        null().alias("datatype"), null().alias("language"))
+    return V.patch_triples(rows, "uri.ex.org").select("p_partkey", "error", "new_s", "new_p", "new_o")
+
+
 @query("""WITH g AS (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'Group' || c_custkey WHEN 2 THEN 'x y' || c_custkey || 'zz' WHEN 3 THEN 'cde_' || c_custkey WHEN 4 THEN repeat('n', 41) || c_custkey WHEN 5 THEN 'FRANCE' ELSE 'name' || c_custkey // 2 END AS name FROM customer)
  SELECT c_custkey, array_to_string(list_filter([CASE WHEN length(name) < 5 THEN 'short' END, CASE WHEN length(name) > 40 THEN 'long' END, CASE WHEN NOT regexp_matches(name, '^[A-Za-z][A-Za-z0-9_-]*$') THEN 'shape' END,
   CASE WHEN regexp_matches(lower(name), '(tmp|tx|cde|fde|pde)_.*') OR regexp_matches(lower(name), '^(group|user|test)') THEN 'taboo' END, CASE WHEN lower(name) LIKE '%name7_%' THEN 'own name' END, CASE WHEN lower(name) IN (SELECT lower(n_name) FROM nation) THEN 'reserved' END,
