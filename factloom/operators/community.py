@@ -138,3 +138,45 @@ def by_path(asked: DataFrame, mapped: DataFrame, raw: DataFrame, may_read: DataF
     ok: Column = (F.col("grp") == F.col("reader")) | F.coalesce("ok", F.lit(False))
     status = F.when(F.col("term").isNotNull(), "term").when(F.col("record").isNull(), "none").when(ok, "record").otherwise("private")
     return out.withColumn("status", status).select("grp", "path", "reader", "term", F.when(F.col("status") == "record", F.col("record")).alias("record"), "status")
+
+
+def names_seen(names: DataFrame, bindings: DataFrame, identities: DataFrame) -> DataFrame:
+    """(name, n, first, latest): how many identities each name stood for, and when the first and the latest of them was first seen.
+
+    Names without any have nulls; bindings to unknown identities don't count.
+    """
+    seen = bindings.select("name", "identity").distinct().join(identities.select("identity", "first_seen"), "identity")
+    span = seen.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("first_seen").alias("first"), F.max("first_seen").alias("latest"))
+    return names.select("name").distinct().join(span, "name", "left").fillna(0, ["n"])
+
+
+def exact_labels(asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows (prefix, id, p, o_lit) of the registry whose string is one of ``asked`` (string), letter by letter."""
+    return registry.join(asked.select(F.col("string").alias("o_lit")).distinct(), "o_lit", "left_semi").select("prefix", "id", "p", "o_lit")
+
+
+def existing_of(existing: DataFrame, own: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, iri, grp) of the map of existing iris with the terms' own iris; of all, or of ``terms`` (prefix, id) only."""
+    rows = existing if terms is None else existing.join(terms.select("prefix", "id").distinct(), ["prefix", "id"], "left_semi")
+    return rows.select(F.concat(F.lit(own), "prefix", F.lit("_"), "id").alias("term"), "iri", "grp")
+
+
+def group_lookup(asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """(name, group_name, builtin) of each of ``asked`` (name): groups (group_name, own_role) compare without case; unknown ones have nulls."""
+    low = groups.select(F.lower("group_name").alias("low"), "group_name", (F.col("own_role") == "builtin").alias("builtin"))
+    return asked.select("name").distinct().withColumn("low", F.lower("name")).join(low, "low", "left").select("name", "group_name", "builtin")
+
+
+def annotations(triples: DataFrame, notes: DataFrame) -> DataFrame:
+    """(id, s, note_p, note): rows (id, s, ...) with the notes on them, whose blank subject is the row's id (``notes``: s_blank, p, o_lit)."""
+    return triples.join(notes.select(F.col("s_blank").alias("id"), F.col("p").alias("note_p"), F.col("o_lit").alias("note")), "id").select("id", "s", "note_p", "note")
+
+
+def quotas_of(users: DataFrame, own: DataFrame, default: DataFrame) -> DataFrame:
+    """(uid, kind, most): of every user and kind the greater of its own quota and the default.  ``own``: (uid, kind, most), ``default``: (kind, most)."""
+    kinds = default.select("kind", "most").limit(1001).collect()
+    if len(kinds) > 1000:
+        raise ValueError("more than 1000 kinds of quotas")
+    each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.most).alias("base")) for r in kinds])
+    rows = users.select("uid", F.inline(each))
+    return rows.join(own, ["uid", "kind"], "left").select("uid", "kind", F.greatest("base", F.coalesce("most", "base")).alias("most"))

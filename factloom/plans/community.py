@@ -159,3 +159,69 @@ def p14_paths(spark, d):
     g, r = F.col("grp"), F.col("reader")
     may = groups(spark, d).select("grp").withColumn("reader", F.explode(F.sequence(F.lit(0), F.lit(24)).cast("array<long>"))).where((g + r) % 4 == 0)
     return G.by_path(pages.select(*own, (F.floor(k / 25) % 25).alias("reader")), pages.where(k % 3 == 0).select(*own, F.concat(F.lit("tx:"), k.cast("string")).alias("term")), pages.where(k % 2 == 0).select(*own, F.concat(F.lit("r"), k.cast("string")).alias("record")), may)
+
+
+@query("""WITH b AS (SELECT DISTINCT 'name' || (page_id // 3) AS name, 'i' || (page_id % 50) AS identity FROM pages WHERE page_id % 4 > 0), i AS (SELECT 'i' || k AS identity, DATE '2020-01-01' + CAST(k AS INTEGER) AS seen FROM range(45) t(k))
+ SELECT name, count(seen) AS n, min(seen) AS first, max(seen) AS latest FROM (SELECT DISTINCT 'name' || (page_id // 3) AS name FROM pages) LEFT JOIN (SELECT name, seen FROM b JOIN i USING (identity)) USING (name) GROUP BY name""")
+def j8_names_seen(spark, d):
+    """When each name first and last stood for something new; some names stand for nothing known."""
+    k = F.col("page_id")
+    text = lambda a, x: F.concat(F.lit(a), x.cast("string"))
+    pages = table(spark, d, "pages")
+    identities = spark.range(45).select(text("i", F.col("id")).alias("identity"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("first_seen"))
+    return G.names_seen(pages.select(text("name", F.floor(k / 3)).alias("name")), pages.where(k % 4 > 0).select(text("name", F.floor(k / 3)).alias("name"), text("i", k % 50).alias("identity")), identities)
+
+
+def _registry(spark, d):
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    row = lambda p, x: part.select(F.when(k % 10 == 2, "cde").otherwise("tx").alias("prefix"), F.lpad(k.cast("string"), 7, "0").alias("id"), F.lit(p).alias("p"), x.alias("o_lit"))
+    return row("label", F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).unionByName(row("exact", F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))))
+
+
+@query("""WITH r AS (SELECT CASE WHEN p_partkey % 10 = 2 THEN 'cde' ELSE 'tx' END AS prefix, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS id, unnest(['label', 'exact']) AS p, unnest([p_name || ' ' || p_size, p_brand || ' ' || p_size]) AS o_lit FROM part)
+ SELECT * FROM r WHERE o_lit IN (SELECT p_brand || ' ' || (l_quantity::INT) FROM lineitem JOIN part ON p_partkey = l_partkey UNION SELECT p_name || ' ' || (l_quantity::INT) FROM lineitem JOIN part ON p_partkey = l_partkey UNION SELECT upper(p_name) || ' 5' FROM part)""")
+def p7_exact_labels(spark, d):
+    """Registry rows of strings that line items ask for; another case is another string."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    item = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    q = F.col("l_quantity").cast("int").cast("string")
+    asked = item.select(F.explode(F.array(F.concat_ws(" ", "p_brand", q), F.concat_ws(" ", "p_name", q))).alias("string")).unionByName(part.select(F.concat(F.upper("p_name"), F.lit(" 5")).alias("string")))
+    return G.exact_labels(asked, _registry(spark, d))
+
+
+@query("""SELECT 'http://uri.ex.org/base/tx_' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS term, 'http://x.ex.net/' || (p_partkey // 2) AS iri, p_partkey % 5 AS grp FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+def p10_existing_of_terms(spark, d):
+    """Existing iris of the terms that returned line items name."""
+    k = F.col("p_partkey")
+    key = lambda x: F.lpad(x.cast("string"), 7, "0").alias("id")
+    existing = table(spark, d, "part").select(F.lit("tx").alias("prefix"), key(k), F.concat(F.lit("http://x.ex.net/"), F.floor(k / 2).cast("string")).alias("iri"), (k % 5).alias("grp"))
+    asked = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.lit("tx").alias("prefix"), key(F.col("l_partkey")))
+    return G.existing_of(existing, "http://uri.ex.org/base/", asked)
+
+
+@query("""SELECT name, n_name AS group_name, n_nationkey % 6 = 1 AS builtin FROM (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN n_name ELSE 'no ' || c_custkey END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey) LEFT JOIN nation ON lower(n_name) = lower(name)""")
+def p15_groups_by_name(spark, d):
+    """Groups that customers ask for by name in any case, with the built-in ones told; others are unknown."""
+    c = F.col("c_custkey")
+    known = groups(spark, d).withColumn("own_role", F.when(F.col("grp") % 6 == 1, "builtin").otherwise("owner"))
+    asked = table(spark, d, "customer").join(known, F.col("c_nationkey") == F.col("grp")).select(F.when(c % 3 == 0, F.lower("group_name")).when(c % 3 == 1, F.col("group_name")).otherwise(F.concat(F.lit("no "), c.cast("string"))).alias("name"))
+    return G.group_lookup(asked, known.select("group_name", "own_role"))
+
+
+@query("SELECT p_partkey AS id, 'http://ex.org/part/' || p_partkey AS s, p AS note_p, note FROM part JOIN (SELECT l_partkey AS id, 'ex:flag' AS p, l_returnflag AS note FROM lineitem UNION ALL SELECT l_partkey, 'ex:line', CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_linenumber > 5) n ON n.id = p_partkey")
+def j23_notes_on_rows(spark, d):
+    """Rows with the notes whose blank subject is their id: line items are notes on parts."""
+    item = table(spark, d, "lineitem")
+    note = lambda where, p, x: item.where(where).select(F.col("l_partkey").alias("s_blank"), F.lit(p).alias("p"), x.cast("string").alias("o_lit"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("http://ex.org/part/"), F.col("p_partkey").cast("string")).alias("s"))
+    return G.annotations(rows, note("true", "ex:flag", F.col("l_returnflag")).unionByName(note("l_linenumber > 5", "ex:line", F.col("l_linenumber"))))
+
+
+@query("""SELECT c_custkey AS uid, kind, greatest(base, coalesce(CASE WHEN c_custkey % 4 = 0 AND kind = 'keys' THEN c_custkey % 40 WHEN c_custkey % 6 = 0 AND kind = 'pulls' THEN 7 END, base)) AS most FROM customer, (VALUES ('keys', 10), ('pulls', 20), ('groups', 3)) v(kind, base)""")
+def a11_quotas(spark, d):
+    """The quota of each kind that holds for each user."""
+    c = F.col("c_custkey")
+    cust = table(spark, d, "customer")
+    own = cust.where(c % 4 == 0).select(c.alias("uid"), F.lit("keys").alias("kind"), (c % 40).cast("long").alias("most")).unionByName(cust.where(c % 6 == 0).select(c.alias("uid"), F.lit("pulls").alias("kind"), F.lit(7).cast("long").alias("most")))
+    default = spark.createDataFrame([("keys", 10), ("pulls", 20), ("groups", 3)], "kind string, most long")
+    return G.quotas_of(cust.select(c.alias("uid")), own, default)
