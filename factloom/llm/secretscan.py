@@ -46,7 +46,7 @@ CLASSES = (
 ONE = 1 << 20
 ALLOWED_SHAPES = (
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r"[A-Za-z]+[0-9]{0,4}([/._=-][A-Za-z]*[0-9]{0,4})*",
+    r"[A-Za-z]*[0-9]{0,4}([/._=-][A-Za-z]*[0-9]{0,4})*",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9A-Za-z.+:-]*",
     r"[0-9.+/_=-]+",
     r"(abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|0123456789|1234567890|[+/_=-])+",
@@ -81,16 +81,16 @@ def uneven(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     steps, limit, out = STEPS[window], most(window, bits), []
     counts, total, digits = {}, 0, 0
     for i, c in enumerate(run):
+        if i >= window:  # the one that leaves goes first, so no count passes the window's length
+            gone = run[i - window]
+            n = counts[gone] - 1
+            total -= steps[n]
+            counts[gone] = n
+            digits -= gone.isdigit()
         n = counts.get(c, 0)
         total += steps[n]
         counts[c] = n + 1
         digits += c.isdigit()
-        if i >= window:
-            c = run[i - window]
-            n = counts[c] - 1
-            total -= steps[n]
-            counts[c] = n
-            digits -= c.isdigit()
         start = i + 1 - window
         if start >= 0 and total <= limit and 0 < digits < window:
             if out and start <= out[-1][1]:
