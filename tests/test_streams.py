@@ -19,9 +19,9 @@ def test_quorum_counts_distinct_voters(spark, tmp_path):
     rows = [(1, 1, "approve"), (1, 1, "deny"), (1, 2, "approve"), (2, 1, "absent")]
     spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "v"))
     votes = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "v"))
-    q = streams.quorum_stream(votes, 2).writeStream.outputMode("update").format("memory").queryName("quorum").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination()
-    last = spark.table("quorum").groupBy("review").agg(F.max("present").alias("n"), F.max("reached").alias("r")).collect()
+    with streams.keyed_state(spark):
+        told = streams.run_to_end(streams.quorum_stream(votes, 2), "update")
+    last = told.groupBy("review").agg(F.max("present").alias("n"), F.max("reached").alias("r")).collect()
     assert [(r.review, r.n, r.r) for r in last] == [(1, 2, True)]
 
 
