@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Units a side.  Held-out recall of loose forms at 8, 16 and 24 units: see the README.
-HIDDEN = 16
+HIDDEN = 8
 SYMBOLS = 99
 
 
