@@ -2,7 +2,8 @@
 
 1. Documents with equal shingle sets are one class.
 2. Similar classes are put into groups: classes that share a min-hash key are compared with the most central
-   classes of that key, and linked ones form groups (connected components, cut into blocks).
+   classes of that key, and linked ones form groups (connected components, cut into blocks).  Texts are fetched only
+   for pairs whose sizes allow a link and which agree in several keys; links between others are left to steps 3 and 4.
 3. The token-group matrix holds, for each token in the rare part of a member's set, the blocks whose members
    have it.  A class meets only blocks of larger components with which it shares such a token, and only if the tokens
    that may still follow can reach the needed overlap.
@@ -33,6 +34,8 @@ PIVOTS = (1, 4)
 #: Members of a block of the matrix, and queries that meet it in one task.
 BLOCK = 256
 QUERIES = 256
+#: Keys of :data:`KEYS` that a class and a pivot have to share before their texts are compared.
+AGREE = 3
 #: Classes of a min-hash key that meet its pivots in one task.
 KEY_ROWS = 1024
 #: Cells of the frequency sketch: four bytes each while counting, one when it is sent out.
@@ -78,14 +81,15 @@ def _digest(s: np.ndarray) -> bytes:
 
 def _describe(batches):
     for batch in batches:
-        digest, size, keys = [], [], []
+        digest, size, keys, mark = [], [], [], []
         for s in shingle_sets(batch.column(1)):
             digest.append(_digest(s) if len(s) else None)
             size.append(len(s))
             keys.append([int(mix(s * m).min() >> np.uint64(1)) for m in _MULT] if len(s) else [])
+            mark.append(int.from_bytes(bytes(k & 255 for k in keys[-1]), "little", signed=True))  # the low byte of each key
         yield pa.record_batch(
-            [batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "class", "n", "keys"],
+            [batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(mark, pa.int64())],
+            ["doc_id", "class", "n", "keys", "mark"],
         )
 
 
@@ -220,17 +224,23 @@ class _Join:
         self.docs, _ = text_rows(docs, doc_id, text)
         self.kind = docs.schema[doc_id].dataType.simpleString()
         self.bytes = text_bytes(docs, text)
-        self.rows = saved(self.docs.mapInArrow(frugal(_describe), f"doc_id {self.kind}, class binary, n long, keys array<long>"), "sets")
-        one = self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"))
+        self.rows = saved(self.docs.mapInArrow(frugal(_describe), f"doc_id {self.kind}, class binary, n long, keys array<long>, mark long"), "sets")
+        one = self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("mark").alias("mark"))
         self.classes = saved(one, "classes")
         self.unique = self.rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+        self.kept: DataFrame | None = None
 
-    def texts(self, wanted: DataFrame, then=None, schema: str = "class binary, text string") -> DataFrame:
-        """(class, text) of each wanted class, or what ``then`` makes of those batches in the same task.
+    def texts(self, wanted: DataFrame | None = None, then=None, schema: str = "class binary, text string") -> DataFrame:
+        """(class, text) of each wanted class (of all without ``wanted``), or what ``then`` makes of those batches in the same task.
 
-        Where ids are not unique the digest is taken again, as one id may have several texts, and copies go.
+        Where ids are not unique the digest is taken again, as one id may have several texts, and copies go.  Texts of all classes
+        that came by a shuffle are saved once, however often they are asked for.
         """
-        own = saved(wanted.join(self.classes.select("class", "doc_id"), "class").select("class", F.col("doc_id").alias("_id")), "wanted")
+        if wanted is None and self.kept is not None:
+            return self.kept.mapInArrow(frugal(then), schema) if then else self.kept
+        own = self.classes.select("class", F.col("doc_id").alias("_id"))
+        if wanted is not None:
+            own = saved(wanted.join(own, "class").select("class", "_id"), "wanted")
         side = small_or_plain(own, 64)
         rows = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
         if not self.unique:
@@ -242,13 +252,14 @@ class _Join:
 
             rows = rows.mapInArrow(same, "class binary, text string").dropDuplicates(["class"])
         if then and (side is own or not self.unique):
-            rows = saved(rows, "texts")  # a shuffle may deal rows anew each time it runs; packs want one order
+            rows = saved(rows, "texts", "zstd")  # a shuffle may deal rows anew each time it runs; packs want one order
+            self.kept = rows if wanted is None else self.kept
         return rows.mapInArrow(frugal(then), schema) if then else rows
 
     def two_texts(self, wanted: DataFrame) -> list[DataFrame]:
         """The texts saved once and read twice: two different tables to the analyzer."""
         path = new_path(self.spark, "texts")
-        self.texts(wanted).write.parquet(path)
+        self.texts(wanted).write.parquet(path, compression="zstd")
         return [self.spark.read.schema("class binary, text string").parquet(path) for _ in range(2)]
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -259,7 +270,7 @@ class _Join:
         return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(frugal(_verify_pairs), "a binary, b binary"), "linked")
 
     def keyed(self) -> DataFrame:
-        """(key, class, salts, central): min-hash keys that several classes share; central counts all of a class's partners.
+        """(key, class, salts, central, n, mark): min-hash keys that several classes share; central counts all of a class's partners.
 
         A key of many classes is dealt to ``salts`` tasks.
         """
@@ -267,9 +278,9 @@ class _Join:
         # saved, so that the join reads two plain exchanges, which Spark may split where a key is hot
         shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
         hit = rows.join(shared, "key")
-        central = hit.groupBy("class").agg(F.sum("c").alias("central"))
+        central = hit.groupBy("class").agg(F.sum("c").alias("central")).join(self.classes.select("class", "n", "mark"), "class")
         salts = F.ceil(F.col("c") / KEY_ROWS).cast("int").alias("salts")
-        return saved(hit.select("key", "class", salts).join(central, "class").select("key", "class", "salts", "central"), "keyed")
+        return saved(hit.select("key", "class", salts).join(central, "class").select("key", "class", "salts", "central", "n", "mark"), "keyed")
 
     def with_comp(self, df: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -277,9 +288,13 @@ class _Join:
         return df.join(labels.toDF("class", "comp_"), "class", "left").withColumn("comp", F.coalesce("comp_", "class")).drop("comp_")
 
     def star(self, keyed: DataFrame, labels: DataFrame | None, pivots: int) -> DataFrame:
-        """Candidate pairs of each class with the most central classes of its keys, across components only."""
+        """Candidate pairs of each class with the most central classes of its keys, across components only.
+
+        Of these only pairs whose sizes allow a link and that agree in ``AGREE`` keys (of similar ones 999 of 1000 do; the matrix finds the
+        links of the rest), as the text of a candidate costs far more than its key.
+        """
         rows = self.with_comp(keyed, labels)
-        pivot = F.struct("central", "class", "comp")
+        pivot = F.struct("central", "class", "comp", "n", "mark")
         if pivots == 1:
             top = rows.groupBy("key").agg(F.max(pivot).alias("p"), F.max("salts").alias("salts"))
         else:
@@ -287,23 +302,25 @@ class _Join:
             top = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= pivots).select("key", pivot.alias("p"), "salts")
         top = top.select("key", "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).drop("salts")
-        return rows.join(top, ["key", "salt"]).where("comp <> p.comp").select(
+        apart = F.col("mark").bitwiseXOR(F.col("p.mark"))
+        agree = sum((F.shiftright(apart, 8 * k).bitwiseAND(255) == 0).cast("int") for k in range(KEYS))
+        likely = (5 * F.least("n", "p.n") >= 4 * F.greatest("n", "p.n")) & (agree >= AGREE)
+        return rows.join(top, ["key", "salt"]).where("comp <> p.comp").where(likely).select(
             F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
         )
 
     def matrix_links(self, labels: DataFrame | None) -> DataFrame:
         """Links across components, found through the token-group matrix."""
-        every = self.classes.select("class")
-        levels = self.spark.sparkContext.broadcast(frequency_levels(self.texts(every, _count_cells, "chunk int, cells binary")))
+        levels = self.spark.sparkContext.broadcast(frequency_levels(self.texts(None, _count_cells, "chunk int, cells binary")))
         owners = packs.owners(self.bytes)
-        asked = self.texts(every, _ask_tokens(levels, owners, PACK_BYTES), "owner int, pack binary, keys binary, twice binary")
+        asked = self.texts(None, _ask_tokens(levels, owners, PACK_BYTES), "owner int, pack binary, keys binary, twice binary")
         known = asked.groupBy("owner").applyInArrow(_answer_tokens, "owner int, pack binary, bits binary")
-        packed = self.texts(every, packs.packer(PACK_BYTES), "pack binary, blob binary")
+        packed = self.texts(None, packs.packer(PACK_BYTES), "pack binary, blob binary")
         tokens = packed.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(_shared_tokens(levels, owners), TOKENS)
         sizes = self.with_comp(self.classes.select("class"), labels)
         blocks = F.ceil(F.col("members") / BLOCK)
         group = sizes.join(sizes.groupBy("comp").agg(F.count(F.lit(1)).alias("members")), "comp").select(
-            "class", F.struct("members", "comp").alias("group"), F.struct("members", "comp", F.pmod(F.xxhash64("class"), blocks).alias("part")).alias("block")
+            "class", F.struct("members", "comp", F.pmod(F.xxhash64("class"), blocks).alias("part")).alias("block")
         )
         tokens = saved(tokens.join(group, "class"), "tokens")
         left = F.col("n") - F.col("place")
@@ -312,7 +329,7 @@ class _Join:
         )
         least_n = F.greatest(F.col("m_min"), F.ceil(4 * F.col("n") / 5))
         # of two components the smaller one asks, so a large one is met as a few blocks and not member by member
-        smaller = F.col("group") < F.struct("m_block.members", "m_block.comp")
+        smaller = F.struct("block.members", "block.comp") < F.struct("m_block.members", "m_block.comp")
         found = saved(
             tokens.join(matrix, "token")
             .where(smaller & (4 * F.col("m_min") <= 5 * F.col("n")) & (5 * F.col("m_max") >= 4 * F.col("n")))

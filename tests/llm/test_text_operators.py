@@ -477,6 +477,34 @@ def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_only_likely_pairs_have_their_texts_fetched(spark):
+    common = [f"t{i}" for i in range(40)]
+    rows = [(k, " ".join(common + [f"e{k}x{i}" for i in range(4 * k)])) for k in range(60)]
+    j = jaccard._Join(frame(spark, rows), "doc_id", "text")
+    size = {bytes(r["class"]): r.n for r in j.classes.collect()}
+    keyed = j.keyed()
+    for pivots in jaccard.PIVOTS:
+        pairs = {(size[bytes(r.a)], size[bytes(r.b)]) for r in j.star(keyed, None, pivots).collect()}
+        assert pairs and all(5 * min(p) >= 4 * max(p) for p in pairs)
+
+
+def test_links_without_agreeing_keys_are_found_by_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "AGREE", jaccard.KEYS + 1)
+    rows = [(k, " ".join([f"t{i}" for i in range(70)] + [f"e{k % 20}"])) for k in range(30)] + [(100 + i, t) for i, (_, t) in enumerate(corpus(n=40))]
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_texts_that_come_by_a_shuffle_are_saved_once(spark, monkeypatch):
+    plain, names = jaccard.saved, []
+    monkeypatch.setattr(jaccard, "small_or_plain", lambda df, *a: df)
+    monkeypatch.setattr(jaccard, "saved", lambda df, name, *a: names.append(name) or plain(df, name, *a))
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(n=40))]
+    got = jaccard.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert names.count("texts") == 1
+
+
 def test_components_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
     got = jaccard.near_duplicates(frame(spark, [(1, None), (2, ""), (None, "alone in the world of texts")])).collect()
