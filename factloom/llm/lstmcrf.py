@@ -132,34 +132,38 @@ def train(m, y, labels, steps=400, batch=64, rate=0.015, seed=7):
     return p
 
 
-def _scores(p, d, m):
-    """Each position's share of the label scores from one direction (T, L, B) of symbol columns (T, B); one step's states are held.
+def _scores(p, d, m, e):
+    """Each position's share of the label scores from one direction, of symbol columns (T, B): set in ``e`` (T, L, B) forwards, added to it
+    backwards.  One step's states are held.
 
-    Units come first, so every gate is one stretch of memory.  sigmoid(x) = (tanh(x / 2) + 1) / 2; its halves are in the weights.
+    Units come first, so every gate is one stretch of memory.  sigmoid(x) = (tanh(x / 2) + 1) / 2: the inner half is in the weights, the outer
+    one of the last gate in those of the next step, as ``h`` is held doubled.  One product gives a step's scores and the next step's input.
     """
     H, b = HIDDEN, m.shape[1]
     half = np.concatenate([np.full(3 * H, 0.5, np.float32), np.ones(H, np.float32)])
     x = np.ascontiguousarray(((p["x" + d] + p["c" + d]) * half).T)
-    u = np.ascontiguousarray((p["h" + d] * half).T)
-    w = np.ascontiguousarray((p["out"][:H] if d == "f" else p["out"][H:]).T)
-    out = np.empty((len(m), len(w), b), np.float32)
+    w = p["out"][:H] if d == "f" else p["out"][H:]
+    u = np.ascontiguousarray(np.concatenate([p["h" + d] * half, w], 1).T) * np.float32(0.5)
     h, c = np.zeros((H, b), np.float32), np.zeros((H, b), np.float32)
-    a, g = np.empty((4 * H, b), np.float32), np.empty((4 * H, b), np.float32)
+    a, g = np.empty((4 * H, b), np.float32), np.zeros((len(u), b), np.float32)
     gates, f, i, o, n = a[: 3 * H], a[:H], a[H : 2 * H], a[2 * H : 3 * H], a[3 * H :]
+    back, own = g[: 4 * H], g[4 * H :]
     for t in range(len(m)) if d == "f" else range(len(m) - 1, -1, -1):
         np.take(x, m[t], 1, out=a, mode="clip")
-        np.matmul(u, h, out=g)
-        a += g
+        a += back
         np.tanh(a, out=a)
         gates += 1
-        gates *= 0.5
         c *= f
         n *= i
         c += n
+        c *= 0.5
         np.tanh(c, out=h)
         h *= o
-        np.matmul(w, h, out=out[t])
-    return out
+        np.matmul(u, h, out=g)
+        if d == "f":
+            e[t] = own
+        else:
+            e[t] += own
 
 
 def best(p, e):
@@ -187,19 +191,32 @@ def best(p, e):
 def open_rows(p, m):
     """Of symbol rows (B, T): which need a search for their best labels, and the scores (T, L, those) of these.
 
-    A row in which, at every place, any other label loses to label 0 by more than the transitions into and out of it can give has 0
-    throughout as its best path.
+    A path differs from label 0 throughout by its spans, the runs of other labels.  A span gains at most, over its places, the most that any
+    other label has over label 0 with the best step into it from such a label, and what its first step (from label 0, or as a row's
+    beginning) and its last one (back to 0, or none at a row's end) give besides.  If no span of a row can gain, its best path has 0 throughout.
     """
     columns = np.ascontiguousarray(m.T).astype(np.intp)
-    e = _scores(p, "f", columns)
-    e += _scores(p, "b", columns)
+    e = np.empty((len(columns), len(p["bias"]), len(m)), np.float32)
+    _scores(p, "f", columns, e)
+    _scores(p, "b", columns, e)
     e += p["bias"][:, None]
     A, begin = p["trans"], p["begin"]
-    gain = np.maximum(A.max(0) - A[0, 0], begin - begin[0]) + np.maximum(0, A[:, 0] - A[0, 0])
-    most = np.full((len(columns), len(m)), -np.inf, np.float32)
-    for j in range(1, e.shape[1]):
-        np.maximum(most, e[:, j] + gain[j], out=most)
-    found = np.flatnonzero((most >= e[:, 0]).any(0))
+    stay = A[1:, 1:].max(0) - A[0, 0]
+    enter, leave = float((A[0, 1:] - A[0, 0] - stay).max()), float((A[1:, 0] - A[0, 0]).max())
+    gain = e[:, 1] + stay[0]
+    some = np.empty_like(gain)
+    for j in range(2, e.shape[1]):
+        np.add(e[:, j], stay[j - 1], out=some)
+        np.maximum(gain, some, out=gain)
+    gain -= e[:, 0]
+    gain[0] += float((begin[1:] - begin[0] - stay).max())
+    most = gain[0].copy()
+    for t in range(1, len(gain)):  # from here on gain is that of the best span which ends at a place
+        np.maximum(gain[t - 1], enter, out=some[0])
+        gain[t] += some[0]
+        np.maximum(most, gain[t], out=most)
+    # rounding is far below the margin
+    found = np.flatnonzero(np.maximum(most + leave, gain[-1]) >= -1e-3)
     return found, e[:, :, found]
 
 

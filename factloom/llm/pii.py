@@ -25,7 +25,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 SNIPPETS = 600
 WIDTH, STRIDE = 384, 320
 #: Windows that are decoded together, and the width of those that the tagger is trained on.
-GROUP, TRAIN_WIDTH = 512, 96
+GROUP, TRAIN_WIDTH = 1024, 96
 #: Characters of texts that are decoded together, at least one text.
 CHUNK = 1 << 20
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))

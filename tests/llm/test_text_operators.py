@@ -258,6 +258,20 @@ def test_crf_gradients_and_decoding():
     assert len(lstmcrf.open_rows(p, m)[0]) == 0 and not lstmcrf.decode(p, m).any()
 
 
+def test_only_rows_with_a_gaining_span_are_searched():
+    p = lstmcrf.init(5)
+    p["out"] *= 20
+    p["trans"] = (np.eye(5) * 2.8 - 1.2).astype(np.float32)
+    for bias in range(7):
+        p["bias"][0] = bias
+        for width in (1, 2, 40):
+            m = np.random.default_rng(3).integers(0, 99, (300, width))
+            e = np.ascontiguousarray(lstmcrf.emissions(p, m)[0].transpose(0, 2, 1))
+            full, (found, scores) = lstmcrf.best(p, e).T, lstmcrf.open_rows(p, m)
+            assert np.array_equal(lstmcrf.decode(p, m), full) and np.allclose(scores, e[:, :, found], atol=1e-4)
+            assert len(found) <= 5 + 1.2 * full.any(1).sum()
+
+
 @pytest.fixture(scope="module")
 def tagger(spark):
     return pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
