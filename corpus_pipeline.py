@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, jaccard, langid, pii
-from factloom.llm.shared import new_path, saved
+from factloom.llm.shared import new_path, saved, without
 
 #: Documents whose best language has less of the positions' probability than this are rejected, as are those without any.
 MIN_SCORE = 0.3
@@ -33,11 +33,12 @@ def near_duplicates(spark, docs, sf_dir):
     Null and blank texts are like nothing and stay, as do rows without an id that are like nothing.  A row that is there twice stays once;
     rows of one id with different texts stay, one of each text.
     """
-    found = saved(jaccard.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # ids of which no row stays, and those of which several do: far fewer than all, so that texts need not be dealt by id to find the rest
+    ids = saved(jaccard.near_duplicates(docs).groupBy("doc_id").agg(F.count_if(kept).alias("n")).where("n <> 1"), "ids")
+    rest = without(docs, "doc_id", ids.where("n = 0").select("doc_id"))
     # an id may be there twice only if rows were repeated
-    return kept.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").take(1) else kept
+    return rest.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").take(1) else rest
 
 
 def decontamination(spark, docs, sf_dir):

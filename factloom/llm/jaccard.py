@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from . import packs
 from .components import components
-from .shared import frugal, new_path, release, saved, small_or_plain, text_bytes, text_rows
+from .shared import frugal, new_path, release, saved, sieve, small_or_plain, text_bytes, text_rows
 from .wordhash import WHITE, Words, mix, starts_inside, text_chunks, windows
 
 SHINGLE = 5
@@ -242,7 +242,9 @@ class _Join:
         if wanted is not None:
             own = saved(wanted.join(own, "class").select("class", "_id"), "wanted")
         side = small_or_plain(own, 64)
-        rows = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+        # of many documents only those that may be wanted are dealt by id
+        docs = sieve(own.select("_id"))(self.docs, "doc_id", "left_semi") if wanted is not None and side is own else self.docs
+        rows = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
         if not self.unique:
 
             def same(batches):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Bits of a sieve for each of its ids: one of so many other keys passes by chance.
+SIEVE_BITS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,6 +101,43 @@ def small_or_plain(df: DataFrame, row_bytes: int, bound: int = 32 << 20) -> Data
     return F.broadcast(df) if df.count() * row_bytes <= bound else df
 
 
+def sieve(ids: DataFrame):
+    """``passing(rows, key, how)``: with ``left_semi`` the rows whose ``key`` may be in the one column of ``ids``, with ``left_anti`` those whose
+    key surely is not.
+
+    Each id sets one bit of a map of :data:`SIEVE_BITS` bits an id, at most 16 MB in all, which is broadcast.  With one map for both, the two kinds
+    of rows are all rows, each once; only how many rows pass depends on the size, so an exact join has to follow.  Nulls are keys like others.
+    """
+    (col,) = ids.columns
+    size = max(1, min(ids.count() * SIEVE_BITS, 1 << 27))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    own = ids.select(bit(col).alias("h")).select(F.bitmap_bucket_number("h").alias("_bucket"), F.bitmap_bit_position("h").alias("at"))
+    maps = F.broadcast(saved(own.groupBy("_bucket").agg(F.bitmap_construct_agg("at").alias("_map")), "sieve"))
+
+    def passing(rows: DataFrame, key: str, how: str) -> DataFrame:
+        at = F.bitmap_bit_position(bit(rows[key]))
+        byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        on = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+        return rows.join(maps, (F.bitmap_bucket_number(bit(rows[key])) == F.col("_bucket")) & on, how)
+
+    return passing
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, bound: int = 32 << 20) -> DataFrame:
+    """The rows whose ``key`` isn't in the one column of ``ids``, a saved table; null equals null.
+
+    If the ids are too many to be broadcast, rows whose key is surely not among them stay where they are, and only the rest is dealt by key.
+    """
+    (col,) = ids.columns
+    plain = ids.select(F.col(col).alias("_id"))
+    side = small_or_plain(plain, 64, bound)
+    anti = lambda r: r.join(side, r[key].eqNullSafe(F.col("_id")), "left_anti")
+    if side is not plain:
+        return anti(rows)
+    passing = sieve(ids)
+    return passing(rows, key, "left_anti").unionByName(anti(passing(rows, key, "left_semi")))
+
+
 def numbered(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     """``df`` with ``at``, the place from 0 of each row among those with equal ``by`` (no nulls), and ``n``, how many those are.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import (
-    bpe, chat, components, decontaminate, fmindex, gru, jaccard, langid, lstmcrf, packs, pii, quality, substrings, warc, wordhash, wordpiece,
+    bpe, chat, components, decontaminate, fmindex, gru, jaccard, langid, lstmcrf, packs, pii, quality, shared, substrings, warc, wordhash, wordpiece,
 )
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -620,6 +620,64 @@ def test_pipeline_stages_decide_as_brute_force(spark):
     assert {(r.doc_id, r.text) for r in stages["byte_bpe"](spark, docs, sf).collect()} == set(rows)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_without_ids_are_all_others(spark, kind):
+    rows = [*range(3000), None, None, 7, 8]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in rows], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    for gone in ([], [7, *range(100, 200), 10**6], [None, 8], [*range(5000), None]):
+        ids = shared.saved(spark.createDataFrame([(i,) for i in gone], "doc_id long").select(F.col("doc_id").cast(kind)), "gone")
+        want = sorted(f"t{i}" for i in rows if i not in gone)
+        for bound in (0, 32 << 20):
+            out = shared.without(docs, "doc_id", ids, bound)
+            assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == want
+        passing = shared.sieve(ids)
+        may, never = (passing(docs, "doc_id", how).count() for how in ("left_semi", "left_anti"))
+        hit = sum(i in gone for i in rows)
+        assert may + never == len(rows) and hit <= may <= hit + (len(rows) - hit) / 8
+
+
+def test_near_duplicates_leave_most_texts_where_they_are(spark, monkeypatch):
+    """Neither with few ids nor with more than may be broadcast are the rows that stay dealt by id."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted({c for _, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()])})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few = corpus_pipeline.near_duplicates(spark, docs, sf)
+        assert sorted(r.doc_id for r in few.collect()) == want
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        dealt = []
+        monkeypatch.setattr(shared, "small_or_plain", lambda df, *a: df)
+        monkeypatch.setattr(jaccard, "small_or_plain", lambda df, *a: df)
+        sieve = shared.sieve
+
+        def counted(ids):
+            passing = sieve(ids)
+
+            def run(rows, key, how):
+                out = passing(rows, key, how)
+                if how == "left_semi":
+                    dealt.append((out.count(), ids.count(), rows.count()))
+                return out
+
+            return run
+
+        monkeypatch.setattr(shared, "sieve", counted)
+        monkeypatch.setattr(jaccard, "sieve", counted)
+        many = corpus_pipeline.near_duplicates(spark, docs, sf)
+        assert sorted(r.doc_id for r in many.collect()) == want
+        assert len(dealt) >= 3 and all(n <= ids + rows / 8 for n, ids, rows in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_repeated_ids_keep_a_row_of_each_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, a), (3, a), (None, a), (None, "alone in the world"), (4, None), (4, None)]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), None).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted({(1, a), (2, a), (2, b), (None, a), (None, "alone in the world"), (4, None)}, key=str)
+
+
 def test_pipeline_stages_take_odd_tables(spark):
     """Nulls in any column, empty and long texts, repeats, clashing columns, and no rows at all."""
     sf = "/root/testdata/sf0.001"
