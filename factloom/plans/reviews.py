@@ -84,8 +84,9 @@ def r8_voting_system_valid(spark, d):
 
 @query("SELECT event_id, CASE WHEN age < 86400 THEN 'early' WHEN age < 86400 * 11 THEN 'active' ELSE 'expired' END AS state FROM (SELECT event_id, CAST(epoch((SELECT max(ts) FROM events)) AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS age FROM events)")
 def t4_token_windows(spark, d):
+    """Each token's state at the newest event's time, taken to the nearest second (halves to the even one), as the SQL's cast does."""
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("now"))
+    now = e.agg(F.timestamp_seconds(F.rint(F.unix_micros(F.max("ts").cast("timestamp")) / 1e6)).alias("now"))
     return e.crossJoin(F.broadcast(now)).select("event_id", R.token_state(F.col("ts"), F.col("now"), 86400, 10 * 86400).alias("state"))  # one row
 
 

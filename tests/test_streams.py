@@ -1,5 +1,7 @@
 """Final sinks of the streams against the batch operators."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from factloom.streaming import streams
@@ -37,3 +39,19 @@ def test_heads_and_windows(spark):
     q = streams.token_windows(events).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{d}/events.parquet").count()
+
+
+def test_token_windows_round_the_newest_time(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at = datetime(2024, 3, 1)
+    for name, newest in (("up", 600_000), ("down", 400_000), ("even", 500_000), ("odd", 1_500_000)):
+        near = [at - timedelta(days=days, microseconds=u) for days in (1, 11) for u in range(-3_000_000, 3_000_001, 250_000)]
+        rows = list(enumerate([at + timedelta(microseconds=newest), *near, None, datetime(1969, 12, 31, 23, 59, 59, 400_000)]))
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        sql = duckdb.connect()
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet'")
+        want = sql.execute(entry.oracle_sql()["t4_token_windows"]).fetchall()
+        assert sorted(tuple(r) for r in entry.queries()["t4_token_windows"](spark, f"{tmp_path}/{name}").collect()) == sorted(want)
