@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import iris
@@ -29,8 +27,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 @query()
 def s4_file_checksums(spark, d):
     """Size and digest of every file of the given tables."""
-    every = [ntriples.file_checksums(spark, f"{d}/{t}.parquet") for t in TABLES]
-    return reduce(lambda a, b: a.unionByName(b), every).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+    every = ntriples.file_checksums(spark, [f"{d}/{t}.parquet" for t in TABLES])
+    return every.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
 @query("SELECT '_:bxr' || s_suppkey || ' <owl:someValuesFrom> <http://ex.org/nation/' || s_nationkey || '> .' AS line FROM supplier UNION ALL SELECT '<http://ex.org/supplier/' || s_suppkey || '> <rdfs:subClassOf> _:bxr' || s_suppkey || ' .' FROM supplier")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +116,88 @@ def dedupe(triples: DataFrame, strict: bool = False) -> DataFrame:
     return triples.distinct()
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+class whole_files:  # noqa: N801  used as `with whole_files(spark):` around a job
+    """Each file is read by one task from its beginning to its end, and little at a time reaches Python, in jobs that run inside; then as it was."""
+
+    conf = {"spark.sql.files.maxPartitionBytes": 1 << 50, "spark.sql.files.openCostInBytes": 1 << 50, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k, None) for k in self.conf}
+        for k, v in self.conf.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+
+def _digests_of_lines(batches):
+    """(file, sha256) of files whose ``line``s, each with a newline, come one after the other; null if that isn't all of the file's ``size``."""
+    file, size, seen, digest, held = None, 0, 0, None, b""
+
+    def done():  # the newline of the last line is held back until the size tells whether the file has it
+        if seen == size:
+            digest.update(held)
+        return pa.RecordBatch.from_pydict({"file": [file], "sha256": [digest.hexdigest() if seen in (size, size + 1) else None]}, schema=pa.schema([("file", pa.string()), ("sha256", pa.string())]))
+
+    for b in batches:
+        runs = pc.run_end_encode(b.column("file"))
+        begin = 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if name != file:
+                if digest:
+                    yield done()
+                file, size, seen, digest, held = name, b.column("size")[begin].as_py(), 0, hashlib.sha256(), b""
+            lines = b.column("line")
+            _, ends, data = lines.buffers()
+            ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(lines.type) else np.int32)
+            text = memoryview(data)[ends[lines.offset + begin] : ends[lines.offset + end]]
+            digest.update(held)
+            digest.update(text[:-1])
+            seen, held, begin = seen + len(text), bytes(text[-1:]), end
+    if digest:
+        yield done()
+
+
+def file_checksums(spark: SparkSession, path: str | list[str], whole: int = 32 << 20, line: int = 16 << 20) -> DataFrame:
+    """(path, length, sha256) of every file under a path or several.
+
+    Files over ``whole`` bytes don't go into one row: a task reads each as lines and hashes them one by one.  A file that can't be had back
+    from its lines (a run of ``line`` bytes without a newline, a byte order mark, a name that Spark would unpack) is streamed through the
+    driver's JVM; that a file is had back is told by its size.
+    """
+    from ..functions.shared import cut
+
+    deep = {"recursiveFileLookup": True}  # no column is made of a folder's name
+    files = spark.read.format("binaryFile").options(**deep).load(path)
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", "length", F.col("_metadata.file_path").alias("file")).collect()  # names of few files
+    if not large:
+        return small
+    size = F.col("_metadata.file_size")
+    # a line that is too long, or a file that can't be read on, leaves too few bytes
+    text = spark.read.options(**deep, ignoreCorruptFiles=True).option("mapreduce.input.linerecordreader.line.maxlength", line).text(path, lineSep="\n")
+    lines = text.where(size > whole).select(F.col("_metadata.file_path").alias("file"), size.alias("size"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"))
+    with whole_files(spark):
+        digests = cut(lines.mapInArrow(_digests_of_lines, "file string, sha256 string"))
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    unpacked = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop)
+    known = {r.file: r.sha256 for r in digests.collect()}
+    rows = []
+    for r in large:
+        at = jvm.org.apache.hadoop.fs.Path(r.path)
+        sha = None if unpacked.getCodec(at) else known.get(r.file)
+        if not sha:
+            stream = at.getFileSystem(hadoop).open(at)
+            try:
+                sha = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+            finally:
+                stream.close()
+        rows.append((r.path, r.length, sha))
+    return small.unionByName(spark.createDataFrame(rows, small.schema))
 
 
 def skip_already_loaded(manifest: DataFrame, relations: DataFrame, key: str = "identity") -> DataFrame:

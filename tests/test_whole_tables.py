@@ -1,5 +1,7 @@
 """Queries take every row and all of its text: comparison with brute force on small tables."""
 
+import gzip
+import hashlib
 import random
 import re
 from datetime import datetime
@@ -7,6 +9,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from factloom.plans import more
+from factloom.sources import ntriples
 
 
 def write(spark, path, **tables):
@@ -67,3 +71,30 @@ def test_reingest_check_takes_the_whole_graph(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(rebuild, "reingest_check", lambda g: seen.append(g.count()) or check(g))
     assert entry.queries()["s19_reingest_check"](spark, d).first().equal
     assert seen == [triplify.with_blanks(spark, d).count()] == [5 * 40 + 4 * 120]
+
+
+def test_checksums_of_large_files(spark, tmp_path):
+    """A file over the reader's bound for one row (2 GB, here 33 MB) is digested as well."""
+    rng = random.Random(5)
+    for t in more.TABLES:
+        (tmp_path / f"{t}.parquet").write_bytes(rng.randbytes(40_000_000 if t == "lineitem" else 1_000))
+    name = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(name, 33 << 20)
+    try:
+        got = {r.file: (r.length, r.sha256) for r in entry.queries()["s4_file_checksums"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+
+
+def test_checksums_of_files_that_lines_change(spark, tmp_path):
+    files = {
+        "ends": b"a\nb\n" * 9_000, "open": b"a\nb\n" * 9_000 + b"c", "empty lines": b"\n" * 25_000, "returns": b"\r\n\r" * 300, "bytes": bytes(range(256)) * 50, "small": b"ab",
+        "mark": b"\xef\xbb\xbfab\n" + b"c\n" * 300, "long": b"x\n" + b"y" * 5_000 + b"\nz\n", "no line": b"y" * 5_000, "packed.gz": gzip.compress(random.Random(1).randbytes(3_000)), "plain.gz": b"a\n" * 300,
+    }
+    for n, b in files.items():
+        (tmp_path / n).write_bytes(b)
+    before = {k: spark.conf.get(k) for k in ntriples.whole_files.conf}
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in ntriples.file_checksums(spark, str(tmp_path), whole=100, line=2_000).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in files.items()}
+    assert {k: spark.conf.get(k) for k in before} == before
