@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,49 +117,76 @@ def quorum_stream(votes: DataFrame, needed: int) -> DataFrame:
 
 
 class Steps(StatefulProcessor):
-    """Tells of each step of a key's schedule when event time has passed it, without a further row of that key.
+    """Tells of each step of a bucket of keys when event time has passed it, without a further row of its key.
 
-    The first row of a key has its schedule; the step without a time comes at once.  Rows that come again change nothing.
+    Steps that wait are kept as pieces, one for the rows that came together, each with the steps of many keys; only the next time at which any
+    is due has a timer.  When it is over the pieces are read, and what isn't due yet is put back as one.
     """
 
+    kept = pa.schema([("key", pa.int64()), ("state", pa.string()), ("at", pa.int64())])
+
     def init(self, handle):
         self.handle = handle
-        self.steps = handle.getMapState("steps", "at long", "state string")
+        self.waiting = handle.getListState("waiting", "steps binary")
+        self.next = handle.getValueState("next", "at long")
+
+    def piece(self, steps):
+        return (pa.RecordBatch.from_pandas(steps, self.kept, preserve_index=False).serialize().to_pybytes(),)
+
+    def wake(self, at):
+        """A timer for steps due at ``at``, in place of one for later."""
+        before = self.next.get()[0] if self.next.exists() else None
+        if before is None or at < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.next.update((at,))
 
     def handleInputRows(self, key, rows, timerValues):
-        known = next(iter(self.steps.keys()), None) is not None
+        first = []
         for f in rows:
-            for row in f.itertuples():
-                if known:
-                    continue
-                known = True
-                out = []
-                for step in row.steps:
-                    if step["at"] is None or pd.isna(step["at"]):
-                        out.append((key[0], step["state"], row.ts))
-                        continue
-                    at = int(pd.Timestamp(step["at"]).timestamp() * 1000)
-                    self.steps.updateValue((at,), (step["state"],))
-                    self.handle.registerTimer(at)
-                if out:
-                    yield pd.DataFrame(out, columns=["key", "state", "ts"])
+            wait = f["waits"].to_numpy(bool)
+            if not wait.all():
+                yield f.loc[~wait, self.kept.names].assign(bucket=key[0])
+            if wait.any():
+                steps = f.loc[wait, self.kept.names]
+                self.waiting.appendValue(self.piece(steps))
+                first.append(int(steps["at"].min()) // 1000)
+        if first:
+            self.wake(min(first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        state = self.steps.getValue((at,))[0]
-        yield pd.DataFrame({"key": [key[0]], "state": [state], "ts": [pd.Timestamp(at, unit="ms")]})
+        steps = pa.Table.from_batches([pa.ipc.read_record_batch(x, self.kept) for (x,) in self.waiting.get()]).to_pandas()
+        over = (steps["at"] // 1000 <= timerValues.getCurrentWatermarkInMs()).to_numpy()
+        self.next.clear()
+        if over.all():
+            self.waiting.clear()
+        else:
+            rest = steps[~over]
+            self.waiting.put([self.piece(rest)])
+            self.wake(int(rest["at"].min()) // 1000)
+        if over.any():
+            yield steps[over].assign(bucket=key[0])
 
     def close(self):
         pass
 
 
-def steps_stream(rows: DataFrame, late: str) -> DataFrame:
+def steps_stream(rows: DataFrame, late: str, buckets: int = 256) -> DataFrame:
     """(key, state, ts) for each step of each key's schedule as event time passes it.
 
-    ``rows``: key (long), ts and steps (array of state and at; one without ``at`` comes with the row).  Rows later than ``late`` behind the
-    newest are left out by the watermark, and steps are told once the watermark is past them.  Start it inside ``keyed_state``.
+    ``rows``: key (long), ts and steps (array of state and at; one without ``at`` comes with the row).  The first row of a key has its schedule;
+    rows that come again change nothing.  Rows later than ``late`` behind the newest are left out by the watermark, and steps are told once the
+    watermark has reached them, to the millisecond.  Keys are told apart by Spark's own state; their steps wait in ``buckets`` of many keys.
+    Start it inside ``keyed_state``.
     """
-    return rows.select("key", F.col("ts").cast("timestamp").alias("ts"), "steps").withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Steps(), "key long, state string, ts timestamp", "Append", "EventTime")
+    first = rows.select("key", F.col("ts").cast("timestamp").alias("ts"), "steps").withWatermark("ts", late).dropDuplicates(["key"])
+    bucket = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))  # no nulls among keys: pandas would take them all for floats
+    each = first.select(bucket.alias("bucket"), F.coalesce("key", F.lit(0)).alias("key"), "ts", F.explode("steps").alias("step"))
+    at = F.col("step.at").cast("timestamp")
+    each = each.select("bucket", "key", "ts", "step.state", F.unix_micros(F.coalesce(at, "ts")).alias("at"), at.isNotNull().alias("waits"))
+    told = each.groupBy("bucket").transformWithStateInPandas(Steps(), "bucket long, key long, state string, at long", "Append", "EventTime")
+    return told.select(F.when(F.col("bucket") >= 0, F.col("key")).alias("key"), "state", F.timestamp_micros("at").alias("ts"))
 
 
 def token_steps(issued: Column, delay: Column, life: Column) -> Column:

@@ -55,3 +55,42 @@ def test_token_windows_round_the_newest_time(spark, tmp_path):
         sql.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{name}/events.parquet/*.parquet'")
         want = sql.execute(entry.oracle_sql()["t4_token_windows"]).fetchall()
         assert sorted(tuple(r) for r in entry.queries()["t4_token_windows"](spark, f"{tmp_path}/{name}").collect()) == sorted(want)
+
+
+SCHEDULES = "key long, ts timestamp, steps array<struct<state: string, at: timestamp>>"
+MINUTE = lambda n: datetime(2024, 1, 1) + timedelta(minutes=n)
+
+
+def test_timers_dont_grow_with_the_keys(spark, tmp_path):
+    rows = [(k, MINUTE(k % 50), [("open", None), ("closed", MINUTE(k % 50 + 1 + k % 3)), ("gone", MINUTE(9_000))]) for k in range(2_000)] + [(-1, MINUTE(500), [("open", None)])]
+    spark.createDataFrame(rows, SCHEDULES).write.parquet(str(tmp_path / "in"))
+    told = []
+    with streams.keyed_state(spark):
+        stream = streams.steps_stream(spark.readStream.schema(SCHEDULES).parquet(str(tmp_path / "in")), "1 hour")
+        q = stream.writeStream.foreachBatch(lambda b, n: told.extend(map(tuple, b.select("key", "state").collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(told) == sorted((k, state) for k, *_ in rows for state in ("open", "closed") if k >= 0 or state == "open")
+    timers = [o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"] if "numRegisteredTimers" in o["customMetrics"]]
+    assert 0 < max(timers) <= 257
+
+
+def test_timers_over_several_batches(spark, tmp_path):
+    ends = lambda *at: [("open", None), *((f"end{k}", MINUTE(a)) for k, a in enumerate(at))]
+    far = (1 << 62) + 1
+    batches = [
+        [(1, MINUTE(0), ends(60, 120)), (None, MINUTE(1), ends(60)), (far, MINUTE(1), ends(61)), (7, MINUTE(10), ends(-30, 5_000))],
+        [(1, MINUTE(1), ends(10)), (2, MINUTE(120), ends(121))],  # key 1 has its schedule; the watermark is 60 after this
+        [(4, MINUTE(122), ends(60)), (6, MINUTE(130), ends(60, 120)), (1, MINUTE(121), ends(10))],
+        [(3, MINUTE(30), ends(31)), (5, MINUTE(180), ends()), (8, MINUTE(90), ends(61, 120))],  # key 3 comes too late
+    ]
+    source = spark.readStream.schema(SCHEDULES)
+    told = []
+    for k, rows in enumerate(batches):  # each a run of its own, over one state
+        spark.createDataFrame(rows, SCHEDULES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        with streams.keyed_state(spark):
+            stream = streams.steps_stream(source.parquet(str(tmp_path / "in")), "1 hour", 2)
+            q = stream.writeStream.foreachBatch(lambda b, n, k=k: told.extend((k, *r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    opened = [(0, 1, 0), (0, None, 1), (0, far, 1), (0, 7, 10), (1, 2, 120), (2, 4, 122), (2, 6, 130), (3, 5, 180), (3, 8, 90)]
+    over = [(1, 7, "end0", -30), (1, 1, "end0", 60), (1, None, "end0", 60), (2, far, "end0", 61), (2, 4, "end0", 60), (2, 6, "end0", 60), (3, 8, "end0", 61), (3, 1, "end1", 120), (3, 6, "end1", 120), (3, 8, "end1", 120)]
+    assert sorted(told, key=str) == sorted([(k, key, "open", MINUTE(at)) for k, key, at in opened] + [(k, key, state, MINUTE(at)) for k, key, state, at in over], key=str)
