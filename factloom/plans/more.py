@@ -291,14 +291,21 @@ def t3_quorum_stream(spark, d):
         return run_to_end(quorum_stream(votes, 5), "update").groupBy("review").agg(F.max("present").alias("present"))
 
 
+def to_millis(at):
+    """A time to the nearest millisecond, halves away from 1970, as DuckDB's ``epoch_ms`` takes it."""
+    t = at.cast("timestamp")
+    rest = F.unix_micros(t) - F.unix_millis(t) * 1000
+    return F.timestamp_millis(F.unix_millis(t) + F.when((rest > 500) | (rest == 500) & (F.unix_micros(t) > 0), 1).otherwise(0))
+
+
 @query("""WITH e AS (SELECT event_id, epoch_ms(ts) AS born, event_id % 7 * 86400000 AS delay, (event_id % 5 + 1) * 86400000 AS life, (SELECT epoch_ms(max(ts)) FROM events) - 3600000 AS now FROM events)
  SELECT event_id AS key, state FROM (SELECT event_id, unnest([CASE WHEN true THEN 'early' END, CASE WHEN born + delay <= now THEN 'active' END, CASE WHEN born + delay + life <= now THEN 'expired' END]) AS state FROM e) WHERE state IS NOT NULL""")
 def t4_token_timers(spark, d):
     """Every token's states as event time passes their limits: no further row of a token is needed."""
     from ..streaming.streams import run_timers, token_steps
 
-    k = F.col("event_id")
-    rows = event_stream(spark, d).select(k.alias("key"), "ts", token_steps(F.col("ts"), k % 7 * 86400, (k % 5 + 1) * 86400).alias("steps"))
+    k, ts = F.col("event_id"), to_millis(F.col("ts"))
+    rows = event_stream(spark, d).select(k.alias("key"), ts.alias("ts"), token_steps(ts, k % 7 * 86400, (k % 5 + 1) * 86400).alias("steps"))
     return run_timers(rows, "1 hour").select("key", "state")
 
 
@@ -314,7 +321,7 @@ def r7_review_timers(spark, d):
         k = F.col("event_id")
         return events.select(k.alias("key"), "ts", close_time(F.col("ts"), (k % 9).cast("int"), F.when(k % 3 > 0, k % 7)).alias("closes"))
 
-    told = run_timers(opened(event_stream(spark, d)).select("key", "ts", review_steps(F.col("closes")).alias("steps")), "1 hour")
+    told = run_timers(opened(event_stream(spark, d)).select("key", to_millis(F.col("ts")).alias("ts"), review_steps(to_millis(F.col("closes"))).alias("steps")), "1 hour")
     closed = told.where("state = 'closed'").select("key", F.lit(True).alias("closed"))
     return opened(table(spark, d, "events")).join(closed, "key", "left").select(F.col("key").alias("review"), "closes", F.coalesce("closed", F.lit(False)).alias("closed"))
 

@@ -94,3 +94,28 @@ def test_timers_over_several_batches(spark, tmp_path):
     opened = [(0, 1, 0), (0, None, 1), (0, far, 1), (0, 7, 10), (1, 2, 120), (2, 4, 122), (2, 6, 130), (3, 5, 180), (3, 8, 90)]
     over = [(1, 7, "end0", -30), (1, 1, "end0", 60), (1, None, "end0", 60), (2, far, "end0", 61), (2, 4, "end0", 60), (2, 6, "end0", 60), (3, 8, "end0", 61), (3, 1, "end1", 120), (3, 6, "end1", 120), (3, 8, "end1", 120)]
     assert sorted(told, key=str) == sorted([(k, key, "open", MINUTE(at)) for k, key, at in opened] + [(k, key, state, MINUTE(at)) for k, key, state, at in over], key=str)
+
+
+def test_timers_agree_with_sql_to_the_millisecond(spark, tmp_path, monkeypatch):
+    import duckdb
+    from pyspark.sql.streaming import DataStreamWriter
+
+    import __spark_entry__ as entry
+
+    started, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(start(self, *a, **k)) or started[-1])
+    micros = lambda u: timedelta(microseconds=u)
+    for newest in (datetime(2024, 2, 1, 12, 0, 0, 250_000), datetime(2024, 2, 1, 12, 0, 0, 250_700)):
+        d, limit = f"{tmp_path}/{newest.microsecond}", newest - timedelta(hours=1)
+        # multiples of 3 close after k % 9 days; tokens are active after k % 7 and over k % 5 + 1 days later
+        near = [(k, limit - timedelta(days=days) + micros(u)) for k in range(0, 105, 3) for days in (k % 9, k % 7, k % 7 + k % 5 + 1) for u in range(-1_500, 1_501, 250)]
+        rows = [(0, newest), *((k + 315 * n, t) for n, (k, t) in enumerate(near, 1)), *((315 * n + 1, newest - timedelta(hours=n)) for n in range(1, 400))]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(f"{d}/events.parquet")
+        sql = duckdb.connect()
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+        want = {q: sorted(sql.execute(entry.oracle_sql()[q]).fetchall()) for q in ("r7_review_timers", "t4_token_timers")}
+        assert {r[2] for r in want["r7_review_timers"]} == {True, False}
+        assert sorted((r.review, r.closes.replace(tzinfo=None), r.closed) for r in entry.queries()["r7_review_timers"](spark, d).collect()) == want["r7_review_timers"]
+        assert sorted(map(tuple, entry.queries()["t4_token_timers"](spark, d).collect())) == want["t4_token_timers"]
+    timers = [o["customMetrics"]["numRegisteredTimers"] for q in started for p in q.recentProgress for o in p["stateOperators"] if "numRegisteredTimers" in o["customMetrics"]]
+    assert 0 < max(timers) <= 256
